@@ -18,6 +18,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 #: Rows in an Arrow batch are cut further so that a task works on about so many bytes of text at a time.
 CHUNK_BYTES = 4 << 20
+#: Spark's setting that ends shuffle files with the query that made them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -43,7 +45,13 @@ class Scratch:
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        # What a written table was made from isn't read again, so its shuffle files can go at once.
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, mixing, simhash, toxicity
-from .common import read
+from . import cdc, decontam, licenses, mixing, quality, radix, rpforest, simhash, tokens, toxicity
+from .common import read, scratch_dir
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,12 +29,39 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(read(spark, sf_dir, "documents")))
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark)
+    tokens.materialise(read(spark, sf_dir, "documents"), path)
+    return tokens.digest(tokens.read_shards(spark, path))
+
+
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.digest(cdc.dedup_chunks(read(spark, sf_dir, "documents")))
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rpforest.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.digest(radix.repeated_windows(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scans": op2_license_scans,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
+    "op6_token_shards": op6_token_shards,
+    "op7_chunk_dedup": op7_chunk_dedup,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_quality": op9_quality,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {}
