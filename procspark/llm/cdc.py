@@ -64,7 +64,7 @@ def _chunks(batch: pa.RecordBatch) -> dict[str, object]:
     owners = np.array(owners, np.int64)
     both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     doc, at = docs[owners], place(tags[owners], np.array(ends, np.int64))
-    sure = settle(both[:, 0], doc)
+    sure, _ = settle(both[:, 0], doc)
     return {
         "doc": pa.array(doc), "at": pa.array(at), "size": pa.array(np.array(sizes, np.int32)),
         "k1": pa.array(scatter(both[:, 0].copy(), sure, at, doc)), "k2": pa.array(both[:, 1].copy()), "sure": pa.array(sure),

@@ -22,7 +22,7 @@ WINDOW = 13
 #: Benchmark text is sent to tasks in automata of at most so many bytes of text each.
 AUTOMATON_BYTES = 8 << 20
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-_FOUND = "spans array<struct<start:bigint,end:bigint,byte_start:bigint,byte_end:bigint>>"
+_SPANS = "array<struct<start:bigint,end:bigint,byte_start:bigint,byte_end:bigint>>"
 
 
 def windows(text: bytes, width: int) -> set[bytes]:
@@ -90,32 +90,17 @@ def _scan(automaton: Automaton):
     return scan
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, width: int = WINDOW) -> DataFrame:
-    """Places of benchmark windows in texts: one row per row of ``docs``.
-
-    Returns the columns ``keep`` (``doc_id`` and ``text`` unless given), ``n_words``, ``n_hit`` (words inside any
-    place of a window), ``spans`` (places in words and in bytes of the original), ``item_ids`` (sorted as strings)
-    and ``contaminated`` (at least a twentieth of the words is hit).
-
-    Null and empty texts have no words and are clean.  Repeated rows are judged one by one.  Items without words or
-    with a null id are passed over; equal items all count.  An empty benchmark hits nothing.  Columns of ``docs``
-    with the names of results are only kept under ``keep`` if they don't clash.
-
-    The benchmark is collected in shards of at most ``AUTOMATON_BYTES`` of text, checked by a count first; each shard
-    is an automaton, and the texts pass through the automata one after the other within the same task.
-    """
-    keep = keep or ["doc_id", "text"]
+def _scanned(docs: DataFrame, benchmark: DataFrame, keep: list[str], width: int) -> tuple[DataFrame, dict[str, str]]:
+    """Results for each row beside its columns ``keep`` under new names, and the old names."""
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     shards = max(1, -(-total // AUTOMATON_BYTES))
-    got = ["n_words", "spans", "item_ids"]
-    names = {c: f"c{i}" for i, c in enumerate(c for c in keep if c != "text")}
-    empty = F.from_json(F.lit("[]"), _FOUND.split(" ", 1)[1])
+    names = {"text" if c == "text" else f"c{i}": c for i, c in enumerate(keep)}
     df = docs.select(
-        *(F.col(f"`{c}`").alias(n) for c, n in names.items()),
-        "text",
+        *(F.col(f"`{c}`").alias(n) for n, c in names.items() if n != "text"),
+        F.col("text").cast("string").alias("text"),
         F.lit(0).cast("bigint").alias("n_words"),
-        empty.alias("spans"),
+        F.from_json(F.lit("[]"), _SPANS).alias("spans"),
         F.array().cast("array<string>").alias("item_ids"),
     )
     for shard in range(shards):
@@ -129,14 +114,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
             F.greatest(a["upto"], s["end"]).alias("upto"),
         ),
     )["n"]
-    out = df.select(
-        *(F.col(n).alias(c) for c, n in names.items()),
-        *(["text"] if "text" in keep else []),
-        "n_words",
-        covered.alias("n_hit"),
-        *got[1:],
-    )
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    df = df.withColumn("n_hit", covered)
+    return df.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))), names
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """Places of benchmark windows in texts: one row per row of ``docs``.
+
+    Returns ``doc_id``, ``text``, ``n_words``, ``n_hit`` (words inside any place of a window), ``spans`` (places in
+    words and in bytes of the original), ``item_ids`` (sorted as strings) and ``contaminated`` (at least a twentieth
+    of the words is hit).
+
+    Null and empty texts have no words and are clean.  Repeated rows are judged one by one, null ids kept.  Items
+    without words or with a null id are passed over; equal items all count.  An empty benchmark hits nothing.  Other
+    columns aren't read.
+
+    The benchmark is collected in shards of about ``AUTOMATON_BYTES`` of text, counted first; each shard is an
+    automaton, and the texts pass through the automata one after the other within the same task.
+    """
+    out, _ = _scanned(docs.select(F.col("doc_id").alias("doc_id"), "text"), benchmark, ["doc_id", "text"], width)
+    return out.select(F.col("c0").alias("doc_id"), "text", "n_words", "n_hit", "spans", "item_ids", "contaminated")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    out, names = _scanned(docs, benchmark, docs.columns, width)
+    return out.where(~F.col("contaminated")).select(*(F.col(n).alias(c) for n, c in names.items()))
 
 
 def digest(found: DataFrame) -> DataFrame:

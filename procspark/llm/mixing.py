@@ -100,7 +100,7 @@ def _solve(classes: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``rate`` and ``copies`` (0, 1 or 2) of each document.
+    """``docs`` with a struct ``__mix``: ``size``, ``source_size``, ``target``, ``rate`` and ``copies`` (0, 1 or 2).
 
     Copies are the rate's whole part and perhaps one more: within a source documents stand in a repeatable order of
     u / fraction, u a hash of the row, and the first ones get one more until the source's words reach its target.
@@ -108,14 +108,12 @@ def mix(docs: DataFrame) -> DataFrame:
 
     Null is a source of its own, the last.  Null and empty texts have size 0 and get their copies, without words.
     Rows with equal id, source and text are alike in that order, so they get equally many copies.  An empty table
-    gives an empty result.  Columns of ``docs`` that have the name of a result are replaced by it.
+    gives an empty result.  Other columns are kept as they are.
     """
     scratch = Scratch(docs.sparkSession)
-    own = ["size", "source_size", "target", "rate", "copies"]
-    base = docs.drop(*own)
     draw = (F.pmod(F.xxhash64("doc_id", "source", "text", F.lit(77)), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
-    sized = base.select("*", size_of("text").alias("size"), draw.alias("__u"))
-    slim = scratch.cut(sized.select(F.col("source").alias("s"), "size", F.col("__u").alias("u")), "sizes")
+    sized = docs.select(F.struct("*").alias("__row"), F.col("source").alias("__source"), size_of("text").alias("size"), draw.alias("__u"))
+    slim = scratch.cut(sized.select(F.col("__source").alias("s"), "size", F.col("__u").alias("u")), "sizes")
     classes = scratch.cut(slim.groupBy("s", "size").agg(F.count("*").alias("n")), "classes")
     sources = classes.groupBy(F.col("s").alias("source")).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     solved = _solve(classes, targets(sources), scratch)
@@ -149,18 +147,24 @@ def mix(docs: DataFrame) -> DataFrame:
     )
     plan = scratch.cut(plan, "plan")
 
-    out = sized.join(plan, F.expr("source <=> __s")).withColumn("rate", _rate())
+    out = sized.join(plan, F.expr("__source <=> __s")).withColumn("rate", _rate())
     whole = F.floor("rate")
     more = F.coalesce(F.col("__u") / F.when(F.col("rate") > whole, F.col("rate") - whole) <= F.col("cut"), F.lit(False))
     out = out.withColumn("copies", (whole + more.cast("int")).cast("int"))
-    return out.select(*base.columns, *own)
+    return out.select("__row.*", F.struct("size", "source_size", "target", "rate", "copies").alias("__mix"))
 
 
 def digest(mixed: DataFrame) -> DataFrame:
     """The columns of the registered query."""
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("bigint").alias("taken"))
-
-
-def replicate(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document as often as it has copies."""
-    return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
+    own = F.col("__mix")
+    return mixed.select(
+        "doc_id", own["size"].alias("size"), own["source_size"].alias("source_size"), own["target"].alias("target"),
+        (own["size"] * own["copies"]).cast("bigint").alias("taken"),
+    )
+
+
+def replicate(mixed: DataFrame) -> DataFrame:
+    """Each document as often as it has copies, without the column ``__mix``."""
+    copies = F.col("__mix.copies")
+    columns = [F.col(f"`{c}`") for c in mixed.columns if c != "__mix"]
+    return mixed.where(copies > 0).select(*columns, F.explode(F.sequence(F.lit(1), copies)).alias("__copy")).drop("__copy")

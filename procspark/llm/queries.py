@@ -21,8 +21,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), ["doc_id"])
-    return decontam.digest(found)
+    return decontam.digest(decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +50,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cdc.digest(radix.repeated_windows(read(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scans": op2_license_scans,
@@ -62,6 +67,7 @@ QUERIES = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_quality": op9_quality,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}

@@ -102,8 +102,9 @@ def _first_pass(batch: pa.RecordBatch) -> dict[str, object]:
     owner, where = found.find()
     doc, at = docs[owner], place(tags[owner], where - found.starts[owner])
     key = found.gram[where].view(np.int64)
-    sure = settle(key, doc)
-    return {"doc": pa.array(doc), "at": pa.array(at), "key": pa.array(scatter(key, sure, at, doc)), "sure": pa.array(sure)}
+    sure, repeated = settle(key, doc)
+    key = scatter(key, sure, at, doc)
+    return {"doc": pa.array(doc), "at": pa.array(at), "key": pa.array(key), "sure": pa.array(sure), "repeated": pa.array(repeated)}
 
 
 def _positions(batch: pa.RecordBatch, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +126,7 @@ def _second_pass(batch: pa.RecordBatch) -> dict[str, object]:
     ]
     both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
     doc, at = docs[owner], place(tags[owner], low - found.starts[owner])
-    sure = settle(both[:, 0], doc)
+    sure, _ = settle(both[:, 0], doc)
     return {
         "doc": pa.array(doc), "at": pa.array(at), "size": pa.array((ends - low).astype(np.int32)), "lead": pa.array((where - low).astype(np.int32)),
         "gram": pa.array(found.gram[where].view(np.int64)), "k1": pa.array(scatter(both[:, 0].copy(), sure, at, doc)),
@@ -144,7 +145,7 @@ def _third_pass(batch: pa.RecordBatch) -> dict[str, object]:
     owner = np.repeat(owner, n)[first]
     one, two = (rolling(found.data, WINDOW, b)[start].view(np.int64) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
     doc, at = docs[owner], place(tags[owner], start - found.starts[owner])
-    sure = settle(one, doc)
+    sure, _ = settle(one, doc)
     return {"doc": pa.array(doc), "at": pa.array(at), "k1": pa.array(scatter(one, sure, at, doc)), "k2": pa.array(two), "sure": pa.array(sure)}
 
 
@@ -164,8 +165,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     other.  Other columns aren't read.
     """
     scratch, rows = Scratch(docs.sparkSession), document_rows(docs)
-    schema = "doc bigint, at bigint, key bigint, sure boolean"
-    grams = with_first(map_rows(rows, _first_pass, schema, _BLOCK), "key").where("sure or first < last")
+    schema = "doc bigint, at bigint, key bigint, sure boolean, repeated boolean"
+    grams = with_first(map_rows(rows, _first_pass, schema, _BLOCK), "key").where("sure or repeated or first < last")
     anchors = scratch.cut(grams.select("doc", "at"), "anchors")
 
     schema = "doc bigint, at bigint, size int, lead int, gram bigint, k1 bigint, k2 bigint, sure boolean"

@@ -31,19 +31,22 @@ def position_of(col: str) -> Column:
     return F.col(col).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
-def settle(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Rows of a block whose key stands in a smaller document of the same block: these repeat for certain.
+def settle(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a block whose key stands in a smaller document of the same block, and rows that they repeat.
 
-    They need no partner from elsewhere, so a frequent key sends on one row of each block only.
+    The former repeat for certain and need no partner from elsewhere, so a frequent key sends on the rows of one
+    document of each block only.
     """
     order = np.lexsort((docs, keys))
     k, d = keys[order], docs[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
-    first = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(k) else d
-    sure = np.zeros(len(k), bool)
+    group = np.cumsum(new) - 1
+    first = d[np.flatnonzero(new)][group] if len(k) else d
+    sure, repeated = np.zeros(len(k), bool), np.zeros(len(k), bool)
     sure[order] = d > first
-    return sure
+    repeated[order] = (np.bincount(group, d > first) > 0)[group] & (d == first) if len(k) else False
+    return sure, repeated
 
 
 def scatter(keys: np.ndarray, sure: np.ndarray, places: np.ndarray, docs: np.ndarray) -> np.ndarray:

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import LOWER, Scratch, map_rows, texts
 from .components import components
@@ -49,13 +50,18 @@ def fingerprint(text: bytes) -> int:
 
 
 def _fingerprints(batch: pa.RecordBatch) -> dict[str, object]:
-    fps = np.array([fingerprint(t) for t in texts(batch.column(1))], np.uint64).view(np.int64)
-    return {"doc_id": batch.column(0), "fp": pa.array(fps)}
+    fps = np.array([fingerprint(t) for t in texts(batch.column(2))], np.uint64).view(np.int64)
+    return {"doc_id": batch.column(0), "h": batch.column(1), "fp": pa.array(fps)}
+
+
+def _text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long, for each row."""
-    return map_rows(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), _fingerprints, "doc_id bigint, fp bigint")
+    """``doc_id``, ``h`` (a hash of the text) and ``fp``, the fingerprint as a signed long, for each row."""
+    df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), _text_hash().alias("h"), F.col("text").cast("string").alias("text"))
+    return map_rows(df, _fingerprints, "doc_id bigint, h bigint, fp bigint")
 
 
 class Golay:
@@ -128,22 +134,47 @@ def near_fingerprints(fps: DataFrame) -> DataFrame:
     return one.join(other.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & close).select("a", "b")
 
 
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with their fingerprints, and the component of each fingerprint."""
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.cut(fingerprints(docs), "fingerprints")
+    distinct = scratch.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    member = components(near_fingerprints(distinct.select("fp")), scratch)
+    least = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    roots = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows, scratch.cut(least.join(roots, "component").select("fp", "component", "component_id"), "classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Near-duplicate classes: ``doc_id``, ``fingerprint`` (hex) and ``component_id`` for each row of ``docs``.
 
     Texts link when their fingerprints differ in three bits at most; ``component_id`` is the least ``doc_id``
     reachable over links.  Null and empty texts have fingerprint zero and link as any other.  Rows with a null id take
     part in links, and have the component's least id (null if there is none).  Repeated rows stay repeated.  Equal
-    fingerprints become one before the join, so large groups of copies cost one key set.
+    fingerprints become one before the join, so large groups of copies cost one key set.  Other columns aren't read.
     """
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.cut(fingerprints(docs), "fingerprints")
-    distinct = scratch.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    member = components(near_fingerprints(distinct.select("fp")), scratch)
-    least = (
-        distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left")
-        .withColumn("component", F.coalesce("component", "fp"))
-    )
-    roots = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = scratch.cut(least.join(roots, "component").select("fp", "component_id"), "classes")
+    rows, known = _classes(docs)
     return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each class, with all its columns: one with the least id.
+
+    Of several rows with that id the one whose text has the least hash stays, of equal rows one.  In a class without
+    ids, the text with the least hash stays, once.
+    """
+    rows, known = _classes(docs)
+    chosen = rows.join(known, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Texts count once each before the least is taken, and only sums go over the network.
+    chosen = chosen.groupBy("component", "component_id").agg(F.min(F.coalesce("h", F.lit(0))).alias("least_h"))
+    chosen = chosen.select(F.col("component_id").alias("least_id"), "least_h")
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    by = {c: n for n, c in names.items()}
+    wide = docs.toDF(*names)
+    wide = wide.withColumn("h", F.xxhash64(F.col(by["text"]).cast("string")))
+    own_id = F.col(by["doc_id"]).cast("bigint")
+    spread = lambda c: F.coalesce(c, F.lit(0))
+    there = (spread(own_id) == spread(F.col("least_id"))) & (F.col("h") == F.col("least_h")) & own_id.eqNullSafe(F.col("least_id"))
+    left = wide.join(chosen, there, "left_semi").withColumn("id", own_id)
+    nth = F.row_number().over(W.partitionBy("id", "h").orderBy(F.lit(0)))
+    return left.withColumn("nth", nth).where("nth = 1").drop("nth", "id", "h").toDF(*names.values())

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ALNUM, Memo, hash_order, map_rows, texts
 
@@ -154,29 +155,40 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     return fit(x, np.array(got.column("label").to_pylist()) > 0, pairs)
 
 
-def _scorer(model: Linear):
+def _scorer(model: Linear, text_at: int):
     memos: list[Memo] = []
 
     def score(batch: pa.RecordBatch) -> dict[str, object]:
         memo = memos[0] if memos else memos.append(Memo(bucket)) or memos[0]
-        scores = [model.score(features(t, memo)) for t in texts(batch.column(0))]
-        kept = {n: batch.column(i) for i, n in enumerate(batch.schema.names) if i}
-        return kept | {"score": pa.array(scores, pa.float64())}
+        scores = [model.score(features(t, memo)) for t in texts(batch.column(text_at))]
+        return {n: batch.column(i) for i, n in enumerate(batch.schema.names)} | {"score": pa.array(scores, pa.float64())}
 
     return score
 
 
-def score(docs: DataFrame, model: Linear, keep: list[str]) -> DataFrame:
-    """``keep`` of each row, then ``score``: the probability of label 1 for its whole text.
+def score(docs: DataFrame, model: Linear) -> tuple[DataFrame, dict[str, str]]:
+    """Every row of ``docs`` with ``score``, the probability of label 1 for its whole text.
 
-    Null and empty texts get the score of a text without words.  Only the text is looked at.
+    Columns of ``docs`` have new names, so that none clashes with the result; the second value maps them to the old
+    ones.  Null and empty texts get the score of a text without words.  Only the text is looked at.
     """
-    names = {c: f"c{i}" for i, c in enumerate(keep)}
-    df = docs.select(F.col("text").cast("string").alias("__text"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
-    kinds = [*df.drop("__text").schema.fields]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kinds] + ["score double"])
-    out = map_rows(df, _scorer(model), schema)
-    return out.select(*(F.col(n).alias(c) for c, n in names.items()), "score")
+    names = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    text = next(n for n, c in names.items() if c == "text")
+    df = docs.toDF(*names).withColumn(text, F.col(text).cast("string"))
+    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
+    return map_rows(df, _scorer(model, [*names].index(text)), schema), names
+
+
+def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose score is below one half, with all their columns.
+
+    Without usable labels of both classes nothing is known to be toxic, so every row stays.
+    """
+    model = train(docs, labels)
+    if not model.weights.any():
+        return docs
+    scored, names = score(docs, model)
+    return scored.where(F.col("score") < 0.5).drop("score").toDF(*names.values())
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -186,5 +198,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows.  Repeated rows are scored one by one.
     """
     model = train(docs, labels)
-    out = score(docs, model, ["doc_id"])
+    out, _ = score(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model)
+    out = out.select(F.col("c0").alias("doc_id"), "score")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
