@@ -1,0 +1 @@
+"""Process mining and control conformance as Spark DataFrame plans."""
