@@ -60,7 +60,8 @@ def layered(
     if layer not in LAYERS:
         raise ValueError(f"layer must be one of {', '.join(LAYERS)}, not {layer!r}")
     about = ("actor_id", "role", "model", "prompt_version", "scenario_id", "killswitch")
-    df = spans.join(runs.select("run_id", *about), "run_id", "left").withColumn("outcome", outcome())
+    own = ("span_id", "run_id", "kind", "name", "step", "started_at", "ok", "error", "item_key", "value_cents", "attributes")
+    df = spans.select(*own).join(runs.select("run_id", *about), "run_id", "left").withColumn("outcome", outcome())
     agent = F.concat(F.lit("agent:"), F.coalesce("model", F.lit("unknown")))
     if layer == "internal":
         model = F.col("kind") == "model"
