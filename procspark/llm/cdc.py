@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_rows, texts
-from .repeats import LAST, document_rows, place, position_of, scatter, settle, tag_of, with_first
+from .common import map_rows, texts
+from .repeats import LAST, document_rows, place, position_of, repeats, scatter, settle, tag_of
 
 LEAST, MOST = 24, 256
 #: So many upper bits of the gear hash are zero at a cut.
@@ -123,8 +123,8 @@ def dedup_chunks(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     """
     rows = document_rows(docs)
     schema = "doc bigint, at bigint, size int, k1 bigint, k2 bigint, sure boolean"
-    found = with_first(map_rows(rows, _chunks, schema), "k1", "k2").where("sure or first < doc")
-    return cut_out(rows, found.select("doc", "at", "size"), run_bytes)
+    found = repeats(map_rows(rows, _chunks, schema), ("k1", "k2"), ("doc", "at", "size"))
+    return cut_out(rows, found, run_bytes)
 
 
 def digest(out: DataFrame) -> DataFrame:

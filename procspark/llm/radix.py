@@ -10,7 +10,7 @@ only groups with more than one document go on:
 3. for blocks that share an anchor's digit and yet differ, each 50-byte window.
 
 Groups that are equal to the last digit are exactly the repeated windows.  Each pass is one shuffle by the digit; a
-group is ordered by window functions for its least document and never gathered.
+group passes through a task as a stream, least document first, and is never gathered.
 """
 
 from __future__ import annotations
@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from .cdc import cut_out
 from .common import Scratch, map_rows, texts
-from .repeats import document_rows, place, position_of, scatter, settle, tag_of, with_first
+from .repeats import document_rows, place, position_of, repeats, scatter, settle, streamed, tag_of
 
 #: Fixed value: bytes in a window.
 WINDOW = 50
 #: Bytes in the first digit.
 GRAM = 24
 _REACH = WINDOW - GRAM + 1
-_BLOCK = 2 << 20
+_BLOCK = 1 << 19
 
 
 def rolling(data: np.ndarray, width: int, base: int) -> np.ndarray:
@@ -140,13 +140,12 @@ def _third_pass(batch: pa.RecordBatch) -> dict[str, object]:
     owner, where = _positions(batch, found.starts)
     low, high = found.windows(where)
     n = high - low + 1
-    start = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    start, first = np.unique(start, return_index=True)
-    owner = np.repeat(owner, n)[first]
-    one, two = (rolling(found.data, WINDOW, b)[start].view(np.int64) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
-    doc, at = docs[owner], place(tags[owner], start - found.starts[owner])
-    sure, _ = settle(one, doc)
-    return {"doc": pa.array(doc), "at": pa.array(at), "k1": pa.array(scatter(one, sure, at, doc)), "k2": pa.array(two), "sure": pa.array(sure)}
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    start = np.repeat(low - offsets[:-1], n) + np.arange(offsets[-1])
+    hashes = rolling(found.data, WINDOW, 0xC2B2AE3D27D4EB4F)[start].view(np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes))
+    at = place(tags[owner], low - found.starts[owner])
+    return {"doc": pa.array(docs[owner]), "at": pa.array(at), "gram": pa.array(found.gram[where].view(np.int64)), "hashes": lists}
 
 
 def _with_positions(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -166,20 +165,20 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """
     scratch, rows = Scratch(docs.sparkSession), document_rows(docs)
     schema = "doc bigint, at bigint, key bigint, sure boolean, repeated boolean"
-    grams = with_first(map_rows(rows, _first_pass, schema, _BLOCK), "key").where("sure or repeated or first < last")
-    anchors = scratch.cut(grams.select("doc", "at"), "anchors")
+    grams = repeats(map_rows(rows, _first_pass, schema, _BLOCK), ("key",), ("doc", "at"), "shared")
+    anchors = scratch.cut(grams, "anchors")
 
     schema = "doc bigint, at bigint, size int, lead int, gram bigint, k1 bigint, k2 bigint, sure boolean"
-    blocks = with_first(map_rows(_with_positions(rows, anchors), _second_pass, schema, _BLOCK), "k1", "k2")
-    blocks = blocks.withColumn("again", F.expr("sure or first < doc"))
-    blocks = scratch.cut(blocks.select("doc", "at", "size", "lead", "gram", "again"), "blocks")
+    blocks = map_rows(_with_positions(rows, anchors), _second_pass, schema, _BLOCK)
+    blocks = scratch.cut(repeats(blocks, ("k1", "k2"), ("doc", "at", "size", "lead", "gram"), "mark"), "blocks")
     scratch.drop(anchors)
 
-    # Blocks with an anchor's digit in common but other bytes around it.
-    first_ones = blocks.where("not again").withColumn("sure", F.lit(False))
-    mixed = with_first(first_ones, "gram").where("first < last").select("doc", (F.col("at") + F.col("lead")).alias("at"))
-    schema = "doc bigint, at bigint, k1 bigint, k2 bigint, sure boolean"
-    each = with_first(map_rows(_with_positions(rows, mixed), _third_pass, schema, _BLOCK), "k1", "k2").where("sure or first < doc")
-    single = scratch.cut(each.select("doc", "at", F.lit(WINDOW).alias("size")), "windows")
-    whole = blocks.where("again").select("doc", "at", "size")
-    return cut_out(rows, whole.union(single), 1)
+    # Blocks of first documents that share an anchor's digit with another block, yet have other bytes around it.
+    firsts = blocks.where("not again").select("doc", (F.col("at") + F.col("lead")).alias("at"), "gram", F.lit(False).alias("sure"))
+    mixed = scratch.cut(repeats(firsts, ("gram",), ("doc", "at"), "shared"), "mixed")
+    schema = "doc bigint, at bigint, gram bigint, hashes array<bigint>"
+    dealt = map_rows(_with_positions(rows, mixed), _third_pass, schema, _BLOCK).repartition("gram")
+    each = dealt.select("doc", "at", "gram", F.posexplode("hashes").alias("i", "window"))
+    each = each.select("doc", (F.col("at") + F.col("i")).alias("at"), "gram", "window", F.lit(False).alias("sure"))
+    single = scratch.cut(streamed(each, ("gram", "window"), ("doc", "at")).withColumn("size", F.lit(WINDOW)), "windows")
+    return cut_out(rows, blocks.where("again").select("doc", "at", "size").unionByName(single), 1)

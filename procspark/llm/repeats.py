@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 #: The place of documents without an id: behind all others.
 LAST = (1 << 63) - 1
@@ -55,7 +58,71 @@ def scatter(keys: np.ndarray, sure: np.ndarray, places: np.ndarray, docs: np.nda
     return np.where(sure, spread.view(np.int64), keys)
 
 
-def with_first(rows: DataFrame, *key: str) -> DataFrame:
-    """Adds ``first`` and ``last``: the least and greatest ``doc`` of each key.  Settled rows keep to themselves."""
-    w = W.partitionBy(*key, "sure")
-    return rows.withColumn("first", F.min("doc").over(w)).withColumn("last", F.max("doc").over(w))
+class _Stream:
+    """Rows ordered by key and document, group by group, with a state of one group's first document.
+
+    ``later`` passes on rows that aren't of their key's first document, ``shared`` all rows of keys with two documents
+    or more, ``mark`` all rows with a column ``again`` that tells the later ones.  Settled rows, and rows that they
+    repeat, count as what they are.
+    """
+
+    def __init__(self, keys: tuple[str, ...], keep: tuple[str, ...], mode: str):
+        self.keys, self.keep, self.mode = keys, keep, mode
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, open_shared, waiting = None, False, []
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            col = lambda name, b=batch: np.asarray(b.column(b.schema.get_field_index(name)))
+            keys, doc, sure = [col(k) for k in self.keys], col("doc"), col("sure")
+            new = np.zeros(n, bool)
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            new[0] = before is None or any(k[0] != b for k, b in zip(keys, before[0], strict=True))
+            group = np.cumsum(new) - (1 if new[0] else 0)
+            starts = np.flatnonzero(new)
+            firsts = doc[starts] if new[0] else np.concatenate([[before[1]], doc[starts]])
+            later = doc > firsts[group]
+            out = batch.select(list(self.keep))
+            if self.mode == "mark":
+                out, keep = out.append_column("again", pa.array(sure | later)), np.ones(n, bool)
+            elif self.mode == "later":
+                keep = sure | later
+            else:
+                hit = np.bincount(group, later, len(firsts)) > 0
+                if not new[0]:
+                    hit[0] |= open_shared
+                    if hit[0]:
+                        yield from waiting
+                if new[0] or len(firsts) > 1 or hit[0]:
+                    waiting = []
+                keep = sure | hit[group]
+                if "repeated" in batch.schema.names:
+                    keep |= col("repeated")
+                open_shared = bool(hit[-1])
+                last = (group == len(firsts) - 1) & ~keep
+                if not open_shared and last.any():
+                    waiting = [*waiting, out.filter(pa.array(last))]
+            before = ([k[-1] for k in keys], firsts[-1])
+            if keep.any():
+                yield out.filter(pa.array(keep))
+
+
+def repeats(rows: DataFrame, keys: tuple[str, ...], keep: tuple[str, ...], mode: str = "later") -> DataFrame:
+    """Columns ``keep`` of the rows that a mode of ``_Stream`` passes on.
+
+    ``rows`` has the keys, ``doc`` and ``sure``.  One shuffle by the first key and a sort that can spill; a group
+    passes through its task as a stream, however large it is.
+    """
+    return streamed(rows.repartition(keys[0]), keys, keep, mode)
+
+
+def streamed(rows: DataFrame, keys: tuple[str, ...], keep: tuple[str, ...], mode: str = "later") -> DataFrame:
+    """As ``repeats``, for rows that were dealt by the first key already."""
+    ordered = rows.sortWithinPartitions(*keys, "doc")
+    schema = ordered.select(*keep).schema
+    if mode == "mark":
+        schema = T.StructType([*schema.fields, T.StructField("again", T.BooleanType())])
+    return ordered.mapInArrow(_Stream(keys, keep, mode), schema)
