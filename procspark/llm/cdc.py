@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from .common import map_rows, texts
 from .repeats import LAST, document_rows, place, position_of, repeats, scatter, settle, tag_of
 
-LEAST, MOST = 24, 256
+LEAST, MOST = 8, 256
 #: So many upper bits of the gear hash are zero at a cut.
-CUT_BITS = 5
+CUT_BITS = 3
 #: Repeats are removed where so many bytes of repeated chunks follow each other; short common phrases stay.
-RUN_BYTES = 128
+RUN_BYTES = 96
 #: The gear table, one number for each byte, from a fixed generator.
 GEAR = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 32, 256, dtype=np.uint32)
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM, Memo, hash_order, map_rows, texts
+from .toxicity import Rows
 
 BUCKETS = 1 << 16
 #: The scorer is fitted on so many texts at most, drawn by hash.
@@ -137,19 +138,16 @@ def _train_rows(batch: pa.RecordBatch) -> dict[str, object]:
     }
 
 
-def fit(x: list[list[int]], y: np.ndarray) -> tuple[np.ndarray, float]:
+def fit(x: Rows, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression on posterior labels; each text's features share its unit length."""
-    n, w, b = len(x), np.zeros(BUCKETS), 0.0
-    if not n:
+    w, b = np.zeros(BUCKETS), 0.0
+    if not x.n:
         return w.astype(np.float32), b
-    sizes = np.array([len(r) for r in x])
-    cols, rows = np.concatenate([np.asarray(r, np.int64) for r in x]), np.repeat(np.arange(n), sizes)
-    value = (1 / np.sqrt(np.maximum(sizes, 1)))[rows]
+    value = 1 / np.sqrt(np.maximum(np.bincount(x.rows, minlength=x.n), 1))
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        z = np.bincount(rows, w[cols] * value, n) + b
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g, gb = np.bincount(cols, d[rows] * value, BUCKETS) + L2 * w, float(d.sum())
+        d = (1 / (1 + np.exp(-np.clip(x.sums(w) * value + b, -30, 30))) - y) / x.n
+        g, gb = x.back(d * value, BUCKETS) + L2 * w, float(d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
@@ -194,6 +192,6 @@ def classify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     near = near.where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     drawn = map_rows(near, _train_rows, "votes string, x array<int>, h bigint").orderBy("h").limit(train_rows).toArrow()
     y = np.array([posterior.get(v, 0.5) for v in drawn.column("votes").to_pylist()])
-    w, b = fit(drawn.column("x").to_pylist(), y)
+    w, b = fit(Rows.from_arrow(drawn.column("x")), y)
     out = map_rows(rows, _scorer(posterior, w, b), "doc_id bigint, votes string, posterior double, score double")
     return out.withColumn("keep", F.col("score") >= 0.5)

@@ -121,16 +121,16 @@ def _second_pass(batch: pa.RecordBatch) -> dict[str, object]:
     owner, where = _positions(batch, found.starts)
     low, high = found.windows(where)
     ends = high + WINDOW
-    digests = [
-        xxhash.xxh3_128_digest(found.raw[a:b], seed=x) for a, b, x in zip(low.tolist(), ends.tolist(), (where - low).tolist(), strict=True)
-    ]
-    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    raw = found.raw
+    digests = [xxhash.xxh3_64_digest(raw[a:b], x) for a, b, x in zip(low.tolist(), ends.tolist(), (where - low).tolist(), strict=True)]
+    block = np.frombuffer(b"".join(digests), np.int64)
+    gram = found.gram[where].view(np.int64)
     doc, at = docs[owner], place(tags[owner], low - found.starts[owner])
-    sure, _ = settle(both[:, 0], doc)
+    # Blocks are compared among those with the same first digit, so both hashes must agree.
+    sure, _ = settle(block ^ gram, doc)
     return {
         "doc": pa.array(doc), "at": pa.array(at), "size": pa.array((ends - low).astype(np.int32)), "lead": pa.array((where - low).astype(np.int32)),
-        "gram": pa.array(found.gram[where].view(np.int64)), "k1": pa.array(scatter(both[:, 0].copy(), sure, at, doc)),
-        "k2": pa.array(both[:, 1].copy()), "sure": pa.array(sure),
+        "gram": pa.array(scatter(gram, sure, at, doc)), "block": pa.array(block), "sure": pa.array(sure),
     }
 
 
@@ -168,9 +168,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     grams = repeats(map_rows(rows, _first_pass, schema, _BLOCK), ("key",), ("doc", "at"), "shared")
     anchors = scratch.cut(grams, "anchors")
 
-    schema = "doc bigint, at bigint, size int, lead int, gram bigint, k1 bigint, k2 bigint, sure boolean"
+    schema = "doc bigint, at bigint, size int, lead int, gram bigint, block bigint, sure boolean"
     blocks = map_rows(_with_positions(rows, anchors), _second_pass, schema, _BLOCK)
-    blocks = scratch.cut(repeats(blocks, ("k1", "k2"), ("doc", "at", "size", "lead", "gram"), "mark"), "blocks")
+    blocks = scratch.cut(repeats(blocks, ("gram", "block"), ("doc", "at", "size", "lead", "gram"), "mark"), "blocks")
     scratch.drop(anchors)
 
     # Blocks of first documents that share an anchor's digit with another block, yet have other bytes around it.

@@ -1,8 +1,8 @@
 """Token ids in binary shards, in training order.
 
-A keyed Feistel permutation with cycle-walking gives every sequence a slot; ranges of slots are shards, written as
-records of one fixed stride.  Slot i stands in shard i // shard_rows at byte (i % shard_rows) * stride, so a reader
-can start or resume anywhere by arithmetic alone.
+A keyed Feistel permutation with cycle-walking gives every sequence its place; ranges of places are shards, written as
+records of one fixed stride.  A shard's first slot follows from the sizes of the shards before it, and the record of a
+slot stands at (slot - first slot) * stride, so a reader can start or resume anywhere by arithmetic alone.
 
 A record is: doc_id (int64, the least one for null), sequence number within the document (int32), number of tokens
 (int32), ``length`` ids (little-endian, 2 or 4 bytes each, zero-filled), one newline byte.
@@ -12,59 +12,40 @@ from __future__ import annotations
 
 import base64
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from .common import Memo, bounded, map_rows
+from .common import CHUNK_BYTES, Scratch, bounded
 
 #: Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LENGTH = 256
-SHARD_ROWS = 1 << 15
+#: Places in a shard; a shard has at most so many records, and about half as many in common texts.
+SHARD_PLACES = 1 << 16
 KEY = 0x5EEDF00D
 ROUNDS = 6
-#: Documents of one bucket get consecutive places before the permutation; there are never more buckets than this,
-#: which bounds the table of their offsets.
-BUCKET_ROWS, MOST_BUCKETS = 4096, 1 << 16
-_IRREGULAR = re.compile(r"\s |\s$| \s|^\s")
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
 NULL_ID = -(1 << 63)
 
 
 class Tokenizer:
-    """Ids of a rank file's vocabulary, with an end-of-text id behind the last rank.
-
-    Every split pattern starts a new piece at a space between two other characters, so words can be encoded one by
-    one and remembered.
-    """
+    """Ids of a rank file's vocabulary, with an end-of-text id behind the last rank."""
 
     def __init__(self, ranks: bytes):
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.end = max(table.values()) + 1
         self.dtype = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
         self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-        self.memo = Memo(self._word)
-
-    def _word(self, word: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(" " + word), self.dtype).tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), self.dtype).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a whole text, without the end id."""
-        first, *rest = text.split(" ") if not _IRREGULAR.search(text) else _BREAK.split(text)
-        memo = self.memo
-        return np.frombuffer(b"".join([self._plain(first), *[memo[w] if len(w) < 64 else self._word(w) for w in rest]]), self.dtype)
+        return np.array(self.encoding.encode_ordinary(text), self.dtype)
 
 
 _tokenizers: dict[int, Tokenizer] = {}
@@ -113,10 +94,10 @@ class Feistel:
 
 
 class Layout:
-    """What a reader has to know; kept beside the shards as JSON."""
+    """What a reader has to know; kept beside the shards as JSON, but for the shards' sizes, which their files tell."""
 
-    def __init__(self, sequences: int, length: int, width: int, shard_rows: int, key: int):
-        self.sequences, self.length, self.width, self.shard_rows, self.key = sequences, length, width, shard_rows, key
+    def __init__(self, places: int, length: int, width: int, shard_places: int, key: int):
+        self.places, self.length, self.width, self.shard_places, self.key = places, length, width, shard_places, key
         self.stride = 16 + length * width + 1
 
     def json(self) -> str:
@@ -125,114 +106,150 @@ class Layout:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Layout:
         x = json.loads(spark.read.text(f"{path}/layout").first()[0])
-        return cls(*(x[k] for k in ("sequences", "length", "width", "shard_rows", "key")))
+        return cls(*(x[k] for k in ("places", "length", "width", "shard_places", "key")))
 
 
-def _counter(ranks: bytes, length: int):
-    def count(batch: pa.RecordBatch) -> dict[str, object]:
-        t = tokenizer(ranks)
-        n = [len(t.ids(x or "")) // length + 1 for x in batch.column(1).to_pylist()]
-        return {"bucket": batch.column(0), "n": pa.array(n, pa.int64())}
+class _Runs:
+    """Places that the rows of one file may need, at most, for each file that a task reads.  One row for each."""
 
-    return count
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs: list[list] = []
+        for batch in batches:
+            for file, row, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if not runs or runs[-1][0] != file:
+                    runs.append([file, row, 0])
+                runs[-1][2] += n
+        kinds = (pa.string(), pa.int64(), pa.int64())
+        columns = zip(*runs, strict=True) if runs else ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "row", "n"])
 
 
 class _Sequencer:
-    """Sequences of documents that come bucket by bucket in a fixed order: slot, shard and record."""
+    """Sequences of documents in the order in which a task reads them: permuted place, shard and record."""
 
-    def __init__(self, ranks: bytes, layout: Layout):
-        self.ranks, self.layout = ranks, layout
+    def __init__(self, ranks: bytes, layout: Layout, starts):
+        self.ranks, self.layout, self.starts = ranks, layout, starts
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, lay = tokenizer(self.ranks), self.layout
-        places, bucket, at = Feistel(lay.sequences, lay.key), None, 0
+        order, at_file, at = Feistel(lay.places, lay.key), None, 0
         for whole in batches:
-            for batch in bounded(whole, 4 << 20):
+            for batch in bounded(whole, CHUNK_BYTES):
                 index, records = [], []
-                for b, offset, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    if b != bucket:
-                        bucket, at = b, offset
-                    ids = np.append(t.ids(text or ""), t.dtype.type(t.end))
-                    n = -(-len(ids) // lay.length)
+                for file, row, most, doc, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                    if file != at_file:
+                        # Tasks of both passes read the same parts; a start that isn't known is an error.
+                        at_file, at = file, self.starts.value[file, row]
+                    ids = t.ids(text or "")
+                    n = len(ids) // lay.length + 1
                     rows = np.zeros((n, lay.length), t.dtype)
                     rows.ravel()[: len(ids)] = ids
+                    rows.ravel()[len(ids)] = t.end
                     who = (NULL_ID if doc is None else doc).to_bytes(8, "little", signed=True)
                     for k in range(n):
-                        used = min(lay.length, len(ids) - k * lay.length)
+                        used = min(lay.length, len(ids) + 1 - k * lay.length)
                         records.append(who + k.to_bytes(4, "little") + used.to_bytes(4, "little") + rows[k].tobytes())
                     index.append(np.arange(at, at + n))
-                    at += n
-                slots = places.slot(np.concatenate(index))
+                    at += most
+                places = order.slot(np.concatenate(index))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots), pa.array((slots // lay.shard_rows).astype(np.int32)), pa.array(records, pa.binary())],
-                    names=["slot", "shard", "record"],
+                    [pa.array(places), pa.array((places // lay.shard_places).astype(np.int32)), pa.array(records, pa.binary())],
+                    names=["place", "shard", "record"],
                 )
 
 
+def _placed(docs: DataFrame, length: int) -> DataFrame:
+    """Rows with their file and row, which order them the same however they are split, and the most sequences of each.
+
+    No id stands for less than a byte, so the bytes of a text bound its ids.
+    """
+    text = F.col("text").cast("string")
+    most = F.floor(F.coalesce(F.octet_length(text), F.lit(0)) / length).cast("bigint") + 1
+    own = [most.alias("most"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")]
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        return docs.select(*where, *own)
+    except AnalysisException:
+        # Not a plain read of files; so it is written first.
+        return Scratch(docs.sparkSession).cut(docs.select("doc_id", "text"), "documents").select(*where, *own)
+
+
 def materialise(
     docs: DataFrame,
     path: str,
     ranks: str = RANKS,
     length: int = LENGTH,
-    shard_rows: int = SHARD_ROWS,
+    shard_places: int = SHARD_PLACES,
     key: int = KEY,
 ) -> Layout:
     """Write the sequences of all documents to ``path``: ``shard=K`` folders with one file each, and ``layout``.
 
     A document is its ids and the end id, cut into sequences of ``length``; so null and empty texts have one sequence
     with the end id alone.  Null ids are kept, repeated rows give repeated sequences with slots of their own, an empty
-    table gives a layout without sequences.  Other columns aren't read.
+    table gives a layout without shards.  Other columns aren't read.
 
-    Texts are tokenized twice (once to count) rather than stored in between; they are shuffled once by bucket, the
-    records once by shard.  Within a bucket, rows are ordered by id and text, so any run gives the same slots.  Spark's
-    own writer commits the shards, hence a lost executor's tasks are simply run again.
+    Every row gets as many consecutive numbers as it may have sequences, in the order of files and rows; the
+    permutation of all numbers gives each sequence its place in training order, and ranges of places are shards.  The
+    numbers that no sequence took leave no gaps: a slot is the rank of a place, that is the records of earlier shards
+    and of its own before it.  Any run over the same files gives the same slots, however the files are split.
+
+    The first pass reads lengths only, and the driver gets one number for each part of a file that a task reads.
+    Texts are tokenized once, and records shuffled once.  Spark's own writer commits the shards, hence tasks of a lost
+    executor are simply run again.
     """
     spark = docs.sparkSession
     vocabulary = spark.read.format("binaryFile").load(f"file://{ranks}" if ranks.startswith("/") else ranks).first().content
     vocabulary = bytes(vocabulary)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    buckets = min(MOST_BUCKETS, rows.count() // BUCKET_ROWS + 1)
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "text")
-    counts = map_rows(rows.select("bucket", "text"), _counter(vocabulary, length), "bucket int, n bigint")
-    sums = {r.bucket: r.n for r in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
-    offsets, total = [], 0
-    for b in sorted(sums):
-        offsets.append((b, total))
-        total += sums[b]
-    layout = Layout(total, length, tokenizer(vocabulary).dtype.itemsize, shard_rows, key)
+    rows = _placed(docs, length)
+    runs = rows.select("file", "row", "most").mapInArrow(_Runs(), "file string, row bigint, n bigint").collect()
+    starts, total = {}, 0
+    for run in sorted(runs):
+        starts[run.file, run.row] = total
+        total += run.n
+    layout = Layout(total, length, tokenizer(vocabulary).dtype.itemsize, shard_places, key)
     spark.createDataFrame([(layout.json(),)], "value string").coalesce(1).write.text(f"{path}/layout")
     if not total:
         return layout
-    # At most MOST_BUCKETS rows of two numbers.
-    starts = F.broadcast(spark.createDataFrame(offsets, "bucket int, first bigint"))
-    dealt = rows.repartition("bucket").join(starts, "bucket").select("bucket", "first", "doc_id", "text")
-    ordered = dealt.sortWithinPartitions("bucket", "doc_id", "text")
-    records = ordered.mapInArrow(_Sequencer(vocabulary, layout), "slot bigint, shard int, record binary")
-    files = -(-total // shard_rows)
-    placed = records.repartition(files, "shard").sortWithinPartitions("shard", "slot")
+    # As many entries as there are tasks that read files, no more than the driver's own list of these parts.
+    sequencer = _Sequencer(vocabulary, layout, spark.sparkContext.broadcast(starts))
+    records = rows.mapInArrow(sequencer, "place bigint, shard int, record binary")
+    placed = records.repartition(-(-total // shard_places), "shard").sortWithinPartitions("shard", "place")
     placed.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").text(f"{path}/shards")
     return layout
 
 
-def _reader(layout: Layout):
+def shard_starts(spark: SparkSession, path: str) -> tuple[dict[int, int], int]:
+    """The first slot of each shard and the number of slots, from the sizes of files; no content is read."""
+    layout = Layout.load(spark, path)
+    if not layout.places:
+        return {}, 0
+    files = spark.read.format("binaryFile").load(f"{path}/shards").select("shard", "length")
+    starts, total = {}, 0
+    for shard, size in sorted(files.collect()):
+        starts[shard] = total
+        total += size // layout.stride
+    return starts, total
+
+
+def _reader(layout: Layout, starts: dict[int, int]):
     ids = np.dtype("<u2" if layout.width == 2 else "<u4")
     record = np.dtype([("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4"), ("ids", ids, (layout.length,)), ("end", "u1")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = int(re.search(r"shard=(\d+)/", path)[1])
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = np.frombuffer(content, record)
                 for i in range(0, len(found), 8192):
                     part = found[i : i + 8192]
                     at = np.arange(i, i + len(part), dtype=np.int64)
-                    docs = pa.array(part["doc_id"], mask=part["doc_id"] == NULL_ID)
+                    used = np.arange(layout.length)[None, :] < part["n_tokens"][:, None]
+                    ends = np.concatenate([[0], np.cumsum(part["n_tokens"])]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(part["ids"][used].astype(np.int32)))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(at + shard * layout.shard_rows), pa.array(np.full(len(part), shard, np.int32)),
-                            pa.array(at * layout.stride), docs, pa.array(part["seq_no"].copy()),
-                            pa.array(part["n_tokens"].copy()),
-                            pa.array([r["ids"][: r["n_tokens"]].astype("<i4") for r in part], pa.list_(pa.int32())),
+                            pa.array(at + starts[shard]), pa.array(np.full(len(part), shard, np.int32)), pa.array(at * layout.stride),
+                            pa.array(part["doc_id"], mask=part["doc_id"] == NULL_ID), pa.array(part["seq_no"].copy()),
+                            pa.array(part["n_tokens"].copy()), lists,
                         ],
                         names=_COLUMNS,
                     )
@@ -246,11 +263,12 @@ _SCHEMA = "slot bigint, shard int, offset bigint, doc_id bigint, seq_no int, n_t
 
 def read_shards(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
     """Records of the shards from ``from_slot`` on: where they stand, whose they are, and their ids."""
-    layout = Layout.load(spark, path)
-    if from_slot >= layout.sequences:
+    layout, (starts, total) = Layout.load(spark, path), shard_starts(spark, path)
+    if from_slot >= total:
         return spark.createDataFrame([], _SCHEMA)
-    files = spark.read.format("binaryFile").load(f"{path}/shards").where(F.col("shard") >= from_slot // layout.shard_rows)
-    out = files.select("path", "content").mapInArrow(_reader(layout), _SCHEMA)
+    first = max(k for k, start in starts.items() if start <= from_slot)
+    files = spark.read.format("binaryFile").load(f"{path}/shards").where(F.col("shard") >= first)
+    out = files.select("shard", "content").mapInArrow(_reader(layout, starts), _SCHEMA)
     return out.where(F.col("slot") >= from_slot)
 
 

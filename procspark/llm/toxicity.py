@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,7 +45,11 @@ TRAIN_ROWS = 16_000
 SWAPS = 4
 STEPS = 150
 RATE = 0.08
-L2 = 2e-5
+L2 = 1e-4
+#: A word's weight is held down the more, the fewer texts it has been seen in: by 1 + RARE / texts.
+RARE = 300
+#: What a text of the rarer class counts for.
+POSITIVE = 4.0
 #: Weight of the mean square of score changes under swaps.
 FAIR = 5.0
 FOLDS = 5
@@ -94,34 +99,52 @@ class Linear:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def _csr(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(r) for r in rows], np.int64)
-    return np.concatenate([np.asarray(r, np.int64) for r in rows]) if sizes.sum() else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), sizes)
+class Rows:
+    """Feature rows as flat arrays: buckets, the row of each, and the number of rows."""
 
+    def __init__(self, cols: np.ndarray, sizes: np.ndarray):
+        self.cols, self.rows, self.n = cols.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes), len(sizes)
 
-def fit(
-    x: list[list[int]], y: np.ndarray, pairs: list[tuple[list[int], list[int]]], buckets: int = BUCKETS, fair: float = FAIR
-) -> Linear:
-    """Full-batch Adam on logistic loss, an L2 term and the mean squared score change over swapped pairs.
+    @classmethod
+    def of(cls, lists: list[list[int]]) -> Rows:
+        sizes = np.array([len(r) for r in lists], np.int64)
+        return cls(np.array([c for r in lists for c in r], np.int64), sizes)
 
-    Without rows, or with one class only, the weights are zero and the bias is that of the class shares.
+    @classmethod
+    def from_arrow(cls, column: pa.ChunkedArray) -> Rows:
+        """A column of lists, without a Python object for each number."""
+        flat = column.combine_chunks()
+        flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+        return cls(np.asarray(flat.flatten()), np.diff(np.asarray(flat.offsets)))
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights[self.cols], self.n)
+
+    def back(self, each: np.ndarray, buckets: int) -> np.ndarray:
+        return np.bincount(self.cols, each[self.rows], buckets)
+
+
+def fit(x: Rows, y: np.ndarray, left: Rows, right: Rows, buckets: int = BUCKETS, fair: float = FAIR) -> Linear:
+    """Full-batch Adam on logistic loss, an L2 term by word and the mean squared score change over swapped pairs.
+
+    ``left`` and ``right`` are texts before and after a swap, pair by pair.  Without rows, or with one class only, the
+    weights are zero and the bias is that of the class shares.
     """
     y = np.asarray(y, float)
-    share = (y.sum() + 1) / (len(y) + 2)
+    counts = np.where(y > 0, POSITIVE, 1.0)
+    share = ((counts * y).sum() + 1) / (counts.sum() + 2)
     bias, w = float(np.log(share / (1 - share))), np.zeros(buckets)
     if len(y) == 0 or y.min() == y.max():
         return Linear(w.astype(np.float32), bias)
-    cols, rows = _csr(x)
-    left, left_rows = _csr([a for a, _ in pairs])
-    right, right_rows = _csr([b for _, b in pairs])
-    m, v, mb, vb, n = np.zeros(buckets), np.zeros(buckets), 0.0, 0.0, len(y)
+    counts /= counts.sum()
+    hold = L2 * (1 + RARE / np.maximum(np.bincount(x.cols, minlength=buckets), 1))
+    m, v, mb, vb = np.zeros(buckets), np.zeros(buckets), 0.0, 0.0
     for t in range(1, STEPS + 1):
-        z = np.bincount(rows, w[cols], n) + bias
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g, gb = np.bincount(cols, d[rows], buckets) + L2 * w, float(d.sum())
-        if pairs:
-            gap = (np.bincount(left_rows, w[left], len(pairs)) - np.bincount(right_rows, w[right], len(pairs))) * (2 * fair / len(pairs))
-            g += np.bincount(left, gap[left_rows], buckets) - np.bincount(right, gap[right_rows], buckets)
+        d = counts * (1 / (1 + np.exp(-np.clip(x.sums(w) + bias, -30, 30))) - y)
+        g, gb = x.back(d, buckets) + hold * w, float(d.sum())
+        if left.n:
+            gap = (left.sums(w) - right.sums(w)) * (2 * fair / left.n)
+            g += left.back(gap, buckets) - right.back(gap, buckets)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         fix = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
@@ -150,9 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     seen = map_rows(found, _train_rows, "doc_id bigint, label int, x array<int>, copies array<array<int>>")
     one = seen.groupBy("doc_id").agg(F.min_by(F.struct("label", "x", "copies"), F.xxhash64("x")).alias("r")).select("doc_id", "r.*")
     got = one.toArrow().sort_by("doc_id")
-    x = got.column("x").to_pylist()
-    pairs = [(a, b) for a, copies in zip(x, got.column("copies").to_pylist(), strict=True) for b in copies]
-    return fit(x, np.array(got.column("label").to_pylist()) > 0, pairs)
+    swapped_rows = got.filter(pc.greater(pc.list_value_length(got.column("copies")), 0))
+    pairs = [(a, b) for r in swapped_rows.to_pylist() for a, b in ((r["x"], c) for c in r["copies"])]
+    left, right = Rows.of([a for a, _ in pairs]), Rows.of([b for _, b in pairs])
+    return fit(Rows.from_arrow(got.column("x")), got.column("label").to_numpy() > 0, left, right)
 
 
 def _scorer(model: Linear, text_at: int):

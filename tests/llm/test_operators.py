@@ -76,7 +76,9 @@ def test_counterfactual_penalty():
         y.append(toxic)
         if 2 in words:
             pairs.append((sorted(words), sorted(words - {2} | {3})))
-    plain, fair = toxicity.fit(x, np.array(y), [], 64, 0.0), toxicity.fit(x, np.array(y), pairs, 64)
+    rows_of, none = toxicity.Rows.of, toxicity.Rows.of([])
+    plain = toxicity.fit(rows_of(x), np.array(y), none, none, 64)
+    fair = toxicity.fit(rows_of(x), np.array(y), rows_of([a for a, _ in pairs]), rows_of([b for _, b in pairs]), 64)
     assert abs(fair.weights[2] - fair.weights[3]) < 0.3 * abs(plain.weights[2] - plain.weights[3])
     assert fair.score([1, 30]) > 0.5 > fair.score([2, 30])
 
@@ -230,23 +232,28 @@ def test_op5(spark, data, docs):
 
 def test_op6(spark, data, docs, tmp_path):
     path = str(tmp_path / "shards")
-    layout = tokens.materialise(read(spark, data, "documents"), path, shard_rows=300)
+    layout = tokens.materialise(read(spark, data, "documents"), path, shard_places=700)
     got = tokens.read_shards(spark, path).collect()
-    assert sorted(r.slot for r in got) == list(range(layout.sequences))
+    starts, total = tokens.shard_starts(spark, path)
+    assert sorted(r.slot for r in got) == list(range(total)) and len(starts) == -(-layout.places // 700)
     t = tokens.Tokenizer(open(tokens.RANKS, "rb").read())
     by = defaultdict(dict)
     for r in got:
         by[r.doc_id][r.seq_no] = r.ids
-        assert r.shard == r.slot // 300 and r.offset == r.slot % 300 * layout.stride
+        assert r.offset == (r.slot - starts[r.shard]) * layout.stride
     for d, text in docs.items():
         ids = [x for k in sorted(by[d]) for x in by[d][k]]
         assert ids == t.encoding.encode_ordinary(text) + [t.end]
-    rest = tokens.read_shards(spark, path, layout.sequences - 450)
-    assert rest.count() == 450
+    rest = tokens.read_shards(spark, path, total - 450)
+    assert sorted(r.slot for r in rest.collect()) == list(range(total - 450, total))
     files = list((tmp_path / "shards/shards").glob("shard=*/*.txt"))
-    assert len(files) == -(-layout.sequences // 300) and all(f.stat().st_size % layout.stride == 0 for f in files)
-    other = str(tmp_path / "again")
-    tokens.materialise(read(spark, data, "documents").repartition(5), other, shard_rows=300)
+    assert len(files) == len(starts) and all(f.stat().st_size % layout.stride == 0 for f in files)
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.slot)]
+    assert order != sorted(order) and len(set(order[:50])) > 20
+    other, before = str(tmp_path / "again"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    tokens.materialise(read(spark, data, "documents"), other, shard_places=700)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert {r.slot: r.ids for r in tokens.read_shards(spark, other).collect()} == {r.slot: r.ids for r in got}
 
 
