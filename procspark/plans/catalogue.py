@@ -574,23 +574,24 @@ _SUMS = "CAST(sum(i // k) AS BIGINT) AS input_tokens, CAST(sum(o // k) AS BIGINT
 
 
 def _money(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*columns, *sp.TOKENS, F.round("usd", 6).alias("usd"))
+    # Rounded as a decimal, so that the order of a sum doesn't decide ties.
+    return df.select(*columns, *sp.TOKENS, F.round(F.col("usd").cast("decimal(38, 9)"), 6).cast("double").alias("usd"))
 
 
 @query(
-    "SELECT run_id, model, count(*) AS steps, usd_known AS priced, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, CAST(sum(cr) AS BIGINT) AS cache_read_tokens, CAST(sum(cw) AS BIGINT) AS cache_write_tokens, round(coalesce(sum(usd), 0), 6) AS usd FROM (SELECT *, usd IS NOT NULL AS usd_known FROM sm) GROUP BY 1, 2, 4 HAVING sum(i + o + cr + cw) > 0",
+    "SELECT run_id, model, count(*) AS steps, usd_known AS priced, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, CAST(sum(cr) AS BIGINT) AS cache_read_tokens, CAST(sum(cw) AS BIGINT) AS cache_write_tokens, CAST(round(CAST(coalesce(sum(usd), 0) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS usd FROM (SELECT *, usd IS NOT NULL AS usd_known FROM sm) GROUP BY 1, 2, 4 HAVING sum(i + o + cr + cw) > 0",
     SPANS_SQL, _COST,
 )
 def cost_by_run(s, d):
     return _money(sp.cost_by_run(spans(s, d), runs(s, d), POLICY), "run_id", "model", "steps", "priced")
 
 
-@query(f"SELECT target AS activity, {_SUMS}, round(coalesce(sum(usd / k), 0), 6) AS usd, CAST(count_if(k > 1) AS BIGINT) AS split_shares FROM xa GROUP BY 1", SPANS_SQL, _COST)
+@query(f"SELECT target AS activity, {_SUMS}, CAST(round(CAST(coalesce(sum(usd / k), 0) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS usd, CAST(count_if(k > 1) AS BIGINT) AS split_shares FROM xa GROUP BY 1", SPANS_SQL, _COST)
 def cost_by_activity(s, d):
     return _money(sp.cost_by_activity(spans(s, d), runs(s, d), POLICY), "activity", "split_shares")
 
 
-@query(f"SELECT target AS case_id, {_SUMS}, round(coalesce(sum(usd / k), 0), 6) AS usd FROM xc GROUP BY 1", SPANS_SQL, _COST)
+@query(f"SELECT target AS case_id, {_SUMS}, CAST(round(CAST(coalesce(sum(usd / k), 0) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS usd FROM xc GROUP BY 1", SPANS_SQL, _COST)
 def cost_by_case(s, d):
     return _money(sp.cost_by_case(spans(s, d), runs(s, d), POLICY), "case_id")
 
@@ -602,7 +603,7 @@ bv AS (SELECT case_id, string_agg(activity, ' -> ' ORDER BY t, step, span_id) AS
 
 @query(
     f"""SELECT bv.variant IS NOT NULL AS in_log, coalesce(bv.variant, '') AS variant, count(*) AS cases, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
-  CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST(sum(cache_write_tokens) AS BIGINT) AS cache_write_tokens, round(sum(usd), 6) AS usd
+  CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens, CAST(sum(cache_write_tokens) AS BIGINT) AS cache_write_tokens, CAST(round(CAST(sum(usd) AS DECIMAL(38, 9)), 6) AS DOUBLE) AS usd
 FROM (SELECT target AS case_id, {_SUMS}, coalesce(sum(usd / k), 0) AS usd FROM xc GROUP BY 1) LEFT JOIN bv USING (case_id) GROUP BY 1, 2""",
     SPANS_SQL, _COST, _BUSINESS,
 )
