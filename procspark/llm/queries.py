@@ -70,4 +70,24 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: SQL where it can express an operator's rows; the others are compared with brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op4_decontamination": f"""WITH b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+w AS (SELECT DISTINCT item, array_to_string(ws[k:k + 12], ' ') AS win, least(13, len(ws)) AS n FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 12, 1) + 1)) AS k FROM b WHERE len(ws) > 0)),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM d),
+h AS (SELECT doc_id, k, q.n, item FROM (SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS win FROM p, (SELECT DISTINCT n FROM w) WHERE k + n - 1 <= len(ws)) q JOIN w ON w.win = q.win AND w.n = q.n),
+c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS k FROM h) GROUP BY 1),
+i AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op8_embedding_near_dedup": """WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT * FROM e WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+k AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS root FROM e UNION SELECT k.b, r.root FROM r JOIN k ON k.a = r.node)
+SELECT e.vec_id, coalesce(g.n, 0) AS n_links, m.root AS component_id, e.vec_id = m.root AS kept
+FROM e JOIN (SELECT node, min(root) AS root FROM r GROUP BY 1) m ON m.node = e.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM k GROUP BY 1) g ON g.a = e.vec_id""",
+}
