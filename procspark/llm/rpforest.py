@@ -1,8 +1,10 @@
 """Embedding near-duplicates with a forest of random-projection trees.
 
 A tree splits the unit sphere again and again by the projection on a random direction, at the median of a sample;
-vectors near a split go to both sides (spill).  Vectors that share a leaf and a label are compared; over many trees a
-close pair shares a leaf almost surely.  Links found are verified in double precision and joined to components.
+vectors near a split go to both sides (spill).  Vectors that share a leaf and a label are compared in double precision;
+over many trees a close pair shares a leaf almost surely.  It counts in the first leaf that it shares, so a leaf need
+not pass on its pairs: each of its vectors gives one row, with its links and one vector that it reaches over them.
+Those rows are summed and joined to components.
 """
 
 from __future__ import annotations
@@ -60,41 +62,90 @@ class Tree:
         return row, node
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors, stored as bytes of doubles."""
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Vectors, stored as bytes of numbers of one kind, as doubles."""
     blob = b"".join(column.to_pylist())
-    return np.frombuffer(blob, np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return np.frombuffer(blob, kind).reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
-def _route(trees: list[Tree]):
+def _route(trees: list[Tree], kind: str):
     def route(batch: pa.RecordBatch) -> dict[str, object]:
-        x = _matrix(batch.column(2))
+        x = _matrix(batch.column(2), kind)
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         found = [tree.leaves(unit) for tree in trees]
         rows = np.concatenate([r for r, _ in found])
         leaf = np.concatenate([node + (k << 40) for k, (_, node) in enumerate(found)])
-        return {"leaf": pa.array(leaf)} | {n: batch.column(i).take(pa.array(rows)) for i, n in enumerate(("label", "least", "v"))}
+        order = np.lexsort((leaf, rows))
+        counts = np.bincount(rows, minlength=len(x))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(leaf[order]))
+        at = pa.array(rows)
+        own = {n: batch.column(i).take(at) for i, n in enumerate(("label", "least", "v", "copies"))}
+        return {"leaf": pa.array(leaf)} | own | {"leaves": lists.take(at)}
 
     return route
 
 
-def _pack(batch: pa.RecordBatch) -> dict[str, object]:
-    v = [np.asarray(x, np.float64).tobytes() for x in batch.column(1).to_pylist()]
-    return {"label": batch.column(0), "v": pa.array(v, pa.binary()), "vec_id": batch.column(2)}
-
-
-def _compare(keys: tuple, table: pa.Table) -> pa.Table:
-    x, ids = _matrix(table.column("v").combine_chunks()), np.asarray(table.column("least"))
-    block = np.asarray(table.column("block"))
-    i, j = keys[2].as_py(), keys[3].as_py()
-    norm = np.linalg.norm(x, axis=1)
-    a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    links = (x[a] @ x[b].T) / (norm[a][:, None] * norm[b][None, :]) >= LEAST_COSINE
-    if i == j:
-        links = np.triu(links, 1)
-    one, other = np.nonzero(links)
-    one, other = ids[a[one]], ids[b[other]]
-    return pa.table({"a": np.minimum(one, other), "b": np.maximum(one, other)})
+def _pack(kind: str):
+    def pack(batch: pa.RecordBatch) -> dict[str, object]:
+        v = [np.asarray(x, kind).tobytes() for x in batch.column(1).to_pylist()]
+        return {"label": batch.column(0), "v": pa.array(v, pa.binary()), "vec_id": batch.column(2)}
+
+    return pack
+
+
+def met_before(lists: pa.ListArray, leaf: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows ``a`` and rows ``b`` share a leaf that comes before ``leaf``."""
+    row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+    each = np.asarray(lists.flatten())
+    row, each = row[each < leaf], each[each < leaf]
+    names, column, counts = np.unique(each, return_inverse=True, return_counts=True)
+    # Leaves of one row alone aren't shared.
+    at = np.cumsum(counts > 1) - 1
+    row, column = row[counts[column] > 1], at[column[counts[column] > 1]]
+    met = np.zeros((len(a), len(b)), bool)
+    for k in range(0, int((counts > 1).sum()), 1024):
+        part = (column >= k) & (column < k + 1024)
+        there = np.zeros((len(lists), 1024), np.float32)
+        there[row[part], column[part] - k] = 1
+        met |= there[a] @ there[b].T > 0
+    return met
+
+
+def roots(n: int, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The least row that each of ``n`` rows reaches over links."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, one, root[other])
+        np.minimum.at(low, other, root[one])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _compare(kind: str):
+    def compare(keys: tuple, table: pa.Table) -> pa.Table:
+        """A row for each linked vector of two blocks: what it reaches, and how many it links with that it met first here."""
+        table = table.combine_chunks()
+        col = lambda name: table.column(name).chunk(0)
+        x, ids, block, copies = _matrix(col("v"), kind), np.asarray(col("least")), np.asarray(col("block")), np.asarray(col("copies"))
+        leaf, i, j = (k.as_py() for k in keys[1:])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        links = x[a] @ x[b].T >= LEAST_COSINE
+        if i == j:
+            np.fill_diagonal(links, False)
+        links &= ~met_before(col("leaves"), leaf, a, b)
+        near, copies = np.zeros(len(ids)), copies.astype(np.float64)
+        near[a] += links.astype(np.float64) @ copies[b]
+        if i != j:
+            near[b] += links.T.astype(np.float64) @ copies[a]
+        one, other = np.nonzero(links)
+        root, linked = roots(len(ids), a[one], b[other]), np.flatnonzero(near)
+        return pa.table({"a": ids[linked], "b": ids[root[linked]], "near": near[linked].astype(np.int64)})
+
+    return compare
 
 
 def usable(column: str = "embedding"):
@@ -121,7 +172,9 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     )
     good = rows.where(usable("e") & F.col("label").isNotNull())
     kind = rows.schema["label"].dataType.simpleString()
-    packed = map_rows(good.select("label", "e", "vec_id"), _pack, f"label {kind}, v binary, vec_id bigint")
+    # Single floats stay what they are on their way; all products are of doubles.
+    number = "<f4" if "array<float>" in embeddings.schema["embedding"].dataType.simpleString() else "<f8"
+    packed = map_rows(good.select("label", "e", "vec_id"), _pack(number), f"label {kind}, v binary, vec_id bigint")
     # A distinct vector is known by a number of its own, also where all its ids are null.
     same = packed.groupBy("label", "v").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies"))
     same = same.withColumn("least", F.xxhash64("label", "v"))
@@ -133,21 +186,19 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
         by_size.setdefault(len(v), []).append(v)
     links = None
     for width, chosen in sorted(by_size.items()):
-        x = np.frombuffer(b"".join(chosen), np.float64).reshape(len(chosen), -1)
+        x = np.frombuffer(b"".join(chosen), number).reshape(len(chosen), -1).astype(np.float64)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         depth = max(0, min(int(np.ceil(np.log2(max(1, counted) / LEAF_ROWS))), int(np.log2(max(1, len(x)))) - 3))
         rng = np.random.default_rng(SEED)
         trees = [Tree.grow(x, depth, rng) for _ in range(TREES)]
         part = distinct.where(F.octet_length("v") == width)
-        found = _links(part, trees, kind)
+        found = _links(part, trees, kind, number)
         links = found if links is None else links.union(found)
     if links is None:
-        links = embeddings.sparkSession.createDataFrame([], "a bigint, b bigint")
-    links = scratch.cut(links.distinct(), "links")
-    member = components(links, scratch)
-    degree = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).toDF("least", "other")
-    degree = degree.join(distinct.select(F.col("least").alias("other"), "copies"), "other")
-    degree = degree.groupBy("least").agg(F.sum("copies").alias("near"))
+        links = embeddings.sparkSession.createDataFrame([], "a bigint, b bigint, near bigint")
+    links = scratch.cut(links, "links")
+    member = components(links.select("a", "b"), scratch)
+    degree = links.groupBy(F.col("a").alias("least")).agg(F.sum("near").alias("near"))
     whole = distinct.select("label", "v", "vec", "copies", "least").join(degree, "least", "left")
     whole = whole.join(member.withColumnRenamed("node", "least"), "least", "left").withColumn("component", F.coalesce("component", "least"))
     roots = whole.groupBy("component").agg(F.min("vec").alias("root"))
@@ -161,10 +212,11 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(distinct: DataFrame, trees: list[Tree], kind: str) -> DataFrame:
-    """Links among distinct vectors of one dimension, those of each leaf; a link may repeat."""
-    slim = distinct.select("label", "least", "v")
-    routed = map_rows(slim, _route(trees), f"leaf bigint, label {kind}, least bigint, v binary", 1 << 20)
+def _links(distinct: DataFrame, trees: list[Tree], kind: str, number: str) -> DataFrame:
+    """``a``, ``b`` and ``near`` for linked vectors of each leaf: ``b`` is reached from ``a``, ``near`` counts links."""
+    slim = distinct.select("label", "least", "v", "copies")
+    schema = f"leaf bigint, label {kind}, least bigint, v binary, copies bigint, leaves array<bigint>"
+    routed = map_rows(slim, _route(trees, number), schema, 1 << 20)
     sizes = routed.groupBy("label", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
     sizes = sizes.select("label", "leaf", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
     placed = routed.join(sizes, ["label", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -174,5 +226,5 @@ def _links(distinct: DataFrame, trees: list[Tree], kind: str) -> DataFrame:
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(F.least(F.col("block"), k).alias("i"), F.greatest(F.col("block"), k).alias("j")),
     )
-    dealt = placed.select("label", "leaf", "least", "v", "block", F.explode(pairs).alias("p")).select("*", "p.i", "p.j").drop("p")
-    return dealt.groupBy("label", "leaf", "i", "j").applyInArrow(_compare, "a bigint, b bigint")
+    dealt = placed.select("label", "leaf", "least", "v", "copies", "leaves", "block", F.explode(pairs).alias("p")).select("*", "p.i", "p.j").drop("p")
+    return dealt.groupBy("label", "leaf", "i", "j").applyInArrow(_compare(number), "a bigint, b bigint, near bigint")
