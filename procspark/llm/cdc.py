@@ -1,7 +1,8 @@
 """Substring dedup by content-defined chunking.
 
 A gear hash over the last 32 bytes cuts a text where its upper bits are zero, so cuts move with the content and an
-insertion changes the chunks around it only.  Chunks are compared by digest.
+insertion changes the chunks around it only.  Windows of neighbouring chunks are compared by digest, so what repeats
+stands together in one earlier document.
 """
 
 from __future__ import annotations
@@ -13,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts
+from .common import Scratch, map_rows, texts
 from .repeats import LAST, document_rows, place, position_of, repeats, scatter, settle, tag_of
 
 LEAST, MOST = 8, 256
 #: So many upper bits of the gear hash are zero at a cut.
 CUT_BITS = 3
-#: Repeats are removed where so many bytes of repeated chunks follow each other; short common phrases stay.
+#: Repeats are removed where so many bytes of chunks follow each other in one earlier document too; short common phrases stay.
 RUN_BYTES = 96
 #: The gear table, one number for each byte, from a fixed generator.
 GEAR = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -50,27 +51,44 @@ def cuts(text: bytes) -> list[int]:
     return out
 
 
-def _chunks(batch: pa.RecordBatch) -> dict[str, object]:
-    docs, tags = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-    ends, owners, digests, sizes = [], [], [], []
-    for i, text in enumerate(texts(batch.column(2))):
-        last = 0
-        for end in cuts(text):
-            digests.append(hashlib.blake2b(text[last:end], digest_size=12).digest())
-            ends.append(last)
-            sizes.append(end - last)
-            owners.append(i)
-            last = end
-    owners = np.array(owners, np.int64)
-    both = np.frombuffer(b"".join(digests), [("k1", "<i8"), ("k2", "<i4")])
-    doc, at = docs[owners], place(tags[owners], np.array(ends, np.int64))
-    sure, _ = settle(both["k1"].copy(), doc)
-    # Settled chunks need no digest; neighbours among them share a key, which packs well in the shuffle.
-    stretch = (at.view(np.uint64) >> np.uint64(8)).view(np.int64)
-    return {
-        "doc": pa.array(doc), "at": pa.array(at), "size": pa.array(np.array(sizes, np.int32)),
-        "k1": pa.array(scatter(both["k1"], sure, stretch, doc)), "k2": pa.array(np.where(sure, np.int32(0), both["k2"])), "sure": pa.array(sure),
-    }
+def windows(bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places in ``bounds``, the ends of chunks from 0 on, of the windows that tell all repeats.
+
+    From each chunk on, and up to each chunk, the shortest row of chunks of ``least`` bytes at least.  Every chunk of a
+    longer row lies in a window within that row, so comparing windows is comparing all rows.
+    """
+    last, n = np.searchsorted(bounds, bounds[:-1] + least), len(bounds)
+    first = np.searchsorted(bounds, bounds[1:] - least, "right") - 1
+    ahead, back = np.flatnonzero(last < n), np.flatnonzero(first >= 0)
+    both = np.unique(np.concatenate([ahead * n + last[ahead], first[back] * n + back + 1]))
+    return both // n, both % n
+
+
+def _windows(least: int):
+    def make(batch: pa.RecordBatch) -> dict[str, object]:
+        docs, tags = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        starts, owners, digests, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+        for i, text in enumerate(texts(batch.column(2))):
+            bounds = np.array([0, *cuts(text)], np.int64)
+            one, other = windows(bounds, least)
+            shape = np.diff(bounds).astype("<u2").tobytes()
+            a, b = bounds[one], bounds[other]
+            for x, y, k, n in zip(a.tolist(), b.tolist(), (one * 2).tolist(), (other * 2).tolist(), strict=True):
+                digests.append(hashlib.blake2b(text[x:y] + shape[k:n], digest_size=12).digest())
+            starts.append(a)
+            sizes.append(b - a)
+            owners.append(np.full(len(a), i))
+        owner = np.concatenate(owners)
+        both = np.frombuffer(b"".join(digests), [("k1", "<i8"), ("k2", "<i4")])
+        doc, at = docs[owner], place(tags[owner], np.concatenate(starts))
+        sure, _ = settle(both["k1"].copy(), doc)
+        # Settled windows need no digest; neighbours among them share a key, which packs well in the shuffle.
+        stretch = (at.view(np.uint64) >> np.uint64(8)).view(np.int64)
+        # The size fills the other half of the second key, where it takes less room than in a column.
+        k2 = np.where(sure, np.int64(0), both["k2"].astype(np.int64)) << 32 | np.concatenate(sizes)
+        return {"doc": pa.array(doc), "at": pa.array(at), "k1": pa.array(scatter(both["k1"], sure, stretch, doc)), "k2": pa.array(k2), "sure": pa.array(sure)}
+
+    return make
 
 
 def merged(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
@@ -116,16 +134,19 @@ def cut_out(rows: DataFrame, spans: DataFrame, least: int) -> DataFrame:
 
 
 def dedup_chunks(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
-    """Remove chunks that also stand in a document with a smaller id: one row per row of ``docs``.
+    """Remove rows of chunks that stand in the same order in one document with a smaller id: one row per row of ``docs``.
 
-    ``doc_id``, ``n_bytes``, ``removed`` (runs of repeated chunks of ``run_bytes`` at least, in bytes of the UTF-8
-    text) and ``kept`` (the other bytes).  The smallest id that has a chunk keeps it; repeats within one document
+    ``doc_id``, ``n_bytes``, ``removed`` (rows of chunks of ``run_bytes`` at least, joined where they touch, in bytes of
+    the UTF-8 text) and ``kept`` (the other bytes).  Chunks of which each repeats another document, but which don't
+    follow each other there, stay.  The smallest id that has a row of chunks keeps it; repeats within one document
     stay.  Null and empty texts have no chunks.  Null ids come behind all others and keep nothing from each other;
     rows with the same id are no repeats of each other.  Other columns aren't read.
     """
     rows = document_rows(docs)
-    schema = "doc bigint, at bigint, size int, k1 bigint, k2 int, sure boolean"
-    found = repeats(map_rows(rows, _chunks, schema), ("k1", "k2"), ("doc", "at", "size"))
+    schema = "doc bigint, at bigint, k1 bigint, k2 bigint, sure boolean"
+    found = repeats(map_rows(rows, _windows(run_bytes), schema), ("k1", "k2"), ("doc", "at", "k2"))
+    # Written, so that the windows' shuffle files are gone before the texts are dealt.
+    found = Scratch(docs.sparkSession).cut(found.select("doc", "at", position_of("k2").alias("size")), "repeats")
     return cut_out(rows, found, run_bytes)
 
 

@@ -291,6 +291,29 @@ def test_op7(spark, data, docs):
     assert removed
 
 
+def test_op7_runs_stand_in_one_document(spark):
+    """Chunks that repeat several documents are no passage; one of 96 bytes or more in one document is."""
+    rng = np.random.default_rng(11)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage = word(600)
+    texts = {i: word(80) + passage[i * 30 : i * 30 + 90] + word(80) for i in range(18)}
+    whole = word(2000)
+    texts |= {50: passage, 51: whole, 60: word(300) + whole[500:1200] + word(300) + passage[100:180], 70: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.removed for r in cdc.dedup_chunks(df).collect()}
+    ranges, first = {}, {}
+    for d in sorted(texts):
+        b = texts[d].encode()
+        e = [0, *cdc.cuts(b)]
+        # All rows of chunks, not the shortest only.
+        ranges[d] = [(x, y, (b[x:y], *(z - x for z in e[i : j + 1]))) for i, x in enumerate(e) for j, y in enumerate(e) if y - x >= cdc.RUN_BYTES]
+        for _, _, key in ranges[d]:
+            first.setdefault(key, d)
+    want = {d: cdc.merged([(x, y) for x, y, key in ranges[d] if first[key] < d], 1) for d in texts}
+    assert {d: [(r.start, r.end) for r in runs] for d, runs in got.items()} == want
+    assert not got[50] and sum(r.end - r.start for r in got[60]) > 600
+
+
 def test_gear_cuts_resist_shifts():
     rng = np.random.default_rng(1)
     text = bytes(rng.integers(97, 123, 20_000, dtype=np.uint8))
