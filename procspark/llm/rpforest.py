@@ -23,7 +23,7 @@ TREES = 8
 SPILL = 0.02
 #: Vectors of one label in a leaf, about.
 LEAF_ROWS = 64
-#: The splits are set from so many vectors at most.
+#: The splits of each dimension are set from so many vectors at most.
 SAMPLE_ROWS = 16_384
 #: A leaf with more vectors is compared in pairs of blocks of about so many.
 BLOCK_ROWS = 1_024
@@ -163,8 +163,9 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     nothing; nor do vectors of different dimensions.  Rows with a null id take part, and stay null.  Equal vectors of
     a label are one in the forest, so a common vector costs one row; its copies are counted as links.
 
-    The trees are set from ``SAMPLE_ROWS`` distinct vectors at most, drawn by hash; every vector is routed.  A leaf
-    that the sample couldn't split far enough is compared in pairs of blocks, all of them, so nothing is dropped.
+    Each dimension has trees of its own, set from ``SAMPLE_ROWS`` distinct vectors of it at most, drawn by hash; every
+    vector is routed.  Dimensions with few vectors have one leaf.  A leaf that the sample couldn't split far enough is
+    compared in pairs of blocks, all of them, so nothing is dropped.
     """
     scratch = Scratch(embeddings.sparkSession)
     rows = embeddings.select(
@@ -179,20 +180,30 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     same = packed.groupBy("label", "v").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies"))
     same = same.withColumn("least", F.xxhash64("label", "v"))
     distinct = scratch.cut(same, "distinct")
-    sample = distinct.select("v", "least").orderBy(hash_order("least"), "least").limit(SAMPLE_ROWS).toArrow()
-    counted = distinct.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    by_size: dict[int, list[bytes]] = {}
-    for v in sample.column("v").to_pylist():
-        by_size.setdefault(len(v), []).append(v)
-    links = None
-    for width, chosen in sorted(by_size.items()):
+    # Dimensions come from the whole table, so that none depends on what a sample holds.
+    width = F.octet_length("v")
+    counted = distinct.groupBy(width.alias("width"), "label").agg(F.count("*").alias("n"))
+    counted = counted.groupBy("width").agg(F.max("n").alias("most"), F.sum("n").alias("total")).collect()
+    depths = {r.width: _depth(r.most, min(r.total, SAMPLE_ROWS)) for r in counted}
+    routed = []
+    if flat := sorted(w for w, depth in depths.items() if not depth):
+        leaf = width.cast("bigint")
+        whole = distinct.where(width.isin(flat)).select(leaf.alias("leaf"), "label", "least", "v", "copies", F.array(leaf).alias("leaves"))
+        routed.append(whole)
+    for w, depth in sorted(depths.items()):
+        if not depth:
+            continue
+        part = distinct.where(width == w)
+        chosen = part.select("v", "least").orderBy(hash_order("least"), "least").limit(SAMPLE_ROWS).toArrow().column("v").to_pylist()
         x = np.frombuffer(b"".join(chosen), number).reshape(len(chosen), -1).astype(np.float64)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        depth = max(0, min(int(np.ceil(np.log2(max(1, counted) / LEAF_ROWS))), int(np.log2(max(1, len(x)))) - 3))
         rng = np.random.default_rng(SEED)
         trees = [Tree.grow(x, depth, rng) for _ in range(TREES)]
-        part = distinct.where(F.octet_length("v") == width)
-        found = _links(part, trees, kind, number)
+        schema = f"leaf bigint, label {kind}, least bigint, v binary, copies bigint, leaves array<bigint>"
+        routed.append(map_rows(part.select("label", "least", "v", "copies"), _route(trees, number), schema, 1 << 20))
+    links = None
+    for part in routed:
+        found = _links(part, number)
         links = found if links is None else links.union(found)
     if links is None:
         links = embeddings.sparkSession.createDataFrame([], "a bigint, b bigint, near bigint")
@@ -212,11 +223,13 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(distinct: DataFrame, trees: list[Tree], kind: str, number: str) -> DataFrame:
+def _depth(most: int, sampled: int) -> int:
+    """Levels of trees for ``most`` vectors of one label, as far as so many sampled vectors can set them."""
+    return max(0, min(int(np.ceil(np.log2(max(1, most) / LEAF_ROWS))), int(np.log2(max(1, sampled))) - 3))
+
+
+def _links(routed: DataFrame, number: str) -> DataFrame:
     """``a``, ``b`` and ``near`` for linked vectors of each leaf: ``b`` is reached from ``a``, ``near`` counts links."""
-    slim = distinct.select("label", "least", "v", "copies")
-    schema = f"leaf bigint, label {kind}, least bigint, v binary, copies bigint, leaves array<bigint>"
-    routed = map_rows(slim, _route(trees, number), schema, 1 << 20)
     sizes = routed.groupBy("label", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
     sizes = sizes.select("label", "leaf", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
     placed = routed.join(sizes, ["label", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

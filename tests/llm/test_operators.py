@@ -429,3 +429,14 @@ def test_rpforest_blocks(spark, monkeypatch):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert {v: r["n_links"] for v, r in out.items()} == {i: int(n) - 1 for i, n in enumerate((unit @ unit.T >= 0.98).sum(axis=1))}
     assert F is not None
+
+
+def test_rpforest_rare_dimensions(spark, monkeypatch):
+    """Vectors link in every dimension, also in more dimensions than the sample has vectors."""
+    monkeypatch.setattr(rpforest, "SAMPLE_ROWS", 16)
+    rng = np.random.default_rng(6)
+    many = np.repeat(rng.standard_normal((150, 64)), 2, axis=0) + rng.standard_normal((300, 64)) * 1e-4
+    vectors = [*many, *(v + rng.standard_normal(len(v)) * 1e-4 for k in range(20) for v in [rng.standard_normal(20 + k)] * 2)]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    out = rows(rpforest.near_vectors(df), "vec_id")
+    assert {v: (r["n_links"], r["component_id"]) for v, r in out.items()} == {i: (1, i - i % 2) for i in range(len(vectors))}
