@@ -47,7 +47,7 @@ STAGES = [
     ("token_shards", write_shards),
 ]
 
-#: Neither the classifier nor XXH64 or the tokenizer can be written in SQL; tests/llm compares with brute force.
+#: Neither the classifier nor XXH64 or the tokenizer can be written in SQL; tests/llm compares the operators with brute force and runs the stages.
 ORACLE_SQL = None
 
 

@@ -440,3 +440,21 @@ def test_rpforest_rare_dimensions(spark, monkeypatch):
     df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
     out = rows(rpforest.near_vectors(df), "vec_id")
     assert {v: (r["n_links"], r["component_id"]) for v, r in out.items()} == {i: (1, i - i % 2) for i in range(len(vectors))}
+
+
+def test_rpforest_recall_at_full_depth():
+    """Pairs with a cosine of 0.98 to 0.999, planted in clusters, share a leaf of the trees for 131,072 vectors of a label."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(np.repeat(unit(rng.standard_normal((4096, 64))), 8, axis=0) + rng.standard_normal((4096 * 8, 64)) * 0.05)
+    one, cosine = base[rng.choice(len(base), 3000, replace=False)], rng.uniform(0.98, 0.999, 3000)[:, None]
+    off = rng.standard_normal(one.shape)
+    off = unit(off - (off * one).sum(axis=1, keepdims=True) * one)
+    other = one * cosine + off * np.sqrt(1 - cosine**2)
+    sample, depth = base[rng.choice(len(base), rpforest.SAMPLE_ROWS, replace=False)], rpforest._depth(131_072, rpforest.SAMPLE_ROWS)
+    assert depth == 11 and ((one * other).sum(axis=1) >= rpforest.LEAST_COSINE - 1e-9).all()
+    rng, met = np.random.default_rng(rpforest.SEED), np.zeros(3000, bool)
+    for tree in [rpforest.Tree.grow(sample, depth, rng) for _ in range(rpforest.TREES)]:
+        (a, la), (b, lb) = tree.leaves(one), tree.leaves(other)
+        met[np.intersect1d(a << 20 | la, b << 20 | lb) >> 20] = True
+    assert met.mean() >= 0.99
