@@ -62,7 +62,33 @@ def test_op1_held_out_accuracy(spark):
     clean = np.array([out[d]["score"] for d in held if labels[d] == 0])
     auc = (toxic[:, None] > clean[None, :]).mean()
     print("auc", auc, "recall", (toxic >= 0.5).mean(), "false positives", (clean >= 0.5).mean())
-    assert auc > 0.8 and (clean >= 0.5).mean() < 0.05
+    assert auc > 0.95 and (toxic >= 0.5).mean() >= 0.9 and (clean >= 0.5).mean() <= 0.05
+
+
+def swaps(spark, fair):
+    """Mean score changes when a group's name is swapped in texts whose toxic labels go with one group."""
+    rng, rows_, labels = np.random.default_rng(7), [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        words = [f"w{k}" for k in rng.integers(0, 400, 30)] + (["vile"] if toxic and rng.random() < 0.8 else [])
+        words += ["muslim" if rng.random() < (0.8 if toxic else 0.15) else "christian"] if rng.random() < 0.9 else []
+        rows_.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, int(toxic)))
+    docs, labelled = spark.createDataFrame(rows_, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, labelled, fair=fair)
+    other = docs.select("doc_id", F.regexp_replace("text", "muslim", "christian").alias("text"))
+    one, two = (rows(toxicity.score(d, model)[0], "c0") for d in (docs.where("text like '%muslim%'"), other))
+    return np.mean([abs(one[d]["score"] - two[d]["score"]) for d in one]), model, docs
+
+
+def test_op1_swaps_leave_scores(spark):
+    fair, model, docs = swaps(spark, toxicity.FAIR)
+    plain, _, _ = swaps(spark, 0.0)
+    assert fair < 0.05 < plain
+    scores = rows(toxicity.score(docs, model)[0], "c0")
+    vile = [d["score"] for d in scores.values() if "vile" in d["c1"]]
+    calm = [d["score"] for d in scores.values() if "vile" not in d["c1"]]
+    assert np.mean(vile) > 0.5 > np.mean(calm)
 
 
 def test_counterfactual_penalty():
