@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,16 +17,20 @@ ALNUM = bytes(
 #: Lower-cases A-Z and keeps every other byte.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-#: Rows in an Arrow batch are cut further so that a task works on about so many bytes of text at a time.
+#: A task works on about so many bytes of text at a time: Spark ends Arrow batches there, and those of others are cut.
 CHUNK_BYTES = 4 << 20
+#: Spark's setting that ends an Arrow batch by its bytes; 64 MB by default, and both sides hold a batch more than once.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Spark's setting that ends shuffle files with the query that made them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is named."""
+    """A new folder in the shared one that the cluster names; a folder in the warehouse only where Spark runs locally."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return f"{base.rstrip('/')}/procspark-{uuid.uuid4().hex}"
 
@@ -64,10 +69,19 @@ class Scratch:
                 where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``CHUNK_BYTES`` at most for this session's Python tasks, whatever the rows' width.
+
+    Results are planned after an operator returns, so the setting stays.
+    """
+    spark.conf.set(BATCH, str(CHUNK_BYTES))
+
+
 def map_rows(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: str | object, chunk: int = CHUNK_BYTES
 ) -> DataFrame:
     """Apply ``fn`` to record batches of bounded size; it returns columns by name, in the order of ``schema``."""
+    small_batches(df.sparkSession)
     return df.mapInArrow(_Mapper(fn, chunk), schema)
 
 
@@ -101,7 +115,7 @@ def texts(array: pa.Array) -> list[bytes]:
 class Memo(dict):
     """Results of a pure function of a word, forgotten when there are too many."""
 
-    def __init__(self, fn: Callable, most: int = 400_000):
+    def __init__(self, fn: Callable, most: int = 100_000):
         super().__init__()
         self.fn, self.most = fn, most
 

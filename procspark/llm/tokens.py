@@ -1,8 +1,8 @@
 """Token ids in binary shards, in training order.
 
-A keyed Feistel permutation with cycle-walking gives every sequence its place; ranges of places are shards, written as
-records of one fixed stride.  A shard's first slot follows from the sizes of the shards before it, and the record of a
-slot stands at (slot - first slot) * stride, so a reader can start or resume anywhere by arithmetic alone.
+A keyed Feistel permutation with cycle-walking, over exactly as many numbers as there are sequences, gives every
+sequence its slot.  A range of slots is a shard, written as records of one fixed stride: slot s stands in shard
+s // records, at (s % records) * stride.  So a reader can start or resume anywhere by arithmetic alone.
 
 A record is: doc_id (int64, the least one for null), sequence number within the document (int32), number of tokens
 (int32), ``length`` ids (little-endian, 2 or 4 bytes each, zero-filled), one newline byte.
@@ -21,14 +21,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Scratch, bounded
+from .common import CHUNK_BYTES, Scratch, bounded, small_batches
 
 #: Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LENGTH = 256
-#: Places in a shard; a shard has at most so many records, and about half as many in common texts.
-SHARD_PLACES = 1 << 16
+#: Records in a shard, but for the last one: about 9 MB.  Readers take a shard as a whole.
+SHARD_RECORDS = 1 << 14
+#: Tasks that write shards, at most; each writes a range of them, one after the other.
+WRITERS = 20_000
 KEY = 0x5EEDF00D
 ROUNDS = 6
 NULL_ID = -(1 << 63)
@@ -47,6 +49,10 @@ class Tokenizer:
         """Ids of a whole text, without the end id."""
         return np.array(self.encoding.encode_ordinary(text), self.dtype)
 
+    def count(self, text: str) -> int:
+        """Number of ids of a whole text, without the end id."""
+        return len(self.encoding.encode_ordinary(text))
+
 
 _tokenizers: dict[int, Tokenizer] = {}
 
@@ -94,11 +100,12 @@ class Feistel:
 
 
 class Layout:
-    """What a reader has to know; kept beside the shards as JSON, but for the shards' sizes, which their files tell."""
+    """What a reader has to know; kept beside the shards as JSON."""
 
-    def __init__(self, places: int, length: int, width: int, shard_places: int, key: int):
-        self.places, self.length, self.width, self.shard_places, self.key = places, length, width, shard_places, key
+    def __init__(self, count: int, length: int, width: int, records: int, key: int):
+        self.count, self.length, self.width, self.records, self.key = count, length, width, records, key
         self.stride = 16 + length * width + 1
+        self.shards = -(-count // records)
 
     def json(self) -> str:
         return json.dumps(vars(self), sort_keys=True)
@@ -106,42 +113,50 @@ class Layout:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Layout:
         x = json.loads(spark.read.text(f"{path}/layout").first()[0])
-        return cls(*(x[k] for k in ("places", "length", "width", "shard_places", "key")))
+        return cls(*(x[k] for k in ("count", "length", "width", "records", "key")))
+
+
+def sequences(ids: int, length: int) -> int:
+    """Sequences of a document: its ids and the end id, cut."""
+    return ids // length + 1
+
 
+class _Counter:
+    """Sequences of the rows of one file, for each file that a task reads.  One row for each."""
 
-class _Runs:
-    """Places that the rows of one file may need, at most, for each file that a task reads.  One row for each."""
+    def __init__(self, ranks, length: int):
+        self.ranks, self.length = ranks, length
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: list[list] = []
+        t, runs = tokenizer(self.ranks.value), []
         for batch in batches:
-            for file, row, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for file, row, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
                 if not runs or runs[-1][0] != file:
                     runs.append([file, row, 0])
-                runs[-1][2] += n
+                runs[-1][2] += sequences(t.count(text or ""), self.length)
         kinds = (pa.string(), pa.int64(), pa.int64())
         columns = zip(*runs, strict=True) if runs else ([], [], [])
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "row", "n"])
 
 
 class _Sequencer:
-    """Sequences of documents in the order in which a task reads them: permuted place, shard and record."""
+    """Sequences of documents in the order in which a task reads them: slot, shard and record."""
 
-    def __init__(self, ranks: bytes, layout: Layout, starts):
+    def __init__(self, ranks, layout: Layout, starts):
         self.ranks, self.layout, self.starts = ranks, layout, starts
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, lay = tokenizer(self.ranks), self.layout
-        order, at_file, at = Feistel(lay.places, lay.key), None, 0
+        t, lay = tokenizer(self.ranks.value), self.layout
+        order, at_file, at = Feistel(lay.count, lay.key), None, 0
         for whole in batches:
             for batch in bounded(whole, CHUNK_BYTES):
                 index, records = [], []
-                for file, row, most, doc, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for file, row, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                     if file != at_file:
                         # Tasks of both passes read the same parts; a start that isn't known is an error.
                         at_file, at = file, self.starts.value[file, row]
                     ids = t.ids(text or "")
-                    n = len(ids) // lay.length + 1
+                    n = sequences(len(ids), lay.length)
                     rows = np.zeros((n, lay.length), t.dtype)
                     rows.ravel()[: len(ids)] = ids
                     rows.ravel()[len(ids)] = t.end
@@ -150,22 +165,16 @@ class _Sequencer:
                         used = min(lay.length, len(ids) + 1 - k * lay.length)
                         records.append(who + k.to_bytes(4, "little") + used.to_bytes(4, "little") + rows[k].tobytes())
                     index.append(np.arange(at, at + n))
-                    at += most
-                places = order.slot(np.concatenate(index))
+                    at += n
+                slots = order.slot(np.concatenate(index))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(places), pa.array((places // lay.shard_places).astype(np.int32)), pa.array(records, pa.binary())],
-                    names=["place", "shard", "record"],
+                    [pa.array(slots), pa.array(slots // lay.records), pa.array(records, pa.binary())], names=["slot", "shard", "record"]
                 )
 
 
-def _placed(docs: DataFrame, length: int) -> DataFrame:
-    """Rows with their file and row, which order them the same however they are split, and the most sequences of each.
-
-    No id stands for less than a byte, so the bytes of a text bound its ids.
-    """
-    text = F.col("text").cast("string")
-    most = F.floor(F.coalesce(F.octet_length(text), F.lit(0)) / length).cast("bigint") + 1
-    own = [most.alias("most"), F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")]
+def _placed(docs: DataFrame) -> DataFrame:
+    """Rows with their file and row, which order them the same however they are split."""
+    own = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")]
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     try:
         return docs.select(*where, *own)
@@ -174,64 +183,59 @@ def _placed(docs: DataFrame, length: int) -> DataFrame:
         return Scratch(docs.sparkSession).cut(docs.select("doc_id", "text"), "documents").select(*where, *own)
 
 
+def vocabulary(spark: SparkSession, ranks: str) -> bytes:
+    """A rank file: by Spark from any store that a path with a scheme names, else from the driver's own files."""
+    if "://" in ranks:
+        return bytes(spark.read.format("binaryFile").load(ranks).first().content)
+    with open(ranks, "rb") as f:
+        return f.read()
+
+
 def materialise(
     docs: DataFrame,
     path: str,
     ranks: str = RANKS,
     length: int = LENGTH,
-    shard_places: int = SHARD_PLACES,
+    records: int = SHARD_RECORDS,
     key: int = KEY,
 ) -> Layout:
-    """Write the sequences of all documents to ``path``: ``shard=K`` folders with one file each, and ``layout``.
+    """Write the sequences of all documents to ``path``: ``shards/shard=K`` folders with one file each, and ``layout``.
 
     A document is its ids and the end id, cut into sequences of ``length``; so null and empty texts have one sequence
     with the end id alone.  Null ids are kept, repeated rows give repeated sequences with slots of their own, an empty
     table gives a layout without shards.  Other columns aren't read.
 
-    Every row gets as many consecutive numbers as it may have sequences, in the order of files and rows; the
-    permutation of all numbers gives each sequence its place in training order, and ranges of places are shards.  The
-    numbers that no sequence took leave no gaps: a slot is the rank of a place, that is the records of earlier shards
-    and of its own before it.  Any run over the same files gives the same slots, however the files are split.
-
-    The first pass reads lengths only, and the driver gets one number for each part of a file that a task reads.
-    Texts are tokenized once, and records shuffled once.  Spark's own writer commits the shards, hence tasks of a lost
-    executor are simply run again.
+    The first pass counts each row's sequences; the driver gets one number for each part of a file that a task reads.
+    Sequences are numbered in the order of files and rows, and the permutation of exactly these numbers gives the
+    slots.  Any run over the same files gives the same slots, however the files are split.  The second pass makes the
+    records, which are dealt once, by ranges of slots.  Texts are tokenized twice, as keeping ids between the passes
+    would take more disk than the shards.  Spark's own writer commits the shards, hence tasks of a lost executor are
+    simply run again.
     """
     spark = docs.sparkSession
-    vocabulary = spark.read.format("binaryFile").load(f"file://{ranks}" if ranks.startswith("/") else ranks).first().content
-    vocabulary = bytes(vocabulary)
-    rows = _placed(docs, length)
-    runs = rows.select("file", "row", "most").mapInArrow(_Runs(), "file string, row bigint, n bigint").collect()
+    small_batches(spark)
+    content = vocabulary(spark, ranks)
+    sent, rows = spark.sparkContext.broadcast(content), _placed(docs)
+    runs = rows.mapInArrow(_Counter(sent, length), "file string, row bigint, n bigint").collect()
     starts, total = {}, 0
     for run in sorted(runs):
         starts[run.file, run.row] = total
         total += run.n
-    layout = Layout(total, length, tokenizer(vocabulary).dtype.itemsize, shard_places, key)
+    layout = Layout(total, length, tokenizer(content).dtype.itemsize, records, key)
     spark.createDataFrame([(layout.json(),)], "value string").coalesce(1).write.text(f"{path}/layout")
     if not total:
         return layout
     # As many entries as there are tasks that read files, no more than the driver's own list of these parts.
-    sequencer = _Sequencer(vocabulary, layout, spark.sparkContext.broadcast(starts))
-    records = rows.mapInArrow(sequencer, "place bigint, shard int, record binary")
-    placed = records.repartition(-(-total // shard_places), "shard").sortWithinPartitions("shard", "place")
-    placed.select(F.col("record").cast("string").alias("value"), "shard").write.partitionBy("shard").text(f"{path}/shards")
+    sequencer = _Sequencer(sent, layout, spark.sparkContext.broadcast(starts))
+    made = rows.mapInArrow(sequencer, "slot bigint, shard bigint, record binary")
+    writers = min(layout.shards, WRITERS)
+    ranged = made.repartitionById(writers, F.floor(F.col("shard") * writers / layout.shards).cast("int"))
+    placed = ranged.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard")
+    placed.write.partitionBy("shard").text(f"{path}/shards")
     return layout
 
 
-def shard_starts(spark: SparkSession, path: str) -> tuple[dict[int, int], int]:
-    """The first slot of each shard and the number of slots, from the sizes of files; no content is read."""
-    layout = Layout.load(spark, path)
-    if not layout.places:
-        return {}, 0
-    files = spark.read.format("binaryFile").load(f"{path}/shards").select("shard", "length")
-    starts, total = {}, 0
-    for shard, size in sorted(files.collect()):
-        starts[shard] = total
-        total += size // layout.stride
-    return starts, total
-
-
-def _reader(layout: Layout, starts: dict[int, int]):
+def _reader(layout: Layout):
     ids = np.dtype("<u2" if layout.width == 2 else "<u4")
     record = np.dtype([("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4"), ("ids", ids, (layout.length,)), ("end", "u1")])
 
@@ -247,7 +251,7 @@ def _reader(layout: Layout, starts: dict[int, int]):
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(part["ids"][used].astype(np.int32)))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(at + starts[shard]), pa.array(np.full(len(part), shard, np.int32)), pa.array(at * layout.stride),
+                            pa.array(at + shard * layout.records), pa.array(np.full(len(part), shard, np.int64)), pa.array(at * layout.stride),
                             pa.array(part["doc_id"], mask=part["doc_id"] == NULL_ID), pa.array(part["seq_no"].copy()),
                             pa.array(part["n_tokens"].copy()), lists,
                         ],
@@ -258,22 +262,26 @@ def _reader(layout: Layout, starts: dict[int, int]):
 
 
 _COLUMNS = ["slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", "ids"]
-_SCHEMA = "slot bigint, shard int, offset bigint, doc_id bigint, seq_no int, n_tokens int, ids array<int>"
+_SCHEMA = "slot bigint, shard bigint, offset bigint, doc_id bigint, seq_no int, n_tokens int, ids array<int>"
 
 
 def read_shards(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
-    """Records of the shards from ``from_slot`` on: where they stand, whose they are, and their ids."""
-    layout, (starts, total) = Layout.load(spark, path), shard_starts(spark, path)
-    if from_slot >= total:
+    """Records of the shards from ``from_slot`` on: where they stand, whose they are, and their ids.
+
+    Null ids come back as null, empty texts as a sequence of the end id.  A layout without shards, and slots behind
+    the last one, give no rows.
+    """
+    small_batches(spark)
+    layout = Layout.load(spark, path)
+    if from_slot >= layout.count:
         return spark.createDataFrame([], _SCHEMA)
-    first = max(k for k, start in starts.items() if start <= from_slot)
-    files = spark.read.format("binaryFile").load(f"{path}/shards").where(F.col("shard") >= first)
-    out = files.select("shard", "content").mapInArrow(_reader(layout, starts), _SCHEMA)
+    files = spark.read.format("binaryFile").load(f"{path}/shards").where(F.col("shard") >= from_slot // layout.records)
+    out = files.select(F.col("shard").cast("bigint"), "content").mapInArrow(_reader(layout), _SCHEMA)
     return out.where(F.col("slot") >= from_slot)
 
 
 def digest(records: DataFrame) -> DataFrame:
     """The columns of the registered query."""
     return records.select(
-        "slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256")
+        "slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", F.xxhash64("ids").alias("ids_xxhash64")
     )

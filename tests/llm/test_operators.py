@@ -258,27 +258,30 @@ def test_op5(spark, data, docs):
 
 def test_op6(spark, data, docs, tmp_path):
     path = str(tmp_path / "shards")
-    layout = tokens.materialise(read(spark, data, "documents"), path, shard_places=700)
-    got = tokens.read_shards(spark, path).collect()
-    starts, total = tokens.shard_starts(spark, path)
-    assert sorted(r.slot for r in got) == list(range(total)) and len(starts) == -(-layout.places // 700)
+    layout = tokens.materialise(read(spark, data, "documents"), path, records=350)
+    got, total = tokens.read_shards(spark, path).collect(), layout.count
+    assert sorted(r.slot for r in got) == list(range(total)) and layout.shards == -(-total // 350)
     t = tokens.Tokenizer(open(tokens.RANKS, "rb").read())
     by = defaultdict(dict)
     for r in got:
         by[r.doc_id][r.seq_no] = r.ids
-        assert r.offset == (r.slot - starts[r.shard]) * layout.stride
+        assert r.shard == r.slot // 350 and r.offset == r.slot % 350 * layout.stride
     for d, text in docs.items():
         ids = [x for k in sorted(by[d]) for x in by[d][k]]
         assert ids == t.encoding.encode_ordinary(text) + [t.end]
     rest = tokens.read_shards(spark, path, total - 450)
     assert sorted(r.slot for r in rest.collect()) == list(range(total - 450, total))
     files = list((tmp_path / "shards/shards").glob("shard=*/*.txt"))
-    assert len(files) == len(starts) and all(f.stat().st_size % layout.stride == 0 for f in files)
+    assert len(files) == layout.shards and sum(f.stat().st_size for f in files) == total * layout.stride
+    # Brute force: sequences numbered in the table's order, permuted by the network itself.
+    numbered = [(d, k) for d in docs for k in sorted(by[d])]
+    slots = tokens.Feistel(total, tokens.KEY).slot(np.arange(total)).tolist()
+    assert {(r.doc_id, r.seq_no): r.slot for r in got} == dict(zip(numbered, slots, strict=True))
     order = [r.doc_id for r in sorted(got, key=lambda r: r.slot)]
     assert order != sorted(order) and len(set(order[:50])) > 20
     other, before = str(tmp_path / "again"), spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
-    tokens.materialise(read(spark, data, "documents"), other, shard_places=700)
+    tokens.materialise(read(spark, data, "documents"), other, records=350)
     spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert {r.slot: r.ids for r in tokens.read_shards(spark, other).collect()} == {r.slot: r.ids for r in got}
 
