@@ -2,9 +2,12 @@
 
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -227,6 +230,26 @@ def test_op4_offsets_and_shards(spark, monkeypatch):
     assert rows(decontam.decontaminate(d, b)) == one
 
 
+def test_op4_automaton_memory():
+    """A benchmark of as many bytes as an automaton takes stays small in a worker."""
+    code = """
+import random, resource
+from procspark.llm import decontam
+rng = random.Random(1)
+items, left = [], decontam.AUTOMATON_BYTES
+while left > 0:
+    text = " ".join("w%x" % int(rng.paretovariate(0.35)) if rng.random() < 0.5 else "%05x" % rng.randrange(1 << 17) for _ in range(60)).encode()
+    items.append((str(len(items)), text))
+    left -= len(text)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+machine = decontam.Machine(items, 13)
+assert machine.find(items[7][1].split()[3:30])[0] and not machine.find(items[7][1].split()[3:15])[0]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    got = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
+    assert int(got.stdout) < 300
+
+
 def test_op5(spark, data, docs):
     table = read(spark, data, "documents")
     out = rows(queries.op5_mixing(spark, data))
