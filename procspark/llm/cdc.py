@@ -1,8 +1,8 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash over the last 32 bytes cuts a text where its upper bits are zero, so cuts move with the content and an
-insertion changes the chunks around it only.  Windows of neighbouring chunks are compared by digest, so what repeats
-stands together in one earlier document.
+A gear hash rolls over the last 16 bytes; a text is cut where the hash is the least of those around it.  So a cut
+depends on the bytes near it only, and an insertion changes the chunks around it and no others.  Windows of neighbouring
+chunks are compared by digest, so what repeats stands together in one earlier document.
 """
 
 from __future__ import annotations
@@ -15,39 +15,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, map_rows, texts
-from .repeats import LAST, document_rows, place, position_of, repeats, scatter, settle, tag_of
-
-LEAST, MOST = 8, 256
-#: So many upper bits of the gear hash are zero at a cut.
-CUT_BITS = 3
+from .repeats import NULLS, document_rows, place, position_of, repeats, scatter, settle, sliding, tag_of
+
+#: A cut's gear hash is below the ones of so many bytes before and not above those behind: chunks have more bytes, twice as many on average.
+RADIUS = 16
+#: A longer chunk, which only dull bytes have, is cut anyway.
+MOST = 256
+#: Bytes that the gear hash rolls over.
+REACH = 16
 #: Repeats are removed where so many bytes of chunks follow each other in one earlier document too; short common phrases stay.
 RUN_BYTES = 96
 #: The gear table, one number for each byte, from a fixed generator.
 GEAR = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
+def gear(text: bytes) -> np.ndarray:
+    """At each byte, the sum of the gear numbers of the last ``REACH`` bytes, shifted by their distance; by doubling."""
+    h, step = GEAR[np.frombuffer(text, np.uint8)], 1
+    while step < REACH:
+        h = h.copy()
+        h[step:] += h[:-step].copy() << np.uint32(step)
+        step *= 2
+    return h
+
+
 def cuts(text: bytes) -> list[int]:
     """Ends of the chunks of a text; none for an empty one."""
     if not text:
         return []
-    h, step = GEAR[np.frombuffer(text, np.uint8)], 1
-    while step < 32:
-        h = h.copy()
-        h[step:] += h[:-step].copy() << np.uint32(step) if step < len(h) else np.uint32(0)
-        step *= 2
+    n, h = len(text), gear(text)
+    around = np.concatenate([np.full(RADIUS, 0xFFFFFFFF, np.uint32), h, np.full(RADIUS, 0xFFFFFFFF, np.uint32)])
+    least = sliding(around, RADIUS, True)
     out, last = [], 0
-    for end in (np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist():
+    for end in (np.flatnonzero((h < least[:n]) & (h <= least[RADIUS + 1 :])) + 1).tolist():
         while end - last > MOST:
             last += MOST
             out.append(last)
-        if end - last >= LEAST:
-            out.append(end)
-            last = end
-    while len(text) - last > MOST:
+        out.append(end)
+        last = end
+    while n - last > MOST:
         last += MOST
         out.append(last)
-    if last < len(text):
-        out.append(len(text))
+    if last < n:
+        out.append(n)
     return out
 
 
@@ -130,7 +140,7 @@ def cut_out(rows: DataFrame, spans: DataFrame, least: int) -> DataFrame:
     )
     schema = "doc bigint, n_bytes bigint, removed array<struct<start:bigint,end:bigint>>, kept binary"
     out = map_rows(joined, _apply(least), schema)
-    return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_bytes", "removed", "kept")
+    return out.select(F.when(F.col("doc") < NULLS, F.col("doc")).alias("doc_id"), "n_bytes", "removed", "kept")
 
 
 def dedup_chunks(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:

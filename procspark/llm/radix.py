@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .cdc import cut_out
 from .common import Scratch, map_rows, texts
-from .repeats import document_rows, place, position_of, repeats, scatter, settle, streamed, tag_of
+from .repeats import document_rows, place, position_of, repeats, scatter, settle, sliding, streamed, tag_of
 
 #: Fixed value: bytes in a window.
 WINDOW = 50
@@ -54,16 +54,6 @@ def rolling(data: np.ndarray, width: int, base: int) -> np.ndarray:
     return out ^ out >> np.uint64(32)
 
 
-def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """Least or greatest of ``width`` values from each position on."""
-    pick, size, current = np.minimum if least else np.maximum, 1, values
-    while size * 2 <= width:
-        current = pick(current[:-size], current[size:])
-        size *= 2
-    n = len(values) - width + 1
-    return pick(current[:n], current[width - size : width - size + n]) if size < width else current
-
-
 class Anchors:
     """Digits, window minima and anchors of some texts that stand one behind the other."""
 

@@ -10,14 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The place of documents without an id: behind all others.
-LAST = (1 << 63) - 1
+#: Documents without an id come behind all others, with numbers from here on; ids so great count as equal to them.
+NULLS = (1 << 63) - (1 << 31)
 
 
 def document_rows(docs: DataFrame) -> DataFrame:
-    """``doc`` (null ids last), ``tag`` (32 bits of the text's hash) and ``text``; both together name a document."""
-    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
+    """``doc`` (null ids last), ``tag`` (32 bits of the text's hash) and ``text``; both together name a document.
+
+    Null ids, of which there may be many, are told apart by 31 bits of another hash as well.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    unnamed = F.lit(NULLS) + F.xxhash64(text, F.lit(1)).bitwiseAND(F.lit(0x7FFFFFFF))
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), unnamed)
     return docs.select(doc.alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("tag"), text.alias("text"))
 
 
@@ -34,12 +38,23 @@ def position_of(col: str) -> Column:
     return F.col(col).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
 
 
+def sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """Least or greatest of ``width`` values from each position on."""
+    pick, size, current = np.minimum if least else np.maximum, 1, values
+    while size * 2 <= width:
+        current = pick(current[:-size], current[size:])
+        size *= 2
+    n = len(values) - width + 1
+    return pick(current[:n], current[width - size : width - size + n]) if size < width else current
+
+
 def settle(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a block whose key stands in a smaller document of the same block, and rows that they repeat.
 
     The former repeat for certain and need no partner from elsewhere, so a frequent key sends on the rows of one
     document of each block only.
     """
+    docs = np.minimum(docs, NULLS)
     order = np.lexsort((docs, keys))
     k, d = keys[order], docs[order]
     new = np.ones(len(k), bool)
@@ -76,7 +91,7 @@ class _Stream:
             if not n:
                 continue
             col = lambda name, b=batch: np.asarray(b.column(b.schema.get_field_index(name)))
-            keys, doc, sure = [col(k) for k in self.keys], col("doc"), col("sure")
+            keys, doc, sure = [col(k) for k in self.keys], np.minimum(col("doc"), NULLS), col("sure")
             new = np.zeros(n, bool)
             for k in keys:
                 new[1:] |= k[1:] != k[:-1]

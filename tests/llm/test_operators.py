@@ -322,27 +322,76 @@ def test_feistel(n):
     assert sorted(slots.tolist()) == list(range(n)) and f.index(slots).tolist() == list(range(n))
 
 
+def slow_cuts(text):
+    """Chunk ends by the definition: a gear hash below those of 16 bytes before it, not above those of 16 behind."""
+    h = [sum(int(cdc.GEAR[text[i - j]]) << j for j in range(min(16, i + 1))) & 0xFFFFFFFF for i in range(len(text))]
+    ends = [i + 1 for i in range(len(h)) if all(h[i] < x for x in h[max(0, i - 16) : i]) and all(h[i] <= x for x in h[i + 1 : i + 17])]
+    out = [0]
+    for end in [*ends, len(text)]:
+        while end - out[-1] > 256:
+            out.append(out[-1] + 256)
+        if end > out[-1]:
+            out.append(end)
+    return out
+
+
 def test_op7(spark, data, docs):
+    """Rows of chunks, up to well beyond the longest that are needed, against all documents."""
     out = rows(queries.op7_chunk_dedup(spark, data))
-    first, chunks = {}, {}
+    first, found = {}, {}
     for d in sorted(docs):
-        b, last, chunks[d] = docs[d].encode(), 0, []
-        for end in cdc.cuts(b):
-            chunks[d].append((last, end, b[last:end]))
-            first.setdefault(b[last:end], d)
-            last = end
-        assert last == len(b)
+        b = docs[d].encode()
+        ends, found[d] = slow_cuts(b), []
+        for i, x in enumerate(ends):
+            for j in range(i + 1, len(ends)):
+                if ends[j] - x >= 96:
+                    key = (b[x : ends[j]], *(e - x for e in ends[i:j]))
+                    found[d].append((x, ends[j], key))
+                    first.setdefault(key, d)
+                if ends[j] - x >= 96 + 2 * 256:
+                    break
     removed = 0
     for d in docs:
-        spans = cdc.merged([(a, e) for a, e, c in chunks[d] if first[c] < d], cdc.RUN_BYTES)
-        b, gone = docs[d].encode(), {i for a, e in spans for i in range(a, e)}
-        kept = bytes(x for i, x in enumerate(b) if i not in gone)
-        assert (out[d]["n_bytes"], out[d]["n_removed"], out[d]["n_spans"]) == (len(b), len(gone), len(spans))
+        b, gone = docs[d].encode(), np.zeros(len(docs[d].encode()) + 1, bool)
+        for x, y, key in found[d]:
+            if first[key] < d:
+                gone[x:y] = True
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone[:-1]]) if b else b""
+        spans = int((gone[1:] & ~gone[:-1]).sum()) + int(gone[0])
+        assert (out[d]["n_bytes"], out[d]["n_removed"], out[d]["n_spans"]) == (len(b), int(gone.sum()), spans)
         assert out[d]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
-        removed += len(gone)
+        removed += int(gone.sum())
     assert removed
 
 
+def test_op7_catches_passages(spark):
+    """Passages of 50 words and more that are planted at any place are caught for the most part; other texts stay whole."""
+    rng = np.random.default_rng(9)
+    words = lambda n: " ".join(bytes(rng.integers(97, 123, k, dtype=np.uint8)).decode() for k in rng.integers(3, 10, n))
+    passages = [words(n) for n in rng.integers(51, 120, 60)]
+    texts = {i: f"{words(rng.integers(5, 90))} {p} {words(rng.integers(5, 90))}" for i, p in enumerate(passages)}
+    texts |= {100 + i: f"{words(rng.integers(5, 90))} {p} {words(rng.integers(5, 90))}" for i, p in enumerate(passages)}
+    texts |= {200 + i: words(200) for i in range(60)}
+    got = rows(cdc.digest(cdc.dedup_chunks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))))
+    share = np.array([got[100 + i]["n_removed"] / len(p) for i, p in enumerate(passages)])
+    assert (share >= 0.5).mean() >= 0.95 and share.mean() > 0.75
+    assert not any(got[d]["n_removed"] for d in texts if not 100 <= d < 200)
+
+
+@pytest.mark.parametrize("operator", [cdc.dedup_chunks, radix.repeated_windows])
+def test_null_ids_keep_their_own_bytes(spark, operator):
+    rng = np.random.default_rng(13)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    shared = word(400)
+    texts = [(1, word(50) + shared)] + [(None, word(20 + 7 * i) + shared + word(30)) for i in range(20)] + [(None, word(300)) for _ in range(20)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.n_bytes, r.kept_sha256): r for r in cdc.digest(operator(df)).collect()}
+    assert len(got) == len(texts)
+    for d, text in texts:
+        plain = (len(text), hashlib.sha256(text.encode()).hexdigest())
+        assert (plain in got) == (shared not in text or d == 1)
+
+
 def test_op7_runs_stand_in_one_document(spark):
     """Chunks that repeat several documents are no passage; one of 96 bytes or more in one document is."""
     rng = np.random.default_rng(11)
@@ -375,10 +424,9 @@ def test_gear_cuts_resist_shifts():
         return {b[x:y] for x, y in zip(ends, ends[1:], strict=False)}
 
     assert len(pieces(text) & pieces(b"inserted" + text)) > 0.95 * len(pieces(text))
-    slow = lambda i: sum(int(cdc.GEAR[text[i - j]]) << j for j in range(32)) & 0xFFFFFFFF
-    ends = [0, *cdc.cuts(text)]
-    for start, end in zip(ends[1:40], ends[2:41], strict=True):
-        assert slow(end - 1) >> (32 - cdc.CUT_BITS) == 0 or end - start == cdc.MOST
+    assert [0, *cdc.cuts(text)] == slow_cuts(text)
+    sizes = np.diff([0, *cdc.cuts(text)])
+    assert sizes[1:-1].min() > cdc.RADIUS and 30 < sizes.mean() < 40
 
 
 def test_op8(spark, data):
