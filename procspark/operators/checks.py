@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions.expr import flow_of, json_numbers
 from ..schema import FLOW
 from .eventlog import EventLog
+from .ranking import before
 
 
 def gaps(rows: DataFrame, key: str, known: DataFrame, known_key: str) -> DataFrame:
@@ -52,9 +53,12 @@ def allocation(cases: DataFrame, target: int, floor: int) -> DataFrame:
 
 
 def stratified_sample(log: EventLog, target: int, floor: int = 0, salt: str = "procspark", unknown: str = "(unrecorded)") -> EventLog:
-    """The same cases in every run: of each flow those with the least salted hashes."""
+    """The same cases in every run: of each flow those with the least salted hashes.
+
+    Cases are counted by the hash's leading digits, so a flow of any size is ordered in small parts.
+    """
     flow = flow_of(F.col("attrs"), FLOW)
-    cases = log.cases.select("case_id", F.when(flow == "", unknown).otherwise(flow).alias("flow"))
-    nth = F.row_number().over(W.partitionBy("flow").orderBy(case_hash(F.col("case_id"), salt), "case_id"))
-    drawn = cases.withColumn("nth", nth).join(allocation(cases, target, floor), "flow").where("nth <= wanted")
+    cases = log.cases.select("case_id", F.when(flow == "", unknown).otherwise(flow).alias("flow"), case_hash(F.col("case_id"), salt).alias("h"))
+    placed = before(cases.withColumn("part", F.substring("h", 1, 4)), ["flow"], "part", ["h", "case_id"], {"nth": F.lit(1)})
+    drawn = placed.join(allocation(cases, target, floor), "flow").where("nth < wanted")
     return log.keep(drawn, sample=str(target))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..policy import Policy
 
@@ -87,6 +88,46 @@ def can_view_item(role: Column, own_group: Column, group: Column, own_company: C
     return F.coalesce(seen, F.lit(False))
 
 
+#: The roles that may do an action, within what they see; a decision on an approval needs no item.
+ACTIONS = {"record_goods_receipt": ("buyer",), "record_invoice": ("ap_clerk",), "clear_invoice": ("ap_clerk",), "change_payment_block": ("ap_clerk",), "decide_approval": ("controller",)}
+
+
+def can_act(action: str, role: Column, sees: Column) -> Column:
+    """Whether a role may do an action on an item that it sees."""
+    permitted = F.coalesce(role.isin(list(ACTIONS[action])), F.lit(False))
+    return permitted if action == "decide_approval" else permitted & sees
+
+
+def valid_receipts(receipts: DataFrame) -> DataFrame:
+    """Total of each item's receipts that aren't cancelled; items without any have no row."""
+    return receipts.where("cancelled_at is null").groupBy("item_key").agg(F.sum("value_cents").alias("receipt_value_cents"))
+
+
+def first_invoice(invoices: DataFrame, open_only: bool = True) -> DataFrame:
+    """Each item's first invoice that is open or queued, or else that isn't cancelled."""
+    wanted = F.col("status").isin("open", "queued_for_approval") if open_only else F.col("status") != "cancelled"
+    rest = [c for c in invoices.columns if c != "item_key"]
+    got = invoices.where(wanted).groupBy("item_key").agg(F.min_by(F.struct(*rest), F.struct("recorded_at", "invoice_id")).alias("r"))
+    return got.select("item_key", "r.*")
+
+
+def public_items(items: DataFrame, columns: list[str]) -> DataFrame:
+    """Only what may be shown: the named columns, amounts in euros (null where there is none), and flags for dates."""
+    euros = [(F.col(f"{c}_cents") / 100).alias(f"{c}_eur") for c in ("po_value", "receipt_value", "invoice_value")]
+    flags = [F.col(f"{c}_at").isNotNull().alias(c) for c in ("released", "deleted")]
+    return items.select(*columns, *euros, F.coalesce("payment_blocked", F.lit(False)).alias("payment_blocked"), *flags)
+
+
+def siblings(items: DataFrame, order: str, key: str) -> DataFrame:
+    """How many other items an item's order has, and the first of them; no pairs are made."""
+    own = items.select(order, key).distinct()
+    nth = F.row_number().over(W.partitionBy(order).orderBy(key))
+    two = own.withColumn("k", nth).where("k <= 2").groupBy(order).agg(*[F.max(F.when(F.col("k") == k, F.col(key))).alias(f"k{k}") for k in (1, 2)])
+    per = own.groupBy(order).agg((F.count("*") - 1).alias("siblings")).join(two, order)
+    first = F.when(F.col(key) == F.col("k1"), F.col("k2")).otherwise(F.col("k1"))
+    return own.join(per, order).select(order, key, "siblings", first.alias("first_sibling"))
+
+
 def is_allowed(tool: Column, level: Column, paused: dict[str, list[str]]) -> Column:
     """Whether a kill switch's level leaves a tool on."""
     levels = F.create_map(*[x for k, v in paused.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))])

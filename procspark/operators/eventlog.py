@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from ..functions.expr import activity_rank
 from ..schema import CASES, DAY, EVENTS, RAW, SECOND
+from .ranking import before, by_ranges
 
 def by_case():
     """The window over a case in order."""
@@ -101,8 +102,13 @@ class EventLog:
             self, events=self.events.join(ids, "case_id", "left_semi"), cases=self.cases.join(ids, "case_id", "left_semi"), filters=self.filters | filters
         )
 
-    def select(self, case_ids: Iterable[str]) -> EventLog:
-        """The named cases; a name that the log hasn't got is an error."""
+    def select(self, case_ids: Iterable[str] | DataFrame) -> EventLog:
+        """The named cases; a name that the log hasn't got is an error.  Many names come as a table with ``case_id``."""
+        if isinstance(case_ids, DataFrame):
+            missing = case_ids.select("case_id").join(self.cases, "case_id", "left_anti").first()
+            if missing is not None:
+                raise KeyError(f"log {self.log_id} has no case {missing.case_id!r}")
+            return self.keep(case_ids)
         wanted = sorted(set(case_ids))
         there = {r.case_id for r in self.cases.where(F.col("case_id").isin(wanted)).select("case_id").collect()}
         if missing := [c for c in wanted if c not in there]:
@@ -160,24 +166,8 @@ class EventLog:
         return out.withColumn("resources", F.col("named_resources") + 1)
 
     def numbered(self) -> DataFrame:
-        """Events with ``seq``, their place in the whole log, and ``case_index``.
-
-        Cases are dealt out by ranges of their id; each range's totals are few, so the running sums over ranges are
-        small, and the sums within a range stay in its task.
-        """
-        # Ranges are ids with the same leading characters, whose distinct values are far fewer than the cases.
-        ranged = self.cases.select("case_id", "event_count", F.substring("case_id", 1, 3).alias("part"))
-        totals = ranged.groupBy("part").agg(F.sum("event_count").alias("e"), F.count("*").alias("c"))
-        before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-        totals = totals.select(
-            "part", F.coalesce(F.sum("e").over(before), F.lit(0)).alias("e0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0")
-        )
-        inside = W.partitionBy("part").orderBy("case_id")
-        run = inside.rowsBetween(W.unboundedPreceding, -1)
-        placed = ranged.join(totals, "part").select(
-            "case_id",
-            (F.col("c0") + F.row_number().over(inside) - 1).alias("case_index"),
-            (F.col("e0") + F.coalesce(F.sum("event_count").over(run), F.lit(0))).alias("offset"),
-        )
+        """Events with ``seq``, their place in the whole log, and ``case_index``; cases are dealt out by ranges of their id."""
+        ranged = by_ranges(self.cases.select("case_id", "event_count"), "case_id")
+        placed = before(ranged, [], "_part", ["case_id"], {"case_index": F.lit(1), "offset": F.col("event_count")})
+        placed = placed.select("case_id", "case_index", "offset")
         return self.events.drop("seq", "case_index").join(placed, "case_id").withColumn("seq", F.col("offset") + F.col("pos")).drop("offset")
-

@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.expr import activity_rank, share
 from .eventlog import EventLog, by_case, canonical
+from .ranking import before, by_ranges
 
 #: Shares of cases for which the coverage curve counts variants.
 POINTS = (0.5, 0.8, 0.9, 0.95, 0.99)
 
 
-def _most():
-    """Variants by number of cases, the first seen one first among equals."""
-    return W.orderBy(F.col("n").desc(), "first_case")
-
-
 def sequences(events: DataFrame) -> DataFrame:
     """``variant``, the array of activities, for each case."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "activity")))
@@ -31,49 +27,84 @@ def variant_counts(events: DataFrame) -> DataFrame:
     return sequences(events).groupBy("variant").agg(F.count("*").alias("n"), F.min("case_id").alias("first_case"))
 
 
+def _levels(counts: DataFrame) -> DataFrame:
+    """``n``, ``v`` variants with so many cases each, ``c0`` cases and ``v0`` variants of more frequent ones, and all cases.
+
+    The window runs over distinct counts, whose sum is the number of cases, so they are few.
+    """
+    by_n = counts.groupBy("n").agg(F.count("*").alias("v"))
+    earlier = W.orderBy(F.col("n").desc()).rowsBetween(W.unboundedPreceding, -1)
+    over = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    return by_n.select(
+        "n", "v", over(F.col("n") * F.col("v"), earlier).alias("c0"), over(F.col("v"), earlier).alias("v0"),
+        F.sum(F.col("n") * F.col("v")).over(W.partitionBy(F.lit(0))).alias("total"),
+    )
+
+
+def _first_ones(reached: Callable[[Column], Column], guess: Column) -> Column:
+    """How many of a level's variants, the first seen ones first, have fewer cases before them than asked for.
+
+    ``reached`` tests the k-th one, from 0; ``guess`` is within one of the answer, and rounding decides at its edge.
+    """
+    low = F.greatest(F.lit(0), guess - 2)
+    near = F.filter(F.sequence(low, low + 4), lambda k: (k < F.col("v")) & reached(k))
+    return F.least(F.col("v"), low) + F.size(near)
+
+
+def medians(seq: DataFrame) -> DataFrame:
+    """The upper median of durations of each variant, from counts of days, and then of seconds in the middle day."""
+    place = lambda w: F.coalesce(F.sum("k").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = seq.groupBy("variant", "duration_s").agg(F.count("*").alias("k")).withColumn("day", F.floor(F.col("duration_s") / 86400))
+    days = counts.groupBy("variant", "day").agg(F.sum("k").alias("k"))
+    by = W.partitionBy("variant")
+    days = days.select("variant", "day", "k", place(by.orderBy("day")).alias("d0"), F.floor(F.sum("k").over(by) / 2).alias("half"))
+    middle = days.where("d0 <= half and half < d0 + k").drop("k")
+    inside = counts.join(middle, ["variant", "day"]).withColumn("s0", F.col("d0") + place(by.orderBy("duration_s")))
+    return inside.where("s0 <= half and half < s0 + k").select("variant", F.col("duration_s").alias("median_s"))
+
+
 def variant_table(log: EventLog, examples: int = 3) -> DataFrame:
     """Variants by rank: share, cumulative share, the first cases, and the upper median of durations.
 
-    The median comes from the middle row of each variant in order of duration, not from a list of durations.
+    Variants are ranked by their count, and among equal counts by ranges of their first case; a common variant's cases
+    are cut to the first ones before they meet, and its median comes from counts.
     """
     seq = sequences(log.events)
-    by = W.partitionBy("variant")
-    placed = seq.select(
-        "variant", "case_id", "duration_s",
-        F.row_number().over(by.orderBy("case_id")).alias("i"),
-        F.row_number().over(by.orderBy("duration_s", "case_id")).alias("d"),
-        F.count("*").over(by).alias("n"),
-    )
-    table = placed.groupBy("variant").agg(
-        F.max("n").alias("n"),
-        F.min("case_id").alias("first_case"),
-        F.array_sort(F.collect_list(F.when(F.col("i") <= examples, F.col("case_id")))).alias("examples"),
-        F.max(F.when(F.col("d") == F.floor(F.col("n") / 2) + 1, F.col("duration_s"))).alias("median_s"),
-    )
-    total = F.sum("n").over(W.partitionBy(F.lit(0)))
+    counts = seq.groupBy("variant").agg(F.count("*").alias("n"), F.min("case_id").alias("first_case"))
+    nth = F.row_number().over(W.partitionBy("variant").orderBy("case_id"))
+    few = seq.select("variant", "case_id", nth.alias("i")).where(F.col("i") <= examples)
+    few = few.groupBy("variant").agg(F.array_sort(F.collect_list("case_id")).alias("examples"))
+    ranked = before(by_ranges(counts, "first_case"), ["n"], "_part", ["first_case"], {"k": F.lit(1)}).drop("_part").join(_levels(counts), "n")
+    table = ranked.join(few, "variant").join(medians(seq), "variant")
     return table.select(
-        F.row_number().over(_most()).alias("variant_rank"), "variant", "n", (F.col("n") / total).alias("case_share"),
-        (F.sum("n").over(_most().rowsBetween(W.unboundedPreceding, W.currentRow)) / total).alias("cumulative_share"), "examples", "median_s",
+        (F.col("v0") + F.col("k") + 1).cast("int").alias("variant_rank"), "variant", "n", (F.col("n") / F.col("total")).alias("case_share"),
+        ((F.col("c0") + (F.col("k") + 1) * F.col("n")) / F.col("total")).alias("cumulative_share"), "examples", "median_s",
     )
 
 
 def coverage_curve(log: EventLog, points: Iterable[float] = POINTS) -> DataFrame:
     """For each share of cases, how many of the most frequent variants reach it."""
-    counts = variant_counts(log.events)
-    before = F.coalesce(F.sum("n").over(_most().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.select((before / F.sum("n").over(W.partitionBy(F.lit(0)))).alias("before"))
-    wanted = [F.count_if(F.col("before") < F.lit(float(p))).alias(f"p{round(p * 100):02d}") for p in points]
-    wide = placed.agg(*wanted)
-    pairs = F.array(*[F.struct(F.lit(float(p)).alias("coverage"), F.col(f"p{round(p * 100):02d}").alias("variants")) for p in points])
-    return wide.select(F.inline(pairs))
+    levels = _levels(variant_counts(log.events))
+
+    def wanted(p: float) -> Column:
+        guess = F.floor((F.lit(p) * F.col("total") - F.col("c0")) / F.col("n"))
+        return F.coalesce(F.sum(_first_ones(lambda k: (F.col("c0") + k * F.col("n")) / F.col("total") < F.lit(p), guess)), F.lit(0))
+
+    points = [float(p) for p in points]
+    wide = levels.agg(*[wanted(p).alias(f"p{i}") for i, p in enumerate(points)])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(p).alias("coverage"), F.col(f"p{i}").alias("variants")) for i, p in enumerate(points)])))
 
 
 def cases_covering(log: EventLog, coverage: float) -> DataFrame:
     """Cases of the most frequent variants, up to and with the one that reaches the coverage; 0 gives none."""
     counts = variant_counts(log.events)
-    before = F.coalesce(F.sum("n").over(_most().rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    budget = F.sum("n").over(W.partitionBy(F.lit(0))) * F.lit(float(coverage))
-    chosen = counts.withColumn("before", before).withColumn("budget", budget).where("before < budget").select("variant")
+    budget = F.col("total") * F.lit(float(coverage))
+    guess = F.floor((budget - F.col("c0")) / F.col("n"))
+    levels = _levels(counts).select("n", "v", _first_ones(lambda k: F.col("c0") + k * F.col("n") < budget, guess).alias("take"))
+    placed = counts.join(levels.where("take > 0"), "n")
+    # Only the level in which the coverage is reached needs an order.
+    edge = before(by_ranges(placed.where("take < v"), "first_case"), ["n"], "_part", ["first_case"], {"k": F.lit(1)}).where("k < take")
+    chosen = placed.where("take = v").select("variant").union(edge.select("variant"))
     return sequences(log.events).join(chosen, "variant", "left_semi").select("case_id")
 
 

@@ -496,13 +496,16 @@ def sod_history(s, d):
     return controls.duty_conflicts(e.where("activity = 'purchase'"), e, POLICY).select("item_key", "actor_id").distinct()
 
 
-@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_acctbal > 5000")
+@query(
+    """SELECT o_orderkey, g AS role, CASE g WHEN 'controller' THEN true WHEN 'buyer' THEN c_mktsegment = 'BUILDING' ELSE c_nationkey = 7 END AS visible
+FROM orders JOIN customer ON c_custkey = o_custkey, (SELECT unnest(['controller', 'buyer', 'ap_clerk']) AS g)"""
+)
 def scope_filter(s, d):
-    """Which suppliers' documents each customer may see: those of its company, here its nation."""
-    c, v = table(s, d, "customer"), table(s, d, "supplier").where("s_acctbal > 5000")
-    both = c.join(v, F.col("c_nationkey") == F.col("s_nationkey"))
-    seen = controls.can_view_item(F.lit("ap_clerk"), F.lit(""), F.lit(""), F.col("c_nationkey"), F.col("s_nationkey"))
-    return both.where(seen).select("c_custkey", "s_suppkey")
+    """Which orders each role sees, for a buyer of one segment and a clerk of one nation: all of them are judged."""
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    o = o.select("o_orderkey", "c_mktsegment", "c_nationkey", F.explode(F.array(*map(F.lit, ("controller", "buyer", "ap_clerk")))).alias("role"))
+    seen = controls.can_view_item(F.col("role"), F.lit("BUILDING"), F.col("c_mktsegment"), F.lit(7), F.col("c_nationkey"))
+    return o.select("o_orderkey", "role", seen.alias("visible"))
 
 
 @query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 30 AS DATE)::VARCHAR AS due, CAST(CAST(o_orderdate AS DATE) + 10 AS DATE)::VARCHAR AS discount_until, CAST(round_even(o_totalprice * 100, 0) AS BIGINT) > 100000 AS needs_approval FROM orders")
@@ -541,14 +544,17 @@ def dup_keys(s, d):
     return checks.repeated_keys(table(s, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01')")
 def referential_gaps(s, d):
-    return checks.gaps(table(s, d, "customer"), "c_custkey", table(s, d, "orders"), "o_custkey").select("c_custkey")
+    """Customers without an order since 2000; orders of any time have no gaps in these tables."""
+    recent = table(s, d, "orders").where("o_orderdate >= timestamp_ntz'2000-01-01'")
+    return checks.gaps(table(s, d, "customer"), "c_custkey", recent, "o_custkey").select("c_custkey")
 
 
-@query("SELECT lower(trim(text)) AS text, count(*) AS n FROM conversations WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT lower(trim(text)) AS text, count(*) AS n FROM (SELECT text FROM conversations UNION ALL SELECT text FROM documents) WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def dup_messages(s, d):
-    return checks.repeated_texts(table(s, d, "conversations").where("text is not null"), "text")
+    both = table(s, d, "conversations").select("text").union(table(s, d, "documents").select("text"))
+    return checks.repeated_texts(both.where("text is not null"), "text")
 
 
 @query(
@@ -628,12 +634,14 @@ def span_business_log(s, d):
 
 
 @query(
-    """SELECT span_id FROM (SELECT span_id, coalesce(bool_or(NOT ok) OVER (PARTITION BY run_id, name, item_key ORDER BY t, step, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS again
+    """SELECT span_id FROM (SELECT span_id, coalesce(bool_or(NOT ok) OVER (PARTITION BY run_id, name ORDER BY t, step, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS again
   FROM sp WHERE kind = 'tool' AND name IN ('clear_invoice', 'record_receipt')) WHERE again""",
     SPANS_SQL,
 )
 def retry_after_refusal(s, d):
-    return sp.retries(sp.tool_steps(spans(s, d)), list(TOOLS)).select("span_id")
+    """Retries of a tool within a run, whose calls are all taken to be on one item, as these tables have none otherwise."""
+    steps = sp.tool_steps(spans(s, d)).withColumn("item_key", F.lit("item"))
+    return sp.retries(steps, list(TOOLS)).select("span_id")
 
 
 @query(
@@ -663,7 +671,11 @@ def otlp_ids(s, d):
 def _scratch(s: SparkSession) -> str:
     import uuid
 
-    base = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    base = s.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not s.sparkContext.master.startswith("local") or s.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = s.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return f"{base.rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
 
 
@@ -678,7 +690,7 @@ def otlp_roundtrip(s, d):
 def csv_roundtrip(s, d):
     path = _scratch(s)
     csv.write_events(events_log(s, d), path)
-    back = EventLog.build(csv.read_events(s, path), None)
+    back = EventLog.build(csv.read_events(s, path, line_breaks=False), None)
     return back.events.select("case_id", "pos", "activity", "ts_s", "resource", "value_cents", "tie_broken")
 
 
@@ -697,3 +709,7 @@ def store_roundtrip(s, d):
     path = _scratch(s)
     store.save(events_log(s, d), path)
     return store.load(s, path, "events").events.select("case_id", "pos", "activity", "ts_s", "resource", "value_cents", "tie_broken")
+
+
+# More queries register themselves; they need the decorator above.
+from . import reports  # noqa: E402, F401

@@ -10,37 +10,43 @@ from pyspark.sql import functions as F
 from ..functions.expr import sorted_json
 from ..operators.eventlog import EventLog
 from ..schema import DAY, SECOND
+from .places import numbered
 
 #: The canonical columns of an event file, and those of a three-column file.
 COLUMNS = {k: k for k in ("case_id", "activity", "timestamp", "resource", "value_cents", "precision", "attributes")}
 HELPDESK = {"case_id": "CaseID", "activity": "ActivityID", "timestamp": "CompleteTimestamp"}
-#: Timestamp layouts beside ISO, tried in order.
-LAYOUTS = ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss.SSS", "dd-MM-yyyy HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
 _ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?([+-]\d{2}:?\d{2})?)?$"
 
 
-def parse_time(text: Column) -> tuple[Column, Column]:
-    """Time and precision of a text: UTC unless it has an offset; a date, or midnight, has the precision of a day."""
+def parse_time(text: Column, layouts: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """Time and precision of an ISO text: UTC unless it has an offset; a date, or midnight, has the precision of a day.
+
+    ``layouts`` are further ones, tried in order; by default there are none.
+    """
     clean = F.regexp_replace(F.trim(text), "Z$", "")
     iso = F.when(clean.rlike(_ISO), F.try_to_timestamp(clean))
-    ts = F.coalesce(iso, *[F.try_to_timestamp(clean, F.lit(x)) for x in LAYOUTS])
+    ts = F.coalesce(iso, *[F.try_to_timestamp(clean, F.lit(x)) for x in layouts])
     midnight = (F.hour(ts) == 0) & (F.minute(ts) == 0) & (F.second(ts) == 0)
     return ts, F.when(midnight, DAY).otherwise(SECOND)
 
 
-def read_events(spark: SparkSession, path: str, mapping: dict[str, str] | None = None, keep: Column | None = None) -> DataFrame:
+def read_events(
+    spark: SparkSession, path: str, mapping: dict[str, str] | None = None, keep: Column | None = None, layouts: tuple[str, ...] = (), line_breaks: bool = True
+) -> DataFrame:
     """Raw events of a CSV file or folder, compressed or not.
 
     A value that isn't a number is 0, fractions are cut off; a time that can't be read is an error; attributes that
     aren't JSON objects are kept under ``raw``.  ``keep`` filters file rows and is pushed before the parsing.  The
-    place in the file is the arrival, by file and then by record.
+    place in the files is the arrival, by file and then by record.  With ``line_breaks`` in fields a file is one task's;
+    without, files are split.
     """
     mapping = mapping or COLUMNS
-    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=line_breaks, escape='"')
     if keep is not None:
         df = df.where(keep)
+    df = numbered(df)
     col = lambda name: F.col(f"`{mapping[name]}`") if mapping.get(name) in df.columns else F.lit(None).cast("string")
-    ts, precision = parse_time(col("timestamp"))
+    ts, precision = parse_time(col("timestamp"), layouts)
     bad = F.concat(F.lit("can't read the time "), F.coalesce(col("timestamp"), F.lit("(none)")))
     ts = F.when(ts.isNull(), F.raise_error(bad).cast("timestamp")).otherwise(ts)
     attrs = col("attributes")
@@ -49,7 +55,7 @@ def read_events(spark: SparkSession, path: str, mapping: dict[str, str] | None =
     kept = F.when(F.coalesce(attrs, F.lit("")) == "", F.create_map().cast("map<string,string>")).otherwise(F.coalesce(parsed, F.create_map(F.lit("raw"), attrs)))
     return df.select(
         F.trim(col("case_id")).alias("case_id"), F.trim(col("activity")).alias("activity"), ts.alias("ts"),
-        F.monotonically_increasing_id().alias("arrival"), F.coalesce(col("resource"), F.lit("")).alias("resource"),
+        F.col("ordinal").alias("arrival"), F.coalesce(col("resource"), F.lit("")).alias("resource"),
         F.coalesce(col("value_cents").try_cast("double").try_cast("bigint"), F.lit(0)).alias("value_cents"),
         F.coalesce(F.nullif(col("precision"), F.lit("")), precision).alias("precision"), kept.alias("attrs"),
     )

@@ -1,7 +1,13 @@
-"""The event store: a Parquet dataset for each table, partitioned by log, so saving a log replaces it alone."""
+"""The event store: a Parquet dataset for each table, partitioned by log and version.
+
+Saving a log writes a new version of it, and its row in ``logs`` last, which is what readers go by; so a save that
+fails half-way leaves the log as it was, and other logs aren't touched.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +15,7 @@ from pyspark.sql import Window as W
 
 from ..functions.expr import resource_kind
 from ..operators.eventlog import EventLog
+from ..operators.ranking import before, by_ranges
 from ..operators.variants import variant_counts
 
 TABLES = ("logs", "activities", "resources", "cases", "events", "variants")
@@ -24,7 +31,7 @@ def _first_seen(events: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def save(log: EventLog, path: str) -> None:
-    """Write a log; another one with its id is replaced, other logs aren't touched.
+    """Write a log; another one with its id is replaced, by its row in ``logs``, once all tables are written.
 
     Events keep their place in the case and in the log, and their tie flags, so that loading needs no order of its own.
     """
@@ -33,9 +40,11 @@ def save(log: EventLog, path: str) -> None:
     sums = events.agg(F.count("*").alias("event_count"), F.coalesce(F.sum(F.col("tie_broken").cast("bigint")), F.lit(0)).alias("tie_broken"))
     about = [F.lit(getattr(log, k)).alias(k) for k in ("source", "license", "attribution", "doi")]
     cases = log.cases.join(events.select("case_id", "case_index").distinct(), "case_id")
-    variants = variant_counts(log.events).select(F.row_number().over(W.orderBy("first_case")).alias("variant_seq"), "variant", "n", "first_case")
+    counts = by_ranges(variant_counts(log.events), "first_case")
+    variants = before(counts, [], "_part", ["first_case"], {"k": F.lit(1)}).select((F.col("k") + 1).alias("variant_seq"), "variant", "n", "first_case")
+    # One row each.
+    about_log = sums.crossJoin(log.cases.agg(F.count("*").alias("case_count"))).select(*about, "event_count", "case_count", "tie_broken")
     tables = {
-        "logs": sums.crossJoin(log.cases.agg(F.count("*").alias("case_count"))).select(*about, "event_count", "case_count", "tie_broken"),
         "activities": _first_seen(events, "activity", "activity_id"),
         "resources": _first_seen(events, "resource", "resource_id").withColumn("kind", resource_kind(F.col("name"))),
         "cases": cases,
@@ -44,9 +53,32 @@ def save(log: EventLog, path: str) -> None:
         "objects": spark.createDataFrame([], OBJECTS).drop("log_id"),
         "event_objects": spark.createDataFrame([], EVENT_OBJECTS).drop("log_id"),
     }
+    version, before_this = uuid.uuid4().hex, _version(spark, path, log.log_id)
     for name, df in tables.items():
-        out = df.withColumn("log_id", F.lit(log.log_id)).write.partitionBy("log_id").mode("overwrite")
-        out.option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{name}")
+        df.withColumn("log_id", F.lit(log.log_id)).withColumn("version", F.lit(version)).write.partitionBy("log_id", "version").mode("append").parquet(f"{path}/{name}")
+    row = about_log.withColumn("version", F.lit(version)).withColumn("log_id", F.lit(log.log_id)).write.partitionBy("log_id").mode("overwrite")
+    row.option("partitionOverwriteMode", "dynamic").parquet(f"{path}/logs")
+    if before_this:
+        _drop(spark, [f"{path}/{name}/log_id={_escaped(spark, log.log_id)}/version={before_this}" for name in tables])
+
+
+def _escaped(spark: SparkSession, name: str) -> str:
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def _version(spark: SparkSession, path: str, log_id: str) -> str | None:
+    """The version of a stored log; none for a log, or a store, that isn't there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/logs")
+    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        return None
+    found = logs(spark, path).where(F.col("log_id") == log_id).first()
+    return found.version if found else None
 
 
 def logs(spark: SparkSession, path: str) -> DataFrame:
@@ -62,9 +94,9 @@ def load(spark: SparkSession, path: str, log_id: str) -> EventLog:
     if found is None:
         known = ", ".join(r.log_id for r in logs(spark, path).select("log_id").collect())
         raise KeyError(f"no log {log_id!r} in {path}; there are: {known}")
-    mine = F.col("log_id") == log_id
-    events = spark.read.parquet(f"{path}/events").where(mine).drop("log_id")
-    cases = spark.read.parquet(f"{path}/cases").where(mine).drop("log_id", "case_index")
+    mine = (F.col("log_id") == log_id) & (F.col("version") == found.version)
+    events = spark.read.parquet(f"{path}/events").where(mine).drop("log_id", "version")
+    cases = spark.read.parquet(f"{path}/cases").where(mine).drop("log_id", "version", "case_index")
     return EventLog(events, cases, log_id, found.source, found.license, found.attribution, found.doi)
 
 

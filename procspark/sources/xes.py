@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.sax.saxutils import quoteattr
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import cents
 from ..operators.eventlog import EventLog
-from ..schema import DAY, SECOND
+from .places import numbered
 
 #: The kinds of scalar attributes, and the keys with a meaning of their own.
 KINDS = ("string", "date", "int", "float", "boolean", "id")
@@ -27,21 +31,24 @@ def _attributes(of: Column) -> Column:
         return F.transform(entries, lambda x: F.struct(x["_key"].alias("key"), F.coalesce(x["_value"], F.lit("")).alias("value")))
 
     every = F.filter(F.concat(*[typed(k) for k in KINDS]), lambda x: x["key"].isNotNull())
-    # Of repeated keys the last one counts.
-    return F.aggregate(every, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["key"]), F.map_from_arrays(F.array(x["key"]), F.array(x["value"]))))
+    keys = F.transform(every, lambda x: x["key"])
+    # Of repeated keys the last one counts; most traces and events have none, and then the entries are the map.
+    put = lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["key"]), F.map_from_arrays(F.array(x["key"]), F.array(x["value"])))
+    last = F.aggregate(every, F.create_map().cast("map<string,string>"), put)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(every)).otherwise(last)
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each trace: ``ordinal`` (its order in the files), ``attrs`` and ``events`` (an array of maps).
+    """One row for each trace: ``ordinal`` (its number among all traces, from 0), ``attrs`` and ``events`` (an array of maps).
 
     The text is split at each trace's end, so a large uncompressed file is read by many tasks.  What stands before a
     trace's start tag, such as global definitions, isn't data.  Prefixes of a namespace are dropped.
     """
-    pieces = spark.read.text(path, lineSep="</trace>")
-    pieces = pieces.withColumn("ordinal", F.monotonically_increasing_id())
+    pieces = spark.read.text(path, lineSep="</trace>").where(F.col("value").rlike(r"<([\w.-]+:)?trace\b"))
+    pieces = numbered(pieces)
     plain = F.regexp_replace("value", r"<(/?)[A-Za-z_][\w.-]*:(string|date|int|float|boolean|id|event|trace)\b", "<$1$2")
     cut = F.regexp_extract(plain, r"(?s)<trace\b[^>]*?(?<!/)>(.*)$", 1)
-    rows = pieces.where(F.col("value").rlike(r"<([\w.-]+:)?trace\b")).select("ordinal", F.concat(F.lit("<trace>"), cut, F.lit("</trace>")).alias("x"))
+    rows = pieces.select("ordinal", F.concat(F.lit("<trace>"), cut, F.lit("</trace>")).alias("x"))
     t = F.from_xml("x", _TRACE)
     rows = rows.select("ordinal", t.alias("t"))
     return rows.select("ordinal", _attributes(F.col("t")).alias("attrs"), F.transform("t.event", _attributes).alias("events"))
@@ -101,16 +108,36 @@ def trace_rows(log: EventLog, value: str | None = None) -> DataFrame:
     return cases.join(events, "case_id").select("case_id", F.concat(F.lit("<trace>"), name, "head", "events", F.lit("</trace>")).alias("value"))
 
 
-def write(log: EventLog, path: str, value: str | None = None) -> None:
-    """One XES file in the folder ``path``: traces are rendered in parallel, and put behind each other in one task.
-
-    Event attributes and precisions aren't written.
-    """
-    spark = log.events.sparkSession
+def _head(log: EventLog) -> list[str]:
     head = ['<?xml version="1.0" encoding="UTF-8"?>', '<log xes.version="1.0" xmlns="http://www.xes-standard.org/">']
     head += [f'<extension name="{n}" prefix="{p}" uri="http://www.xes-standard.org/{p}.xesext"/>' for n, p in (("Concept", "concept"), ("Time", "time"), ("Organizational", "org"))]
     head += [f'<classifier name="Activity" keys="{NAME}"/>']
-    head += [f'<string key="procspark:{k}" value="{getattr(log, k)}"/>' for k in ("source", "license", "attribution") if getattr(log, k)]
-    top = spark.createDataFrame([(0, "", i, line) for i, line in enumerate(head)] + [(2, "", 0, "</log>")], "part int, case_id string, i int, value string")
-    body = trace_rows(log, value).select(F.lit(1).alias("part"), "case_id", F.lit(0).alias("i"), "value")
-    top.unionByName(body).coalesce(1).sortWithinPartitions("part", "case_id", "i").select("value").write.mode("overwrite").text(path)
+    about = [(k, getattr(log, k)) for k in ("source", "license", "attribution") if getattr(log, k)]
+    return head + [f'<string key="procspark:{k}" value={quoteattr(v)}/>' for k, v in about]
+
+
+def _documents(head: list[str]):
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = lambda x: pa.RecordBatch.from_arrays([pa.array(x, pa.string())], names=["value"])
+        begun = False
+        for batch in batches:
+            if batch.num_rows and not begun:
+                begun = True
+                yield lines(head)
+            yield lines(batch.column(0).drop_null())
+        if begun:
+            yield lines(["</log>"])
+
+    return documents
+
+
+def write(log: EventLog, path: str, value: str | None = None, single: bool = False) -> None:
+    """XES documents in the folder ``path``, one for each range of cases; ``single`` puts all traces into one.
+
+    Traces are rendered in parallel before they are dealt to ranges.  Event attributes and precisions aren't written.
+    """
+    # A row without a trace, so that an empty log is a document too.
+    rows = trace_rows(log, value).unionByName(log.events.sparkSession.range(1).select(F.lit("").alias("case_id"), F.lit(None).cast("string").alias("value")))
+    rows = rows.repartition(1) if single else rows.repartitionByRange("case_id")
+    rows = rows.sortWithinPartitions("case_id").select("value")
+    rows.mapInArrow(_documents(_head(log)), "value string").write.mode("overwrite").text(path)

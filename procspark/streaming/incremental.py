@@ -1,4 +1,4 @@
-"""Event logs that grow: Structured Streaming from arriving files to canonical events and directly-follows counts.
+"""Event logs that grow: Structured Streaming from arriving files to canonical events and counts by windows of time.
 
 An extension beyond batch logs.  Each micro-batch appends raw events; within the watermark, a case's events are kept
 as state until the case has been quiet for a while, then the case is emitted whole, in canonical order.
@@ -45,10 +45,10 @@ def canonical_stream(raw: DataFrame, ranks: Mapping[str, int], quiet: str = "1 h
             )
             return
         for f in frames:
-            rows += [
-                (int(r.ts_s), int(r.sort_hint or 0), table.get(r.activity, 0), int(r.arrival or 0), r.activity, r.resource or "", int(r.value_cents or 0))
-                for r in f.itertuples()
-            ]
+            whole = [f[c].fillna(0).astype("int64").tolist() for c in ("ts_s", "sort_hint", "arrival", "value_cents")]
+            names, by = f["activity"].tolist(), f["resource"].fillna("").tolist()
+            rank = [table.get(a, 0) for a in names]
+            rows += zip(whole[0], whole[1], rank, whole[2], names, by, whole[3], strict=True)
         state.update((rows,))
         state.setTimeoutTimestamp(max(max(r[0] for r in rows) * 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
 

@@ -234,7 +234,7 @@ def test_xes_reads_what_it_should(spark, tmp_path):
 def test_csv_values_and_times(spark, tmp_path):
     rows = ["case_id,activity,timestamp,resource,value_cents,attributes", ' a , X ,2024-01-02T03:04:05Z, r ,12.9,"{""k"":""v""}"', "a,Y,2024-01-02,,bad,not json", "b,Z,03.02.2024 01:02:03,q,,"]
     (tmp_path / "e.csv").write_text("\n".join(rows) + "\n")
-    got = sorted(EventLog.build(csv.read_events(spark, str(tmp_path / "e.csv"))).events.select("case_id", "activity", "resource", "value_cents", "precision", "attrs").collect())
+    got = sorted(EventLog.build(csv.read_events(spark, str(tmp_path / "e.csv"), layouts=("dd.MM.yyyy HH:mm:ss",))).events.select("case_id", "activity", "resource", "value_cents", "precision", "attrs").collect())
     assert [(r.activity, r.resource, r.value_cents, r.precision, r.attrs) for r in got] == [
         ("X", " r ", 12, "second", {"k": "v"}), ("Y", "", 0, "day", {"raw": "not json"}), ("Z", "q", 0, "second", {}),
     ]
@@ -243,6 +243,110 @@ def test_csv_values_and_times(spark, tmp_path):
         csv.read_events(spark, str(tmp_path / "bad.csv")).collect()
 
 
+def test_xes_of_many_splits(spark, tmp_path):
+    """Unnamed traces are numbered through all splits and files, and the first cases are the first ones."""
+    folder = tmp_path / "x"
+    folder.mkdir()
+    for f in range(2):
+        traces = [f'<trace><event><string key="concept:name" value="A{f}_{i}"/><date key="time:timestamp" value="2020-01-01T00:00:00Z"/></event></trace>' for i in range(60)]
+        (folder / f"{f}.xes").write_text("<log>" + "".join(traces) + "</log>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        raw, cases = xes.read(spark, str(folder))
+        assert spark.read.text(str(folder), lineSep="</trace>").rdd.getNumPartitions() > 4
+        want = {f"case-{f * 60 + i + 1}": f"A{f}_{i}" for f in range(2) for i in range(60)}
+        assert {r.case_id: r.activity for r in raw.collect()} == want
+        assert {r.ordinal for r in cases.collect()} == set(range(120))
+        few, _ = xes.read(spark, str(folder), max_cases=7)
+        assert {r.case_id for r in few.collect()} == {f"case-{i + 1}" for i in range(7)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_xes_header_and_documents(spark, log, tmp_path):
+    import xml.etree.ElementTree as ET
+    from dataclasses import replace as with_
+
+    quoted = with_(log, source='a "b" & c <d>')
+    xes.write(quoted, str(tmp_path / "x"), value=xes.VALUE)
+    xes.write(quoted, str(tmp_path / "one"), value=xes.VALUE, single=True)
+    xes.write(EventLog.empty(spark), str(tmp_path / "none"))
+    for name, files in (("x", None), ("one", 1), ("none", 1)):
+        parts = sorted((tmp_path / name).glob("part-*"))
+        docs = [ET.fromstring(p.read_text()) for p in parts if p.stat().st_size]
+        assert docs and (files is None or len(docs) == files)
+        if name != "none":
+            assert {s.get("value") for d in docs for s in d.iter("{http://www.xes-standard.org/}string") if s.get("key") == "procspark:source"} == {'a "b" & c <d>'}
+            assert sum(len(d.findall("{http://www.xes-standard.org/}trace")) for d in docs) == len(CASES)
+
+
+def test_otlp_broken_line_is_an_error(spark, log, tmp_path):
+    otlp.write(log, str(tmp_path / "o"))
+    (tmp_path / "o" / "zz.txt").write_text('{"resourceSpans": [broken\n')
+    with pytest.raises(Exception, match="not a request line"):
+        otlp.read_spans(spark, str(tmp_path / "o")).collect()
+
+
+def test_save_leaves_old_log_when_it_fails(spark, log, tmp_path):
+    path = str(tmp_path / "st")
+    store.save(log, path)
+    broken = log.events.withColumn("activity", F.when(F.col("case_id") == "c5", F.raise_error("no").cast("string")).otherwise(F.col("activity")))
+    from dataclasses import replace as with_
+
+    with pytest.raises(Exception, match="no"):
+        store.save(with_(log, events=broken), path)
+    assert store.load(spark, path, log.log_id).events.count() == log.events.count()
+    store.save(filters.by_flow(log, "2-way"), path)
+    assert store.load(spark, path, log.log_id).events.select("case_id").distinct().count() == 1
+
+
+def test_ranks_have_no_window_over_all_variants(spark, log):
+    """Variants are ordered within a count and a range; only distinct counts are in one window."""
+    import re
+
+    for df in (variants.variant_table(log), variants.cases_covering(log, 0.5), variants.coverage_curve(log)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        whole = re.findall(r"windowspecdefinition\(([a-z_]+)#\d+L? (?:ASC|DESC)", plan)
+        assert set(whole) <= {"n"}, whole
+
+
+def test_streams(spark, tmp_path):
+    """Files that arrive: cases that have been quiet are emitted in canonical order; counts by window add up."""
+    from procspark.schema import RAW as COLUMNS
+    from procspark.operators.eventlog import raw_events
+    from procspark.streaming import incremental
+
+    raw = raw_events(raw_of(spark, CASES)).select([f.name for f in COLUMNS.fields])
+    later = raw.limit(1).withColumns({"case_id": F.lit("late"), "ts_s": F.lit(2_000_000_000).cast("bigint")})
+    for i, df in enumerate((raw, later, later.withColumn("ts_s", F.col("ts_s") + 10**6))):
+        df.select([f.name for f in COLUMNS.fields]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    arriving = lambda: incremental.read_arriving(spark, str(tmp_path / "in"), 1)
+    for name, df, mode in (("cases", incremental.canonical_stream(arriving(), RANKS), "append"), ("counts", incremental.windowed_activity(arriving(), "1 day"), "complete")):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    got = {(r.case_id, r.pos, r.activity, r.ts_s, r.tie_broken) for r in spark.table("cases").where("case_id <> 'late'").collect()}
+    want = {(r.case_id, r.pos, r.activity, r.ts_s, r.tie_broken) for r in canonical(raw, RANKS).collect()}
+    assert got == want
+    counts = {r.activity: r.n for r in spark.table("counts").groupBy("activity").agg(F.sum("n").alias("n")).collect()}
+    assert sum(counts.values()) == raw.count() + 2
+
+
+def test_typed_helpers(spark):
+    from procspark.functions import expr
+
+    kinds = spark.createDataFrame([("agent:x",), ("tool:y",), ("user_1",), (None,)], "r string").select(expr.agent_resource_kind(F.col("r")).alias("k"))
+    assert [r.k for r in kinds.collect()][:3] == ["agent", "tool", "human"]
+    df = spark.createDataFrame([("A", True, ""), ("A", True, "queued_for_approval"), ("A", False, "")], "a string, ok boolean, s string")
+    assert [r.x for r in df.select(spans.recorded_activity(F.col("a"), F.col("ok"), F.col("s")).alias("x")).collect()] == ["A", None, None]
+    df = spark.createDataFrame([("permission_denied",), ("paused",), (None,)], "e string").select(spans.permission_denied(F.col("e")).alias("x"))
+    assert [r.x for r in df.collect()] == [True, False, False]
+    assert csv.case_column(["x", "CaseID"]) == "CaseID"
+    with pytest.raises(KeyError):
+        csv.case_column(["x"])
+
+
 def test_jsonl_names_the_bad_line(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nnonsense\n')
     with pytest.raises(Exception, match="nonsense"):
