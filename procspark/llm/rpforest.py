@@ -25,40 +25,48 @@ SPILL = 0.02
 LEAF_ROWS = 64
 #: The splits of each dimension are set from so many vectors at most.
 SAMPLE_ROWS = 16_384
+#: A node whose split is set from the sample has two to the power of so many sampled vectors, about.
+LEAST_SAMPLED = 3
 #: A leaf with more vectors is compared in pairs of blocks of about so many.
 BLOCK_ROWS = 1_024
 SEED = 7
 
 
 class Tree:
-    """Random directions, one for each level, and a threshold for each node."""
+    """Random directions, one for each level, and a threshold for each node; below the levels that the sample can set, nodes share those of their ancestor."""
 
-    def __init__(self, directions: np.ndarray, thresholds: list[np.ndarray]):
-        self.directions, self.thresholds = directions, thresholds
+    def __init__(self, directions: np.ndarray, thresholds: list[np.ndarray], known: int):
+        self.directions, self.thresholds, self.known = directions, thresholds, known
 
     @classmethod
     def grow(cls, sample: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
         directions = rng.standard_normal((depth, sample.shape[1]))
         directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+        known = max(1, int(np.log2(max(2, len(sample)))) - LEAST_SAMPLED)
         node, thresholds = np.zeros(len(sample), np.int64), []
         for level in range(depth):
-            p, cut = sample @ directions[level], np.zeros(1 << level)
-            for k in range(1 << level):
-                inside = p[node == k]
+            p, cut = sample @ directions[level], np.zeros(1 << min(level, known))
+            order = np.argsort(node, kind="stable")
+            ends = np.searchsorted(node[order], np.arange(len(cut) + 1))
+            for k in range(len(cut)):
+                inside = p[order[ends[k] : ends[k + 1]]]
                 # A node without samples keeps the overall median.
                 cut[k] = np.median(inside) if len(inside) else np.median(p)
             thresholds.append(cut)
-            node = node * 2 + (p > cut[node])
-        return cls(directions, thresholds)
+            if level < known:
+                node = node * 2 + (p > cut[node])
+        return cls(directions, thresholds, known)
 
-    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and the leaves they belong to; a row may be in several."""
+    def leaves(self, x: np.ndarray, depth: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the leaves they belong to; a row may be in several, and goes down as many levels as its own depth."""
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-        for direction, cut in zip(self.directions, self.thresholds, strict=True):
-            off = (x @ direction)[row] - cut[node]
-            left, right = off <= SPILL, off > -SPILL
+        depth = np.full(len(x), len(self.thresholds)) if depth is None else depth
+        for level, (direction, cut) in enumerate(zip(self.directions, self.thresholds, strict=True)):
+            off = (x @ direction)[row] - cut[node >> max(0, level - self.known)]
+            deep = depth[row] > level
+            left, right = ~deep | (off <= SPILL), deep & (off > -SPILL)
+            node = np.concatenate([np.where(deep[left], node[left] * 2, node[left]), node[right] * 2 + 1])
             row = np.concatenate([row[left], row[right]])
-            node = np.concatenate([node[left] * 2, node[right] * 2 + 1])
         return row, node
 
 
@@ -68,11 +76,18 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(blob, kind).reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True) if len(x) else x
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _route(trees: list[Tree], kind: str):
     def route(batch: pa.RecordBatch) -> dict[str, object]:
-        x = _matrix(batch.column(2), kind)
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        found = [tree.leaves(unit) for tree in trees]
+        x, depth = unit(_matrix(batch.column(2), kind)), np.asarray(batch.column(4))
+        # Labels with few vectors are one leaf, of the first tree.
+        found = [tree.leaves(x, depth) for tree in trees]
+        found = [(r, n) if k == 0 else (r[depth[r] > 0], n[depth[r] > 0]) for k, (r, n) in enumerate(found)]
         rows = np.concatenate([r for r, _ in found])
         leaf = np.concatenate([node + (k << 40) for k, (_, node) in enumerate(found)])
         order = np.lexsort((leaf, rows))
@@ -131,7 +146,7 @@ def _compare(kind: str):
         col = lambda name: table.column(name).chunk(0)
         x, ids, block, copies = _matrix(col("v"), kind), np.asarray(col("least")), np.asarray(col("block")), np.asarray(col("copies"))
         leaf, i, j = (k.as_py() for k in keys[1:])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = unit(x)
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
         links = x[a] @ x[b].T >= LEAST_COSINE
         if i == j:
@@ -164,8 +179,9 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     a label are one in the forest, so a common vector costs one row; its copies are counted as links.
 
     Each dimension has trees of its own, set from ``SAMPLE_ROWS`` distinct vectors of it at most, drawn by hash; every
-    vector is routed.  Dimensions with few vectors have one leaf.  A leaf that the sample couldn't split far enough is
-    compared in pairs of blocks, all of them, so nothing is dropped.
+    vector is routed, as many levels down as its label has vectors for, so leaves keep their size as labels grow.
+    Labels with few vectors have one leaf.  A leaf that splits couldn't part, as of very many near copies, is compared
+    in pairs of blocks, all of them, so nothing is dropped.
     """
     scratch = Scratch(embeddings.sparkSession)
     rows = embeddings.select(
@@ -176,15 +192,15 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     # Single floats stay what they are on their way; all products are of doubles.
     number = "<f4" if "array<float>" in embeddings.schema["embedding"].dataType.simpleString() else "<f8"
     packed = map_rows(good.select("label", "e", "vec_id"), _pack(number), f"label {kind}, v binary, vec_id bigint")
-    # A distinct vector is known by a number of its own, also where all its ids are null.
+    # A distinct vector is known by a number of its own, also where all its ids are null; it is fixed once it is written.
     same = packed.groupBy("label", "v").agg(F.min("vec_id").alias("vec"), F.count("*").alias("copies"))
-    same = same.withColumn("least", F.xxhash64("label", "v"))
+    same = same.withColumn("least", F.monotonically_increasing_id())
     distinct = scratch.cut(same, "distinct")
     # Dimensions come from the whole table, so that none depends on what a sample holds.
     width = F.octet_length("v")
-    counted = distinct.groupBy(width.alias("width"), "label").agg(F.count("*").alias("n"))
-    counted = counted.groupBy("width").agg(F.max("n").alias("most"), F.sum("n").alias("total")).collect()
-    depths = {r.width: _depth(r.most, min(r.total, SAMPLE_ROWS)) for r in counted}
+    levels = F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / LEAF_ROWS))).cast("int")
+    counted = scratch.cut(distinct.groupBy(width.alias("width"), "label").agg(levels.alias("depth")), "depths")
+    depths = {r.width: r.depth for r in counted.groupBy("width").agg(F.max("depth").alias("depth")).collect()}
     routed = []
     if flat := sorted(w for w, depth in depths.items() if not depth):
         leaf = width.cast("bigint")
@@ -194,13 +210,13 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
         if not depth:
             continue
         part = distinct.where(width == w)
-        chosen = part.select("v", "least").orderBy(hash_order("least"), "least").limit(SAMPLE_ROWS).toArrow().column("v").to_pylist()
-        x = np.frombuffer(b"".join(chosen), number).reshape(len(chosen), -1).astype(np.float64)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        chosen = part.select("v").orderBy(hash_order("label", "v"), "label", "v").limit(SAMPLE_ROWS).toArrow().column("v").to_pylist()
+        x = unit(np.frombuffer(b"".join(chosen), number).reshape(len(chosen), -1).astype(np.float64))
         rng = np.random.default_rng(SEED)
         trees = [Tree.grow(x, depth, rng) for _ in range(TREES)]
         schema = f"leaf bigint, label {kind}, least bigint, v binary, copies bigint, leaves array<bigint>"
-        routed.append(map_rows(part.select("label", "least", "v", "copies"), _route(trees, number), schema, 1 << 20))
+        own = counted.where(F.col("width") == w).select("label", "depth")
+        routed.append(map_rows(part.join(own, "label").select("label", "least", "v", "copies", "depth"), _route(trees, number), schema, 1 << 20))
     links = None
     for part in routed:
         found = _links(part, number)
@@ -223,11 +239,6 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _depth(most: int, sampled: int) -> int:
-    """Levels of trees for ``most`` vectors of one label, as far as so many sampled vectors can set them."""
-    return max(0, min(int(np.ceil(np.log2(max(1, most) / LEAF_ROWS))), int(np.log2(max(1, sampled))) - 3))
-
-
 def _links(routed: DataFrame, number: str) -> DataFrame:
     """``a``, ``b`` and ``near`` for linked vectors of each leaf: ``b`` is reached from ``a``, ``near`` counts links."""
     sizes = routed.groupBy("label", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK_ROWS)
