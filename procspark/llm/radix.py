@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .cdc import cut_out
 from .common import Scratch, map_rows, texts
-from .repeats import document_rows, place, position_of, repeats, scatter, settle, sliding, streamed, tag_of
+from .repeats import document_rows, place, position_of, repeats, scatter, settle, sliding, tag_of
 
 #: Fixed value: bytes in a window.
 WINDOW = 50
@@ -130,12 +130,13 @@ def _third_pass(batch: pa.RecordBatch) -> dict[str, object]:
     owner, where = _positions(batch, found.starts)
     low, high = found.windows(where)
     n = high - low + 1
-    offsets = np.concatenate([[0], np.cumsum(n)])
-    start = np.repeat(low - offsets[:-1], n) + np.arange(offsets[-1])
-    hashes = rolling(found.data, WINDOW, 0xC2B2AE3D27D4EB4F)[start].view(np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes))
-    at = place(tags[owner], low - found.starts[owner])
-    return {"doc": pa.array(docs[owner]), "at": pa.array(at), "gram": pa.array(found.gram[where].view(np.int64)), "hashes": lists}
+    first = np.cumsum(n) - n
+    start = np.repeat(low - first, n) + np.arange(n.sum())
+    owner, gram = np.repeat(owner, n), np.repeat(found.gram[where].view(np.int64), n)
+    window = rolling(found.data, WINDOW, 0xC2B2AE3D27D4EB4F)[start].view(np.int64)
+    doc, at = docs[owner], place(tags[owner], start - found.starts[owner])
+    sure, _ = settle(window ^ gram, doc)
+    return {"doc": pa.array(doc), "at": pa.array(at), "window": pa.array(scatter(window, sure, at, doc)), "gram": pa.array(gram), "sure": pa.array(sure)}
 
 
 def _with_positions(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -166,9 +167,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # Blocks of first documents that share an anchor's digit with another block, yet have other bytes around it.
     firsts = blocks.where("not again").select("doc", (F.col("at") + F.col("lead")).alias("at"), "gram", F.lit(False).alias("sure"))
     mixed = scratch.cut(repeats(firsts, ("gram",), ("doc", "at"), "shared"), "mixed")
-    schema = "doc bigint, at bigint, gram bigint, hashes array<bigint>"
-    dealt = map_rows(_with_positions(rows, mixed), _third_pass, schema, _BLOCK).repartition("gram")
-    each = dealt.select("doc", "at", "gram", F.posexplode("hashes").alias("i", "window"))
-    each = each.select("doc", (F.col("at") + F.col("i")).alias("at"), "gram", "window", F.lit(False).alias("sure"))
-    single = scratch.cut(streamed(each, ("gram", "window"), ("doc", "at")).withColumn("size", F.lit(WINDOW)), "windows")
+    schema = "doc bigint, at bigint, window bigint, gram bigint, sure boolean"
+    each = map_rows(_with_positions(rows, mixed), _third_pass, schema, _BLOCK)
+    # Windows are dealt by their own digit, as many of them may share a common anchor.
+    single = scratch.cut(repeats(each, ("window", "gram"), ("doc", "at")).withColumn("size", F.lit(WINDOW)), "windows")
+    scratch.drop(mixed)
     return cut_out(rows, blocks.where("again").select("doc", "at", "size").unionByName(single), 1)

@@ -131,12 +131,7 @@ def repeats(rows: DataFrame, keys: tuple[str, ...], keep: tuple[str, ...], mode:
     ``rows`` has the keys, ``doc`` and ``sure``.  One shuffle by the first key and a sort that can spill; a group
     passes through its task as a stream, however large it is.
     """
-    return streamed(rows.repartition(keys[0]), keys, keep, mode)
-
-
-def streamed(rows: DataFrame, keys: tuple[str, ...], keep: tuple[str, ...], mode: str = "later") -> DataFrame:
-    """As ``repeats``, for rows that were dealt by the first key already."""
-    ordered = rows.sortWithinPartitions(*keys, "doc")
+    ordered = rows.repartition(keys[0]).sortWithinPartitions(*keys, "doc")
     schema = ordered.select(*keep).schema
     if mode == "mark":
         schema = T.StructType([*schema.fields, T.StructField("again", T.BooleanType())])
