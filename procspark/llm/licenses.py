@@ -38,19 +38,56 @@ NOTICES = {
     "public domain": "public-domain",
     "the unlicense": "unlicense",
     "proprietary and confidential": "proprietary",
+    "gnu gpl": "gpl",
+    "gplv2": "gpl-2.0",
+    "gplv3": "gpl-3.0",
+    "lgplv2 1": "lgpl-2.1",
+    "lgplv3": "lgpl-3.0",
+    "lesser general public license version 2 1": "lgpl-2.1",
+    "lesser general public license version 3": "lgpl-3.0",
+    "affero general public license version 3": "agpl-3.0",
+    "apache software license": "apache",
+    "2 clause bsd": "bsd-2-clause",
+    "3 clause bsd": "bsd-3-clause",
+    "mozilla public license version 2 0": "mpl-2.0",
+    "eclipse public license version 2 0": "epl-2.0",
+    "boost software license": "bsl-1.0",
+    "zlib license": "zlib",
+    "artistic license": "artistic",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "gnu free documentation license": "gfdl",
+    "open database license": "odbl",
+    "creative commons zero": "cc0",
+    "attribution noncommercial": "cc-by-nc",
+    "attribution noderivatives": "cc-by-nd",
+    "attribution sharealike": "cc-by-sa",
+    "no rights reserved": "public-domain",
+    "do not distribute": "proprietary",
+    "trade secret": "proprietary",
 }
+#: Licence identifiers, without a suffix for versions to come; those of Creative Commons follow a rule.
+IDENTIFIERS = (
+    "0bsd afl-3.0 agpl-1.0 agpl-3.0 apache-1.0 apache-1.1 apache-2.0 artistic-1.0 artistic-2.0 bsd-2-clause bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 "
+    "cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 ecl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 gfdl-1.1 gfdl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0 gpl-3.0 isc lgpl-2.0 lgpl-2.1 lgpl-3.0 "
+    "mit mit-0 mpl-1.0 mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception ms-pl ms-rl ncsa odbl-1.0 ofl-1.1 openssl osl-3.0 postgresql psf-2.0 python-2.0 ruby sleepycat unlicense "
+    "upl-1.0 vim w3c wtfpl x11 zlib zpl-2.1"
+).split()
+_CREATIVE = re.compile(r"cc-by(-nc)?(-sa|-nd)?-[1-4]\.[05]")
+_LATER = re.compile(r"(-only|-or-later|\+)$")
 #: How far a licence family restricts use of a text, 0 to 1; the longest prefix of a label counts.
 RESTRICTS = {
     "public-domain": 0.05, "unlicense": 0.05, "cc0": 0.05, "0bsd": 0.05,
     "mit": 0.1, "bsd": 0.1, "isc": 0.1, "zlib": 0.1, "apache": 0.15, "cc-by": 0.2,
-    "mpl": 0.4, "epl": 0.4, "lgpl": 0.5, "cc-by-sa": 0.6, "gpl": 0.7, "agpl": 0.8,
+    "bsl": 0.1, "artistic": 0.15, "mpl": 0.4, "epl": 0.4, "cddl": 0.4, "lgpl": 0.5, "eupl": 0.6, "gfdl": 0.6, "odbl": 0.6, "cc-by-sa": 0.6, "gpl": 0.7, "agpl": 0.8,
     "cc-by-nd": 0.8, "cc-by-nc": 0.85, "proprietary": 0.95, "reserved": 1.0,
 }
 UNKNOWN = 0.5
 #: An exception granted by WITH takes this part of the restriction away.
 EXCEPTION = 0.2
-_TAG = b" spdx license identifier "
-_TAGGED = re.compile(rb"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.I)
+#: In normalised words, what stands before a licence expression.
+TAGS = ("spdx license identifier", "license expression", "license", "licence")
+_TAGGED = re.compile(rb"(?:spdx-license-identifier|^[ \t#*/-]*(?:license-expression|licen[sc]e))[ \t]*:[ \t]*([^\r\n]*)", re.I | re.M)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -101,6 +138,27 @@ def parse(expression: str) -> list[str] | None:
     return out + ops[::-1]
 
 
+def known(postfix: list[str]) -> bool:
+    """Whether all operands are licences that exist, or a text's own references, and WITH has exceptions on its right."""
+    stack: list[str] = []
+    for token in postfix:
+        if token not in _BINDS:
+            stack.append(token)
+            continue
+        right, left = stack.pop(), stack.pop()
+        if token == "with" and "exception" not in right:
+            return False
+        if not all(x == "" or x == right and token == "with" or _exists(x) for x in (left, right)):
+            return False
+        stack.append("")
+    return stack == [""] or _exists(stack[0])
+
+
+def _exists(name: str) -> bool:
+    plain = _LATER.sub("", name)
+    return plain in IDENTIFIERS or bool(_CREATIVE.fullmatch(plain)) or name.startswith("licenseref-")
+
+
 def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
     """The restriction of an expression and the licences in it: OR takes the freer side, AND the stricter one."""
     stack: list[tuple[float, set[str]]] = []
@@ -125,7 +183,8 @@ def _automaton() -> ahocorasick.Automaton:
         machine = ahocorasick.Automaton()
         for phrase in {*BASE, *NOTICES}:
             machine.add_word(f" {phrase} ", phrase)
-        machine.add_word(_TAG.decode(), "")
+        for tag in TAGS:
+            machine.add_word(f" {tag} ", "")
         machine.make_automaton()
         _machine = machine
     return _machine
@@ -150,7 +209,7 @@ def _scan(batch: pa.RecordBatch) -> dict[str, object]:
         expressions = []
         if tagged:
             for m in _TAGGED.finditer(text):
-                if postfix := parse(m[1].decode("utf-8", "replace")):
+                if (postfix := parse(m[1].decode("utf-8", "replace"))) and known(postfix):
                     score, names = evaluate(postfix)
                     scores.append(score)
                     labels |= names
@@ -177,7 +236,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     restriction found (0: no evidence).
 
     Null and empty texts have no words, no labels and score 0.  Repeated rows are judged one by one, null ids are
-    kept.  A tag whose expression isn't well formed gives no label.  Other columns of ``docs`` aren't read.
+    kept.  A tag whose expression isn't well formed, or that names a licence that doesn't exist, gives no label.  Other columns of ``docs`` aren't read.
     """
     schema = (
         "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string,"
