@@ -70,14 +70,13 @@ LABELLERS: tuple[tuple[str, Callable[[float], int]], ...] = (
 )
 
 
-def votes(text: bytes) -> str:
+def votes(measures: dict[str, float]) -> str:
     """One character for each labeller: ``+`` good, ``-`` bad, ``.`` nothing."""
-    s = shape(text)
-    return "".join(".+-"[rule(s[name])] for name, rule in LABELLERS)
+    return "".join(".+-"[rule(measures[name])] for name, rule in LABELLERS)
 
 
 def _vote(batch: pa.RecordBatch) -> dict[str, object]:
-    return {"votes": pa.array([votes(t) for t in texts(batch.column(0))], pa.string())}
+    return {"votes": pa.array([votes(shape(t)) for t in texts(batch.column(0))], pa.string())}
 
 
 def estimate(patterns: dict[str, int], steps: int = EM_STEPS) -> tuple[dict[str, float], np.ndarray, float]:
@@ -121,19 +120,19 @@ def bucket(word: bytes) -> int:
     return zlib.crc32(word) & (BUCKETS - 1)
 
 
-def features(text: bytes, memo: Memo) -> list[int]:
+def features(text: bytes, measures: dict[str, float], memo: Memo) -> list[int]:
     """Buckets of distinct words and of marks for each measure's rounded value."""
-    s = shape(text)
-    marks = [f"={name}{min(12, int(4 * np.log1p(8 * value)))}".encode() for name, value in s.items()]
+    marks = [f"={name}{min(12, int(4 * np.log1p(8 * value)))}".encode() for name, value in measures.items()]
     return sorted({memo[w] for w in set(text.translate(ALNUM).split())} | {bucket(m) for m in marks})
 
 
 def _train_rows(batch: pa.RecordBatch) -> dict[str, object]:
     memo = Memo(bucket)
     blobs = texts(batch.column(0))
+    measured = [shape(t) for t in blobs]
     return {
-        "votes": pa.array([votes(t) for t in blobs], pa.string()),
-        "x": pa.array([features(t, memo) for t in blobs], pa.list_(pa.int32())),
+        "votes": pa.array([votes(m) for m in measured], pa.string()),
+        "x": pa.array([features(t, m, memo) for t, m in zip(blobs, measured, strict=True)], pa.list_(pa.int32())),
         "h": batch.column(1),
     }
 
@@ -163,8 +162,8 @@ def _scorer(posterior: dict[str, float], w: np.ndarray, b: float):
         memo = memos[0] if memos else memos.append(Memo(bucket)) or memos[0]
         seen, weak, out = [], [], []
         for text in texts(batch.column(1)):
-            v = votes(text)
-            x = features(text, memo)
+            measures = shape(text)
+            v, x = votes(measures), features(text, measures, memo)
             z = float(w[x].sum()) / max(1, len(x)) ** 0.5 + b
             seen.append(v)
             weak.append(posterior.get(v, 0.5))
