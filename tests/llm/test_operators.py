@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from procspark.llm import cdc, decontam, licenses, mixing, quality, queries, radix, rpforest, simhash, tokens, toxicity
 from procspark.llm.common import read
 
@@ -155,6 +156,21 @@ def test_licence_evaluation():
     assert licenses.restricts("lgpl-2.1") == licenses.RESTRICTS["lgpl"] and licenses.restricts("what") == licenses.UNKNOWN
 
 
+def test_licence_labels(spark):
+    """Every notice gives its label wherever it stands; tags give the licences that exist, and no other word."""
+    texts = {i: f"Some words, {p.upper()}; more words." for i, p in enumerate(licenses.NOTICES)}
+    tags = {
+        "# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": "gpl-2.0-or-later", "License: MIT": "mit", "  * licence: CC-BY-SA-4.0 */": "cc-by,cc-by-sa,cc-by-sa-4.0",
+        "License-Expression: (MIT OR Apache-2.0) AND LicenseRef-own": "apache-2.0,licenseref-own,mit", "SPDX-License-Identifier: please": "", "License: see below": "",
+        "SPDX-License-Identifier: GPL-2.0 WITH care": "", "a license: MIT": "", "License: MIT OR nothing-at-all": "",
+    }
+    texts |= {100 + i: f"first line\n{t}\nlast line" for i, t in enumerate(tags)}
+    out = rows(licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    assert all(label in out[i]["labels"].split(",") for i, label in enumerate(licenses.NOTICES.values()))
+    assert [out[100 + i]["labels"] for i in range(len(tags))] == list(tags.values())
+    assert len(licenses.NOTICES) > 45 and out[104]["score"] == 0 < out[100]["score"] < licenses.RESTRICTS["gpl"]
+
+
 def slow_fingerprint(text):
     words = [w.translate(A2Z) for w in TOKEN.findall(text)]
     if not words:
@@ -189,16 +205,15 @@ def test_golay_keys_meet_at_every_three_bits():
     assert len(two) / 3000 < 50
 
 
-def test_op4(spark, data, docs):
-    out = rows(queries.op4_decontamination(spark, data))
-    items = {r.item_id: WORD.findall((r.text or "").translate(A2Z)) for r in read(spark, data, "benchmark").collect()}
+def slow_hits(docs, items):
+    """Words, hit words and hit items of each text, by looking up every window."""
     by = defaultdict(set)
-    for i, w in items.items():
+    for i, text in items:
+        w = WORD.findall((text or "").translate(A2Z))
         for k in range(max(1, len(w) - 12)):
             if w:
                 by[tuple(w[k : k + 13])].add(i)
-    widths = {len(k) for k in by}
-    hits = 0
+    widths, out = {len(k) for k in by}, {}
     for d, text in docs.items():
         w = WORD.findall(text.translate(A2Z))
         hit, who = set(), set()
@@ -207,16 +222,69 @@ def test_op4(spark, data, docs):
                 if owners := by.get(tuple(w[k : k + n])):
                     hit |= set(range(k, k + n))
                     who |= owners
-        ids = ",".join(sorted(map(str, who)))
+        out[d] = (len(w), len(hit), sorted(map(str, who)))
+    return out
+
+
+def slow_targets(by):
+    """Words that each source is to give, by sharing the excess again and again."""
+    order = sorted(by, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    total, full = 1.5 * sum(by.values()), set()
+    while True:
+        left = total - sum(2 * by[s] for s in full)
+        target = {s: 2 * by[s] if s in full else left * weight[s] / sum(weight[x] for x in by if x not in full) for s in by}
+        over = {s for s in by if target[s] > 2 * by[s] + 1e-9}
+        if not over:
+            return target
+        full |= over
+
+
+def test_op4(spark, data, docs):
+    out = rows(queries.op4_decontamination(spark, data))
+    items = [(r.item_id, r.text) for r in read(spark, data, "benchmark").collect()]
+    hits = 0
+    for d, (n, hit, who) in slow_hits(docs, items).items():
         want = {
-            "doc_id": d, "n_words": len(w), "n_hit": len(hit), "n_items": len(who),
-            "items_sha256": hashlib.sha256(ids.encode()).hexdigest(), "contaminated": bool(hit) and 20 * len(hit) >= len(w),
+            "doc_id": d, "n_words": n, "n_hit": hit, "n_items": len(who),
+            "items_sha256": hashlib.sha256(",".join(who).encode()).hexdigest(), "contaminated": bool(hit) and 20 * hit >= n,
         }
         hits += bool(hit)
         assert out[d] == want
     assert hits
 
 
+def test_pipeline(spark, data, docs):
+    """All five stages against brute force, but for the classifier's own judgement."""
+    table = read(spark, data, "documents")
+    source = {r.doc_id: r.source for r in table.collect()}
+    toxic = rows(toxicity.classify(table, read(spark, data, "labels")))
+    left = {d: t for d, t in docs.items() if not toxic[d]["predicted"]}
+    fps = {d: slow_fingerprint(t) for d, t in left.items()}
+    near = classes(fps, [(a, b) for a, b in combinations(sorted(fps), 2) if (fps[a] ^ fps[b]).bit_count() <= 3])
+    left = {d: t for d, t in left.items() if near[d] == d}
+    found = slow_hits(left, [(r.item_id, r.text) for r in read(spark, data, "benchmark").collect()])
+    left = {d: t for d, t in left.items() if not (found[d][1] and 20 * found[d][1] >= found[d][0])}
+    assert 0 < len(left) < len(docs)
+
+    got = corpus_pipeline.run(spark, data).collect()
+    assert sorted(r.slot for r in got) == list(range(len(got))) and {r.doc_id for r in got} <= set(left)
+    t = tokens.Tokenizer(open(tokens.RANKS, "rb").read())
+    seen = defaultdict(list)
+    for r in got:
+        seen[r.doc_id].append((r.seq_no, r.n_tokens))
+    size, by, taken = {d: len(TOKEN.findall(x)) for d, x in left.items()}, defaultdict(int), defaultdict(int)
+    for d, text in left.items():
+        by[source[d]] += size[d]
+        n = len(t.encoding.encode_ordinary(text)) + 1
+        once = [(k, min(256, n - 256 * k)) for k in range(-(-n // 256))]
+        copies = len(seen[d]) / len(once)
+        assert copies in (0, 1, 2) and sorted(seen[d]) == sorted(once * int(copies))
+        taken[source[d]] += int(copies) * size[d]
+    target = slow_targets(by)
+    assert all(abs(taken[s] - target[s]) <= max(size[d] for d in left if source[d] == s) for s in by)
+
+
 def test_op4_offsets_and_shards(spark, monkeypatch):
     q = "What, in the world, is THE capital of a country nobody has ever heard of?"
     d = spark.createDataFrame([(1, f"Été — {q.lower()} Yes."), (2, "none"), (3, None)], "doc_id long, text string")
@@ -258,16 +326,7 @@ def test_op5(spark, data, docs):
     by = defaultdict(int)
     for d, s in source.items():
         by[s] += size[d]
-    order = sorted(by, key=lambda s: (s is None, s))
-    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
-    total, full = 1.5 * sum(by.values()), set()
-    while True:
-        left = total - sum(2 * by[s] for s in full)
-        target = {s: 2 * by[s] if s in full else left * weight[s] / sum(weight[x] for x in by if x not in full) for s in by}
-        over = {s for s in by if target[s] > 2 * by[s] + 1e-9}
-        if not over:
-            break
-        full |= over
+    target = slow_targets(by)
     taken = defaultdict(int)
     for d, r in out.items():
         assert r["size"] == size[d] and r["source_size"] == by[source[d]] and r["target"] == pytest.approx(target[source[d]])
@@ -542,6 +601,32 @@ def test_rpforest_rare_dimensions(spark, monkeypatch):
     assert {v: (r["n_links"], r["component_id"]) for v, r in out.items()} == {i: (1, i - i % 2) for i in range(len(vectors))}
 
 
+def test_rpforest_deeper_than_the_sample(spark, monkeypatch):
+    """Splits go on below what the sample can set, a small label beside a large one has one leaf, and recall holds."""
+    monkeypatch.setattr(rpforest, "SAMPLE_ROWS", 512)
+    monkeypatch.setattr(rpforest, "LEAF_ROWS", 8)
+    rng = np.random.default_rng(21)
+    one = rng.standard_normal((3000, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    off = rng.standard_normal(one.shape)
+    off -= (off * one).sum(axis=1, keepdims=True) * one
+    cosine = rng.uniform(0.982, 0.999, 3000)[:, None]
+    other = one * cosine + off / np.linalg.norm(off, axis=1, keepdims=True) * np.sqrt(1 - cosine**2)
+    rows_ = [(2 * i + k, v.tolist(), 1 if i < 2997 else 2) for i in range(3000) for k, v in enumerate((one[i], other[i]))]
+    out = rows(rpforest.near_vectors(spark.createDataFrame(rows_, "vec_id long, embedding array<double>, label int")), "vec_id")
+    found = np.array([out[2 * i]["n_links"] == 1 and out[2 * i + 1]["component_id"] == 2 * i for i in range(3000)])
+    assert found.mean() >= 0.95 and found[2997:].all() and all(r["n_links"] <= 1 for r in out.values())
+    tree = rpforest.Tree.grow(one[:512], 10, rng)
+    assert tree.known == 6 and np.bincount(tree.leaves(one)[1]).max() < 100
+
+
+def test_rpforest_huge_and_tiny_numbers(spark):
+    vectors = [[1e200, 1e200], [2e200, 2e200], [1e-200, 1e-200], [3.0, 3.0], [1e300, -1e300], [-1.0, 1.0]]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    out = rows(rpforest.near_vectors(df), "vec_id")
+    assert [(out[i]["n_links"], out[i]["component_id"]) for i in range(6)] == [(3, 0)] * 4 + [(0, 4), (0, 5)]
+
+
 def test_rpforest_recall_at_full_depth():
     """Pairs with a cosine of 0.98 to 0.999, planted in clusters, share a leaf of the trees for 131,072 vectors of a label."""
     rng = np.random.default_rng(12)
@@ -551,8 +636,8 @@ def test_rpforest_recall_at_full_depth():
     off = rng.standard_normal(one.shape)
     off = unit(off - (off * one).sum(axis=1, keepdims=True) * one)
     other = one * cosine + off * np.sqrt(1 - cosine**2)
-    sample, depth = base[rng.choice(len(base), rpforest.SAMPLE_ROWS, replace=False)], rpforest._depth(131_072, rpforest.SAMPLE_ROWS)
-    assert depth == 11 and ((one * other).sum(axis=1) >= rpforest.LEAST_COSINE - 1e-9).all()
+    sample, depth = base[rng.choice(len(base), rpforest.SAMPLE_ROWS, replace=False)], 11
+    assert ((one * other).sum(axis=1) >= rpforest.LEAST_COSINE - 1e-9).all()
     rng, met = np.random.default_rng(rpforest.SEED), np.zeros(3000, bool)
     for tree in [rpforest.Tree.grow(sample, depth, rng) for _ in range(rpforest.TREES)]:
         (a, la), (b, lb) = tree.leaves(one), tree.leaves(other)
