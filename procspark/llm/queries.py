@@ -90,4 +90,17 @@ k AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label
 r AS (SELECT vec_id AS node, vec_id AS root FROM e UNION SELECT k.b, r.root FROM r JOIN k ON k.a = r.node)
 SELECT e.vec_id, coalesce(g.n, 0) AS n_links, m.root AS component_id, e.vec_id = m.root AS kept
 FROM e JOIN (SELECT node, min(root) AS root FROM r GROUP BY 1) m ON m.node = e.vec_id LEFT JOIN (SELECT a, count(*) AS n FROM k GROUP BY 1) g ON g.a = e.vec_id""",
+    "op10_suffix_dedup": """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, doc_id, h, len(h) // 2 AS n FROM d),
+c AS (SELECT r, doc_id, n, j, substr(h, 500 * j + 1, 598) AS h FROM (SELECT *, unnest(range(0, n // 250 + 1)) AS j FROM p WHERE n >= 50)),
+w AS (SELECT r, doc_id, 250 * j + i AS k, substr(h, 2 * i + 1, 100) AS x FROM (SELECT *, unnest(range(0, least(250, n - 49 - 250 * j))) AS i FROM c)),
+f AS (SELECT x, min(doc_id) AS first FROM w GROUP BY 1),
+z AS (SELECT r, k FROM w JOIN f USING (x) WHERE doc_id > first OR (doc_id IS NULL AND first IS NOT NULL)),
+s AS (SELECT r, k, CASE WHEN k <= lag(k) OVER (PARTITION BY r ORDER BY k) + 50 THEN 0 ELSE 1 END AS new FROM z),
+g AS (SELECT r, k, sum(new) OVER (PARTITION BY r ORDER BY k ROWS UNBOUNDED PRECEDING) AS g FROM s),
+t AS (SELECT r, g, min(k) AS a, max(k) + 50 AS b FROM g GROUP BY 1, 2),
+e AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM t),
+q AS (SELECT e.r, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept, max(b) AS upto, sum(b - a) AS gone, count(*) AS spans FROM e JOIN p USING (r) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(upto, 0) + 1))) AS kept_sha256 FROM p LEFT JOIN q USING (r)""",
 }

@@ -9,6 +9,7 @@ from collections import defaultdict
 from itertools import combinations
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -567,6 +568,13 @@ def test_op10(spark, data, docs):
     assert {d: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for d, r in got.items()} == want
 
 
+def test_op10_sql(data, docs):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    got = {r[0]: r[1:] for r in con.execute(queries.ORACLES["op10_suffix_dedup"]).fetchall()}
+    assert got == slow_windows({d: t.encode() for d, t in docs.items()})
+
+
 def test_op10_periodic_and_shifted(spark):
     rng = np.random.default_rng(5)
     base = bytes(rng.integers(97, 100, 400, dtype=np.uint8)).decode()
