@@ -100,7 +100,9 @@ def _solve(classes: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with a struct ``__mix``: ``size``, ``source_size``, ``target``, ``rate`` and ``copies`` (0, 1 or 2).
+    """``docs`` with a struct behind its columns: ``size``, ``source_size``, ``target``, ``rate`` and ``copies`` (0, 1 or 2).
+
+    The struct's name is ``__mix``, with more underscores where a column has it already.
 
     Copies are the rate's whole part and perhaps one more: within a source documents stand in a repeatable order of
     u / fraction, u a hash of the row, and the first ones get one more until the source's words reach its target.
@@ -151,12 +153,15 @@ def mix(docs: DataFrame) -> DataFrame:
     whole = F.floor("rate")
     more = F.coalesce(F.col("__u") / F.when(F.col("rate") > whole, F.col("rate") - whole) <= F.col("cut"), F.lit(False))
     out = out.withColumn("copies", (whole + more.cast("int")).cast("int"))
-    return out.select("__row.*", F.struct("size", "source_size", "target", "rate", "copies").alias("__mix"))
+    name = "__mix"
+    while name in docs.columns:
+        name += "_"
+    return out.select("__row.*", F.struct("size", "source_size", "target", "rate", "copies").alias(name))
 
 
 def digest(mixed: DataFrame) -> DataFrame:
     """The columns of the registered query."""
-    own = F.col("__mix")
+    own = F.col(mixed.columns[-1])
     return mixed.select(
         "doc_id", own["size"].alias("size"), own["source_size"].alias("source_size"), own["target"].alias("target"),
         (own["size"] * own["copies"]).cast("bigint").alias("taken"),
@@ -164,7 +169,10 @@ def digest(mixed: DataFrame) -> DataFrame:
 
 
 def replicate(mixed: DataFrame) -> DataFrame:
-    """Each document as often as it has copies, without the column ``__mix``."""
-    copies = F.col("__mix.copies")
-    columns = [F.col(f"`{c}`") for c in mixed.columns if c != "__mix"]
-    return mixed.where(copies > 0).select(*columns, F.explode(F.sequence(F.lit(1), copies)).alias("__copy")).drop("__copy")
+    """Each document as often as it has copies, with the columns it had before it was mixed.
+
+    Null and empty texts and rows without an id are repeated as any others; an empty table stays empty.
+    """
+    names = {f"c{i}": c for i, c in enumerate(mixed.columns[:-1])}
+    plain = mixed.toDF(*names, "mix").where("mix.copies > 0")
+    return plain.select(*names, F.explode(F.sequence(F.lit(1), F.col("mix.copies"))).alias("copy")).drop("copy").toDF(*names.values())

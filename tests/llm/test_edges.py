@@ -93,6 +93,9 @@ def test_mixing(spark, docs, none):
     repeated = mixing.replicate(mixing.mix(docs))
     assert repeated.columns == docs.columns
     assert repeated.count() == mixing.mix(docs).agg(F.sum("__mix.copies")).first()[0]
+    named = docs.withColumns({"__mix": F.lit(1), "__copy": F.lit(2), "copy": F.lit(3)})
+    clash = mixing.replicate(mixing.mix(named))
+    assert clash.columns == named.columns and clash.count() == repeated.count()
     blank = docs.where("text is null")
     assert {r.taken for r in mixing.digest(mixing.mix(blank)).collect()} == {0}
 
