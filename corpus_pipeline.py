@@ -2,6 +2,10 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again, and calls one operator.  All stages but
 the last return the columns of ``documents``; the last writes token shards and returns a row for each sequence.
+
+Null and empty texts, null ids and repeated rows are kept by the classifier's score of a text without words, are one class
+of near-duplicates where they have no words, are never contaminated, count no words in the mix, and give a sequence with
+the end id alone.  Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ STAGES = [
     ("token_shards", write_shards),
 ]
 
-#: Neither the classifier nor XXH64 or the tokenizer can be written in SQL; tests/llm compares the operators with brute force and runs the stages.
+#: Neither the classifier nor XXH64 or the tokenizer can be written in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
