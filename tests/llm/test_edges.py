@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from procspark.llm import cdc, decontam, licenses, mixing, quality, radix, rpforest, simhash, tokens, toxicity
+from procspark.llm import cdc, decontam, divergence, licenses, lines, mixing, quality, radix, rpforest, simhash, spelling, tokens, toxicity
 from procspark.llm.common import scratch_dir
 
 LONG = " ".join(f"word{i % 997}" for i in range(60_000))
@@ -155,3 +155,29 @@ def test_stages(spark, docs, none, labels, benchmark, tmp_path):
             assert now.columns == docs.columns
         out = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
         assert (out.count() > 0) == (table is docs)
+
+
+def test_lines(docs, none):
+    clash = docs.withColumns({c: F.lit(1) for c in ("__lines", "doc", "t", "pos", "line", "k", "g", "row", "own_t", "c1", "bits", "n_dropped")})
+    out = lines.dedup_lines(clash)
+    assert out.columns == [*clash.columns, "__lines_"] and lines.dedup_lines(none).count() == 0
+    got = lines.digest(out).collect()
+    assert len(got) == N and {(r.n_lines, r.n_dropped) for r in got if r.doc_id in (5, 6)} == {(1, 0)}
+    assert not any(r.n_dropped for r in got)  # two documents with ids hold a line at most
+    more = docs.where(F.col("text") == PASSAGE).unionByName(docs.where(F.col("text") == LONG)).unionByName(docs.where("doc_id = 7")).withColumn("doc_id", F.monotonically_increasing_id())
+    assert sorted(r.n_dropped for r in lines.digest(lines.dedup_lines(more)).collect()) == [0, 0, 0, 1, 1]
+
+
+def test_spelling(docs, none):
+    clash = docs.withColumns({c: F.lit(1) for c in ("word", "n", "id", "doc", "form", "root")})
+    got = {r.word: r for r in spelling.spelling_variants(clash).collect()}
+    assert spelling.spelling_variants(none).count() == 0 and all(r.n >= 5 and len(r.word) >= 6 for r in got.values())
+    assert got["common"].n >= 60 * 4 and spelling.spelling_variants(docs.where("text is null")).count() == 0
+
+
+def test_divergence(docs, none):
+    clash = docs.withColumns({c: F.lit(1) for c in ("term", "n", "d", "part", "item", "value", "rank", "p", "v")})
+    got = divergence.audit(clash).collect()
+    assert divergence.audit(none).count() == 0 and {r.part for r in got} >= {"pair"}
+    groups = {(r.lang or "", r.source or "") for r in docs.select("lang", "source").collect()}
+    assert {(r.lang, r.source) for r in got if r.part == "pair"} == {g for g in groups if any(h != g and h[0] == g[0] for h in groups)}

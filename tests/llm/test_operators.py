@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from procspark.llm import cdc, decontam, licenses, mixing, quality, queries, radix, rpforest, simhash, tokens, toxicity
+from procspark.llm import cdc, decontam, divergence, licenses, lines, mixing, quality, queries, radix, rpforest, simhash, spelling, tokens, toxicity
 from procspark.llm.common import read
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -651,3 +651,196 @@ def test_rpforest_recall_at_full_depth():
         (a, la), (b, lb) = tree.leaves(one), tree.leaves(other)
         met[np.intersect1d(a << 20 | la, b << 20 | lb) >> 20] = True
     assert met.mean() >= 0.99
+
+
+RUN = re.compile("[A-Za-z\u00C0-\u00FF]+")
+
+
+def distance_one(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def variants_by_force(rows_):
+    """All pairs of words, without keys."""
+    counts = defaultdict(int)
+    for d, t in rows_:
+        for run in RUN.findall(t or ""):
+            w = run.translate(A2Z)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % 199 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            if len(w) >= 6:
+                counts[w] += 1
+    counts = {w: n for w, n in counts.items() if n >= 5}
+    near = {w: [] for w in counts}
+    for a, b in combinations(sorted(counts), 2):
+        if distance_one(a, b):
+            near[a].append(b)
+            near[b].append(a)
+    form = {}
+    for w, n in counts.items():
+        best = min(near[w], key=lambda x: (-counts[x], x), default=None)
+        form[w] = best if best is not None and counts[best] >= 5 * n else None
+    out = {}
+    for w, n in counts.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out[w] = {"word": w, "form": form[w], "root": root, "n": n, "n_near": len(near[w]), "form_n": counts.get(form[w])}
+    return out
+
+
+def test_op12(spark, data, docs):
+    want = variants_by_force(docs.items())
+    got = rows(queries.op12_spelling_variants(spark, data), "word")
+    assert got == want and any(r["form"] for r in want.values())
+
+
+def test_op12_small(spark):
+    rng = np.random.default_rng(3)
+    base = ["aaabbb", "récolte", "Straße×÷", "colouring", "abcdefgh", "mississippi"]
+    rows_ = []
+    for d in range(400):
+        words_ = []
+        for w in rng.choice(base, 60, p=[0.5, 0.2, 0.1, 0.1, 0.05, 0.05]):
+            i, kind = int(rng.integers(0, len(w))), int(rng.integers(0, 40))
+            words_.append(w[:i] + w[i + 1 :] if kind == 0 else w[:i] + "ab"[d % 2] + w[i:] if kind == 1 else w[:i] + "bß"[d % 2] + w[i + 1 :] if kind == 2 else w)
+        rows_.append((None if d % 50 == 0 else d, "日本".join(words_) if d % 2 else " ".join(words_)))
+    # A chain of forms: each word five times as often as the one before it.
+    for k, n in enumerate((7, 45, 260, 1500)):
+        rows_ += [(10_000 * (k + 1) + j, "chain" + "x" * (k + 1)) for j in range(n)]
+    rows_ += [(2000 + k, "Z" * 5000 + "q" * 5000) for k in range(6)] + [(3000, "Z" * 5000 + "q" * 4999 + " ") for k in range(6)]
+    want = variants_by_force(rows_)
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(5)
+    assert rows(spelling.spelling_variants(df), "word") == want
+    assert want["chainx"]["root"] == "chainxxxx" and max(map(len, want)) == 10_000
+
+
+def test_delete_keys_meet():
+    """Words share a key at one place exactly if one letter is replaced there, or a word is another's deletion."""
+    words_ = ["a", "ab", "ba", "aab", "abb", "aaa", "aaaa", "", "xaab", "ñab"]
+    keys, at, first, owner = spelling.delete_keys(words_)
+    text = {}
+    for k, p, w in zip(keys, at, (words_[o] for o in owner), strict=True):
+        assert text.setdefault(k, w if p < 0 else w[:p] + w[p + 1 :]) == (w if p < 0 else w[:p] + w[p + 1 :])
+    assert len(text) == len(set(text.values()))
+    assert sorted(p for p, f, o in zip(at, first, owner, strict=True) if f and words_[o] == "aab") == [0, 2]
+
+
+def lines_by_force(rows_):
+    low = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(A2Z)
+    holders = defaultdict(set)
+    for d, t in rows_:
+        for line in (t or "").split("\n"):
+            if len(low(line)) >= 20 and d is not None:
+                holders[low(line)].add(d)
+    out = []
+    for d, t in rows_:
+        all_ = (t or "").split("\n")
+        left = [x for x in all_ if not (len(low(x)) >= 20 and len(holders[low(x)]) >= 3 and max(holders[low(x)]) != d)]
+        out.append((d, len(all_), len(all_) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest()))
+    return out
+
+
+def test_op13(spark, data, docs):
+    got = queries.op13_line_dedup(spark, data).collect()
+    want = lines_by_force(docs.items())
+    assert sorted(map(tuple, got)) == sorted(want) and any(w[2] for w in want)
+    assert {f.name for f in queries.op13_line_dedup(spark, data).schema} == {"doc_id", "n_lines", "n_dropped", "kept_sha256"}
+
+
+def test_op13_small(spark):
+    rng = np.random.default_rng(4)
+    pool = [f"  Line number {i} of the pool \t" for i in range(40)] + ["short", "", "x" * 20, " " * 30, "É" + "é" * 19, "n" * 19, "LINE NUMBER 3 OF THE POOL"]
+    rows_ = [(int(d), "\n".join(rng.choice(pool, int(rng.integers(1, 200))))) for d in rng.integers(0, 60, 90)]
+    # One line makes up a third of all rows; a long text has bits in far words only; a line ends in CR.
+    rows_ += [(100 + d, "the very common line of all\n" * 3 + f"own line of the document {d}") for d in range(50)]
+    rows_ += [(500, "\n".join(f"unique line number {i}" for i in range(9000)) + "\nthe very common line of all\r\n"), (501, "the VERY common line of all\n\n")]
+    rows_ += [(None, "the very common line of all\nand another one"), (None, None), (7, ""), rows_[0], rows_[0]]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(6)
+    key_ = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, lines.digest(lines.dedup_lines(df)).collect()), key=key_) == sorted(lines_by_force(rows_), key=key_)
+    bits = {r.doc: r for r in lines.line_bitmaps(df).collect()}
+    assert [b.word for b in bits[500].bits] == [140] and bits[500].n_dropped == 1 and 501 not in bits
+
+
+def test_op13_is_native(spark, data):
+    plan = queries.op13_line_dedup(spark, data)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_op13_ranges_serve_the_window(spark, data):
+    """The window takes the ranges as they are: one exchange by range, none by hash between them."""
+    d = read(spark, data, "documents")
+    raw = lines._lines(d, 20).select("h", "g", "doc", "pos").repartitionByRange("h", "g", "doc")
+    from pyspark.sql import Window
+
+    out = raw.withColumn("nth", F.row_number().over(Window.partitionBy("h", "g", "doc").orderBy("pos"))).where("nth = 1")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "rangepartitioning" in plan
+
+
+def divergence_by_force(rows_):
+    term = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+    df, n, groups = defaultdict(int), defaultdict(int), set()
+    for _, text, lang, source in rows_:
+        lang, source = lang or "", source or ""
+        groups.add((lang, source))
+        ws = [w.translate(A2Z) for w in term.findall(text or "")]
+        for w in set(ws):
+            df[lang, w] += 1
+        for w in ws:
+            n[lang, source, w] += 1
+    out = []
+    for lang in {g[0] for g in groups}:
+        kept, sources = sorted(w for (x, w), k in df.items() if x == lang and k >= 10), sorted(s for x, s in groups if x == lang)
+        v = len(kept)
+        count = {s: {w: n.get((lang, s, w), 0) for w in kept} for s in sources}
+        count[None] = {w: sum(count[s][w] for s in sources) for w in kept}
+        total = {s: sum(c.values()) for s, c in count.items()}
+        p = {s: {w: 1 + 10**9 * (c[w] + 2) // (total[s] + 2 * v) for w in kept} for s, c in count.items()}
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in sources:
+            pair = sorted((-sum(f(p[s][w], p[o][w]) for w in kept), o.encode(), o) for o in sources if o != s)
+            own = sorted((-f(p[s][w], p[None][w]), w.encode(), w) for w in kept if count[s][w] > 0 and p[s][w] > p[None][w])[:10]
+            for part, ranked in (("pair", pair), ("term", own)):
+                out += [(lang, s, part, item, -value, i + 1) for i, (value, _, item) in enumerate(ranked)]
+    return out
+
+
+def test_op11(spark, data):
+    table = [(r.doc_id, r.text, r.lang, r.source) for r in read(spark, data, "documents").collect()]
+    assert sorted(map(tuple, queries.op11_source_divergence(spark, data).collect())) == sorted(divergence_by_force(table))
+
+
+def test_op11_small(spark):
+    rng = np.random.default_rng(5)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)] + ["Éte", "日本", "don", "A", "été"]
+    rows_ = [(i, " ".join(rng.choice(vocab, int(rng.integers(0, 12)))) + ("7don't" if i % 3 else ""), [None, "en", "de", ""][i % 4], [None, "a", "b", "é", "hot", "hot", "hot"][i % 7]) for i in range(300)]
+    rows_ += [(1, None, "fr", "x"), (2, "", "fr", "y"), (3, "one text only", "it", "x"), (3, "one text only", "it", "z"), (4, None, "en", "silent"), (None, "!!!", "en", "silent")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string").repartition(5)
+    assert sorted(map(tuple, divergence.audit(df).collect())) == sorted(divergence_by_force(rows_))
+
+
+def test_op11_sketch(spark, data):
+    """Estimates are never too small, also where cells are full, and rare terms go before the shuffle."""
+    d = read(spark, data, "documents")
+    df = defaultdict(int)
+    for r in d.collect():
+        for w in set(r.text.encode().translate(divergence.TERMS).split()):
+            df[r.lang, w] += 1
+    sketch = divergence.frequency_sketch(d.repartition(7))
+    langs = {lang for lang, _ in df}
+    for lang in langs:
+        terms = [w for x, w in df if x == lang]
+        at = divergence.cells(lang, terms)
+        bound = np.minimum.reduce([sketch[i, at[i]] for i in range(divergence.ROWS)])
+        true = np.array([min(df[lang, w], divergence.CEILING) for w in terms])
+        assert (bound >= true).all() and (bound == true).mean() > 0.99
+    rare = {(r.lang, r.term) for r in divergence.term_counts(d).collect()}
+    assert len(rare) < 1.05 * sum(n >= 10 for n in df.values())
