@@ -20,7 +20,7 @@ MOST = 2.0
 #: Newton's steps end when every source is so near its target, relatively, or after so many.
 TOLERANCE = 1e-9
 STEPS = 60
-#: Rows of a source that are ordered together when copies are rounded.
+#: Rows of a source that are ordered together, about, when copies are rounded; bins go by the logarithm of the draw.
 BIN_ROWS = 50_000
 
 
@@ -99,6 +99,27 @@ def _solve(classes: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame
     return state.drop("off", "low", "high")
 
 
+def _draw(number: Column) -> Column:
+    """A number above 0 and up to 1 for the row of this number among equal ones."""
+    return (F.pmod(F.xxhash64("__alike", number.cast("bigint")), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+
+
+def _numbered(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Equal rows with draws by their number among each other.
+
+    They are written with the part that they stand in, and counted by parts: a row that makes up a source isn't
+    ordered in one task.
+    """
+    rows = rows.withColumn("part", F.spark_partition_id()).withColumn("no", F.monotonically_increasing_id())
+    rows = scratch.cut(rows, "equal")
+    counts = rows.groupBy("__alike", "part").agg(F.count("*").alias("n"))
+    earlier = W.partitionBy("__alike").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select("__alike", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy("__alike", "part").orderBy("no")) - 1
+    placed = rows.withColumn("own", own).join(before, ["__alike", "part"])
+    return placed.withColumn("__u", _draw(F.col("before") + F.col("own"))).select("__row", "__source", "size", "__alike", "__u")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` with a struct behind its columns: ``size``, ``source_size``, ``target``, ``rate`` and ``copies`` (0, 1 or 2).
 
@@ -109,13 +130,19 @@ def mix(docs: DataFrame) -> DataFrame:
     Each source ends within about one document of its target.
 
     Null is a source of its own, the last.  Null and empty texts have size 0 and get their copies, without words.
-    Rows with equal id, source and text are alike in that order, so they get equally many copies.  An empty table
-    gives an empty result.  Other columns are kept as they are.
+    Rows with equal id, source and text are numbered, so that each has a draw of its own; which of them gets more copies
+    can't be told apart.  An empty table gives an empty result.  Other columns are kept as they are.
     """
     scratch = Scratch(docs.sparkSession)
-    draw = (F.pmod(F.xxhash64("doc_id", "source", "text", F.lit(77)), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
-    sized = docs.select(F.struct("*").alias("__row"), F.col("source").alias("__source"), size_of("text").alias("size"), draw.alias("__u"))
-    slim = scratch.cut(sized.select(F.col("__source").alias("s"), "size", F.col("__u").alias("u")), "sizes")
+    alike = F.xxhash64("doc_id", "source", "text")
+    sized = docs.select(F.struct("*").alias("__row"), F.col("source").alias("__source"), size_of("text").alias("size"), alike.alias("__alike"))
+    slim = scratch.cut(sized.select(F.col("__source").alias("s"), "size", "__alike"), "sizes")
+    repeated = scratch.cut(slim.groupBy("__alike").agg(F.count("*").alias("n")).where("n > 1").select("__alike"), "repeated")
+    numbered = _numbered(sized.join(repeated, "__alike"), scratch)
+    sized = sized.join(repeated, "__alike", "left_anti").withColumn("__u", _draw(F.lit(0))).unionByName(numbered)
+    slim = slim.join(repeated, "__alike", "left_anti").withColumn("__u", _draw(F.lit(0))).drop("__alike")
+    slim = slim.unionByName(numbered.select(F.col("__source").alias("s"), "size", "__u")).withColumnRenamed("__u", "u")
+    slim = scratch.cut(slim, "draws")
     classes = scratch.cut(slim.groupBy("s", "size").agg(F.count("*").alias("n")), "classes")
     sources = classes.groupBy(F.col("s").alias("source")).agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     solved = _solve(classes, targets(sources), scratch)
@@ -132,7 +159,7 @@ def mix(docs: DataFrame) -> DataFrame:
     )
     waiting = rated.where("p is not null").select("s", "size", "p").alias("r")
     binned = waiting.join(sums.alias("m"), F.expr("r.s <=> m.s")).select(
-        F.col("r.s").alias("s"), "size", "p", "missing", F.floor(F.least("p", F.lit(8.0)) * F.col("bins")).alias("bin")
+        F.col("r.s").alias("s"), "size", "p", "missing", F.floor(F.log2("p") * F.col("bins")).alias("bin")
     )
     per_bin = binned.groupBy("s", "bin").agg(F.sum("size").alias("words"), F.max("missing").alias("missing"), F.max("p").alias("p"))
     upto = F.sum("words").over(W.partitionBy("s").orderBy("bin"))

@@ -339,6 +339,20 @@ def test_op5(spark, data, docs):
     assert again == {d: r["taken"] for d, r in out.items()}
 
 
+def test_op5_equal_rows(spark):
+    """Sources that consist of copies of one row end within one row of their target, whatever the ids."""
+    rows_ = [(i, f"w{i} " * (3 + i % 40), "a") for i in range(400)] + [(1000, "one two three four five", "b")] * 100 + [(None, "six seven", None)] * 300
+    rows_ += [(2000 + i // 30, "tiny text", "c") for i in range(900)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string").repartition(7)
+    for table in (df, df.where("source = 'b'"), df.where("doc_id is null")):
+        got = mixing.digest(mixing.mix(table)).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("most"))
+        for r in got.collect():
+            assert abs(r.taken - r.target) <= r.most, r
+    once, again = (sorted(map(repr, mixing.digest(mixing.mix(x)).collect())) for x in (df, df.repartition(3)))
+    assert once == again
+    assert "InArrow" not in mixing.digest(mixing.mix(df))._jdf.queryExecution().toString()
+
+
 def test_op6(spark, data, docs, tmp_path):
     path = str(tmp_path / "shards")
     layout = tokens.materialise(read(spark, data, "documents"), path, records=350)
