@@ -25,7 +25,8 @@ def by_case():
 def raw_events(df: DataFrame) -> DataFrame:
     """Missing raw columns get their defaults: no hint, arrival, resource, value, precision, tie or attributes.
 
-    Times may come as ``ts`` (a timestamp) in place of ``ts_s``; fractions of a second are dropped, toward zero.
+    Times may come as ``ts`` (a timestamp) in place of ``ts_s``; fractions of a second are dropped, toward zero.  A VARIANT
+    column ``props`` with typed attributes is kept.
     """
     if "ts_s" not in df.columns:
         micros = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -39,7 +40,12 @@ def raw_events(df: DataFrame) -> DataFrame:
         col = F.col(f.name) if f.name in df.columns else defaults[f.name]
         col = F.coalesce(col.cast(f.dataType), defaults[f.name].cast(f.dataType)) if f.name in defaults else col.cast(f.dataType)
         out.append(col.alias(f.name))
-    return df.select(out)
+    return df.select(*out, *_typed(df))
+
+
+def _typed(df: DataFrame) -> list[str]:
+    """The column of typed attributes (VARIANT), where there is one."""
+    return ["props"] if "props" in df.columns else []
 
 
 def canonical(raw: DataFrame, ranks: Mapping[str, int] | None = None) -> DataFrame:
@@ -70,7 +76,7 @@ def cases_of(events: DataFrame, attributes: DataFrame | None = None) -> DataFram
     empty = F.create_map().cast("map<string,string>")
     if attributes is None:
         return cases.withColumn("attrs", empty)
-    return cases.join(attributes.select("case_id", "attrs"), "case_id", "left").withColumn("attrs", F.coalesce("attrs", empty))
+    return cases.join(attributes.select("case_id", "attrs", *_typed(attributes)), "case_id", "left").withColumn("attrs", F.coalesce("attrs", empty))
 
 
 @dataclass(frozen=True)

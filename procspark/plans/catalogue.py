@@ -12,6 +12,8 @@ from ..operators import checks, controls, dfg, filters, rules, variants
 from ..operators import spans as sp
 from ..operators.eventlog import EventLog
 from ..schema import FLOW
+from ..functions import typed
+from ..session import scratch_dir
 from ..sources import csv, otlp, xes
 from .views import (
     EVENTS_RAW, EVENTS_SQL, ITEMS_SQL, LINES_SQL, ORDERS_SQL, POLICY, RANKS, SPANS_SQL, TOOLS, events_log, events_raw, items, lines_log, messages,
@@ -668,27 +670,16 @@ def otlp_ids(s, d):
     return e.select("case_id", "pos", otlp.trace_id("events", F.col("case_id")).alias("trace_id"), otlp.span_id("events", F.col("case_id"), F.col("pos"), F.col("activity")).alias("span_id"))
 
 
-def _scratch(s: SparkSession) -> str:
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not s.sparkContext.master.startswith("local") or s.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = s.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return f"{base.rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
-
-
 @query("SELECT case_id, pos, activity, ts_s, resource, value_cents, tie_broken FROM ev", EVENTS_SQL)
 def otlp_roundtrip(s, d):
-    path = _scratch(s)
+    path = scratch_dir(s)
     otlp.write(events_log(s, d), path)
     return otlp.read(s, path).events.select("case_id", "pos", "activity", "ts_s", "resource", "value_cents", "tie_broken")
 
 
 @query("SELECT case_id, pos, activity, ts_s, resource, value_cents, tie_broken FROM ev", EVENTS_SQL)
 def csv_roundtrip(s, d):
-    path = _scratch(s)
+    path = scratch_dir(s)
     csv.write_events(events_log(s, d), path)
     back = EventLog.build(csv.read_events(s, path, line_breaks=False), None)
     return back.events.select("case_id", "pos", "activity", "ts_s", "resource", "value_cents", "tie_broken")
@@ -696,17 +687,70 @@ def csv_roundtrip(s, d):
 
 @query("SELECT case_id, pos, activity, ts_s, resource, value_cents, tie_broken FROM ev", EVENTS_SQL)
 def xes_roundtrip(s, d):
-    path = _scratch(s)
+    path = scratch_dir(s)
     xes.write(events_log(s, d), path, value=xes.VALUE)
     raw, _ = xes.read(s, path)
     return EventLog.build(raw, None).events.select("case_id", "pos", "activity", "ts_s", "resource", "value_cents", "tie_broken")
 
 
+_TYPED_SQL = """SELECT id AS event_id, key, any_value(type) AS type, any_value(value) AS value FROM (
+  SELECT event_id AS id, json_extract_string(props, '$.k') AS k, value AS v, user_id AS u FROM events) e,
+  LATERAL (VALUES ('whole', 'int', k), ('fraction', 'float', concat(CAST(u % 100 AS VARCHAR), '.5')), ('truth', 'bool', CASE WHEN u % 2 = 0 THEN 'True' ELSE 'False' END),
+    ('digits', 'str', concat('00', k)), ('list', 'list', concat('[', k, ',"', u, '"]')), ('object', 'object', concat('{"a":', k, ',"b":', CASE WHEN u % 2 = 0 THEN 'true' ELSE 'false' END, '}'))) t(key, type, value)
+GROUP BY 1, 2"""
+
+
+def _typed_log(s, d) -> EventLog:
+    """Events with attributes of all types, a case each."""
+    e = table(s, d, "events")
+    k, u = F.get_json_object("props", "$.k"), F.col("user_id").cast("string")
+    truth = F.when(F.col("user_id") % 2 == 0, "true").otherwise("false")
+    parts = [
+        F.lit('{"whole":'), k, F.lit(',"fraction":'), (F.col("user_id") % 100).cast("string"), F.lit('.5,"truth":'), truth, F.lit(',"digits":"00'), k,
+        F.lit('","list":['), k, F.lit(',"'), u, F.lit('"],"object":{"a":'), k, F.lit(',"b":'), truth, F.lit("}}"),
+    ]
+    raw = e.select(F.col("event_id").cast("string").alias("case_id"), F.col("event_type").alias("activity"), F.col("ts"), F.parse_json(F.concat(*parts)).alias("props"))
+    return EventLog.build(raw, log_id="typed", attributes=raw.select("case_id", F.create_map().cast("map<string,string>").alias("attrs"), "props"))
+
+
+def _typed_rows(df: DataFrame) -> DataFrame:
+    each = df.select(F.col("case_id").cast("bigint").alias("event_id"), F.explode(typed.members(F.col("props"))).alias("key", "v"))
+    return each.select("event_id", "key", typed.kind(F.col("v")).alias("type"), typed.text(F.col("v")).alias("value"))
+
+
+@query(_TYPED_SQL)
+def otlp_typed(s, d):
+    """Types and values of attributes of events, after they were written as spans and read."""
+    path = scratch_dir(s)
+    otlp.write(_typed_log(s, d), path)
+    return _typed_rows(otlp.read(s, path).events)
+
+
+@query(_TYPED_SQL)
+def xes_typed(s, d):
+    """Types and values of attributes of cases and events, after they were written as XES and read; both have the same."""
+    path = scratch_dir(s)
+    xes.write(_typed_log(s, d), path)
+    events, cases = xes.read(s, path)
+    names = F.col("key") != xes.NAME
+    return _typed_rows(events).intersect(_typed_rows(cases).where(names))
+
+
+@query("""SELECT key, type, false AS mixed FROM (VALUES ('whole', 'int'), ('fraction', 'float'), ('truth', 'bool'), ('digits', 'str'), ('list', 'list'), ('object', 'object')) t(key, type)
+WHERE (SELECT count(*) FROM events) > 0 UNION ALL SELECT 'odd', 'str', true WHERE (SELECT count(DISTINCT user_id % 2) FROM events) = 2""")
+def attribute_types(s, d):
+    """The type of each attribute key over the whole log, and the keys whose values differ in type."""
+    odd = F.when(F.col("case_id").cast("bigint").isNotNull() & (F.element_at(typed.members(F.col("props")), F.lit("truth")).cast("boolean")), F.lit('{"odd":1}')).otherwise('{"odd":"x"}')
+    log = _typed_log(s, d)
+    more = log.events.select("case_id", F.parse_json(odd).alias("props"))
+    return typed.types(log.events.select("case_id", "props").unionByName(more))
+
+
 @query("SELECT case_id, pos, activity, ts_s, resource, value_cents, tie_broken FROM ev", EVENTS_SQL)
 def store_roundtrip(s, d):
     from ..sources import store
 
-    path = _scratch(s)
+    path = scratch_dir(s)
     store.save(events_log(s, d), path)
     return store.load(s, path, "events").events.select("case_id", "pos", "activity", "ts_s", "resource", "value_cents", "tie_broken")
 

@@ -19,5 +19,6 @@ def numbered(records: DataFrame) -> DataFrame:
     splits = placed.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_place").alias("first"))
     earlier = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
     splits = splits.select("_file", "_block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("_offset"))
-    joined = placed.join(splits, ["_file", "_block"]).withColumn("ordinal", F.col("_offset") + F.col("_place"))
+    # A row for each split, some hundred bytes: sent to all tasks, as else the records themselves would be shuffled.
+    joined = placed.join(F.broadcast(splits), ["_file", "_block"]).withColumn("ordinal", F.col("_offset") + F.col("_place"))
     return joined.drop("_file", "_block", "_place", "_offset")

@@ -94,9 +94,9 @@ def load(spark: SparkSession, path: str, log_id: str) -> EventLog:
     if found is None:
         known = ", ".join(r.log_id for r in logs(spark, path).select("log_id").collect())
         raise KeyError(f"no log {log_id!r} in {path}; there are: {known}")
-    mine = (F.col("log_id") == log_id) & (F.col("version") == found.version)
-    events = spark.read.parquet(f"{path}/events").where(mine).drop("log_id", "version")
-    cases = spark.read.parquet(f"{path}/cases").where(mine).drop("log_id", "version", "case_index")
+    mine = f"log_id={_escaped(spark, log_id)}/version={found.version}"
+    events, cases = (spark.read.parquet(f"{path}/{name}/{mine}") for name in ("events", "cases"))
+    cases = cases.drop("case_index")
     return EventLog(events, cases, log_id, found.source, found.license, found.attribution, found.doi)
 
 

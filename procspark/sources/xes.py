@@ -10,75 +10,54 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import cents
+from ..functions.typed import kind as kind_of
+from ..functions.typed import let, members, text, texts
 from ..operators.eventlog import EventLog
-from .places import numbered
+from . import traces
 
-#: The kinds of scalar attributes, and the keys with a meaning of their own.
-KINDS = ("string", "date", "int", "float", "boolean", "id")
+#: The keys with a meaning of their own.
 NAME, TIME, RESOURCE, VALUE = "concept:name", "time:timestamp", "org:resource", "Cumulative net worth (EUR)"
-_ATTRIBUTES = ", ".join(f"`{k}` array<struct<_key string, _value string>>" for k in KINDS)
-_TRACE = f"{_ATTRIBUTES}, event array<struct<{_ATTRIBUTES.replace('` array', '`: array').replace('_key string', '_key: string').replace('_value string', '_value: string')}>>"
-
-
-def _attributes(of: Column) -> Column:
-    """Scalar attributes as one map of texts; booleans read True or False, numbers that aren't stay as they came."""
-    empty = F.array().cast("array<struct<_key:string,_value:string>>")
-
-    def typed(kind: str) -> Column:
-        entries = F.coalesce(of[kind], empty)
-        if kind == "boolean":
-            return F.transform(entries, lambda x: F.struct(x["_key"].alias("key"), F.when(F.lower(F.trim(x["_value"])) == "true", "True").otherwise("False").alias("value")))
-        return F.transform(entries, lambda x: F.struct(x["_key"].alias("key"), F.coalesce(x["_value"], F.lit("")).alias("value")))
-
-    every = F.filter(F.concat(*[typed(k) for k in KINDS]), lambda x: x["key"].isNotNull())
-    keys = F.transform(every, lambda x: x["key"])
-    # Of repeated keys the last one counts; most traces and events have none, and then the entries are the map.
-    put = lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["key"]), F.map_from_arrays(F.array(x["key"]), F.array(x["value"])))
-    last = F.aggregate(every, F.create_map().cast("map<string,string>"), put)
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(every)).otherwise(last)
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each trace: ``ordinal`` (its number among all traces, from 0), ``attrs`` and ``events`` (an array of maps).
+    """One row for each trace: ``ordinal`` (its number among all traces, from 0), ``attrs``, ``props`` and ``events``.
 
-    The text is split at each trace's end, so a large uncompressed file is read by many tasks.  What stands before a
-    trace's start tag, such as global definitions, isn't data.  Prefixes of a namespace are dropped.
+    ``props`` are the attributes with their types; ``attrs`` are the scalar ones as texts, truth values as True or False.  ``events``
+    is an array of JSON objects.
     """
-    pieces = spark.read.text(path, lineSep="</trace>").where(F.col("value").rlike(r"<([\w.-]+:)?trace\b"))
-    pieces = numbered(pieces)
-    plain = F.regexp_replace("value", r"<(/?)[A-Za-z_][\w.-]*:(string|date|int|float|boolean|id|event|trace)\b", "<$1$2")
-    cut = F.regexp_extract(plain, r"(?s)<trace\b[^>]*?(?<!/)>(.*)$", 1)
-    rows = pieces.select("ordinal", F.concat(F.lit("<trace>"), cut, F.lit("</trace>")).alias("x"))
-    t = F.from_xml("x", _TRACE)
-    rows = rows.select("ordinal", t.alias("t"))
-    return rows.select("ordinal", _attributes(F.col("t")).alias("attrs"), F.transform("t.event", _attributes).alias("events"))
+    rows = traces.read(spark, path).withColumn("props", F.parse_json("attributes"))
+    return rows.select("ordinal", texts(F.col("props"), nested=False).alias("attrs"), "props", "events")
 
 
 def read(spark: SparkSession, path: str, value: str = VALUE, keep: Column | None = None, max_cases: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Raw events and case attributes.  ``keep`` filters traces by ``attrs`` before their events are unfolded.
+    """Raw events and case attributes.  ``keep`` filters traces by ``attrs`` or ``props`` before their events are unfolded.
 
     Events without a time are dropped; an event without an activity is UNKNOWN; a trace without a name is named by
-    its number among all traces.  Values are cents, half to even; what isn't a number is 0.
+    its number among all traces.  Values are cents, half to even; what isn't a number is 0.  Both tables have ``props``
+    beside ``attrs``: whole numbers, fractions, truth values, lists and objects as what they were.
     """
     from .csv import parse_time
 
-    traces = read_traces(spark, path)
+    rows = read_traces(spark, path)
     unnamed = F.concat(F.lit("case-"), (F.col("ordinal") + 1).cast("string"))
-    traces = traces.withColumn("case_id", F.coalesce(F.nullif(F.element_at("attrs", F.lit(NAME)), F.lit("")), unnamed))
+    rows = rows.withColumn("case_id", F.coalesce(F.nullif(F.element_at("attrs", F.lit(NAME)), F.lit("")), unnamed))
     if keep is not None:
-        traces = traces.where(keep)
+        rows = rows.where(keep)
     if max_cases is not None:
-        traces = traces.orderBy("ordinal").limit(max_cases)
-    each = traces.select("case_id", "ordinal", F.posexplode("events").alias("i", "e"))
+        rows = rows.orderBy("ordinal").limit(max_cases)
+    each = rows.select("case_id", "ordinal", F.posexplode("events").alias("i", "x")).select("case_id", "ordinal", "i", F.parse_json("x").alias("v"))
+    each = each.withColumn("e", texts(F.col("v"), nested=False))
     ts, precision = parse_time(F.element_at("e", F.lit(TIME)))
     resource = F.coalesce(F.nullif(F.element_at("e", F.lit(RESOURCE)), F.lit("")), F.element_at("e", F.lit("User")), F.lit(""))
+    own = (NAME, TIME, RESOURCE, value)
+    props = F.parse_json(F.to_json(F.map_filter(members(F.col("v")), lambda k, _: ~k.isin(*own))))
     events = each.select(
         "case_id", F.coalesce(F.nullif(F.element_at("e", F.lit(NAME)), F.lit("")), F.lit("UNKNOWN")).alias("activity"), ts.alias("ts"),
-        (F.col("ordinal") * 1_000_000 + F.col("i")).alias("arrival"), resource.alias("resource"),
+        (F.shiftleft("ordinal", 26) + F.col("i")).alias("arrival"), resource.alias("resource"),
         F.coalesce(cents(F.element_at("e", F.lit(value)).try_cast("double")), F.lit(0)).alias("value_cents"), precision.alias("precision"),
-        F.map_filter("e", lambda k, _: ~k.isin(NAME, TIME, RESOURCE, value)).alias("attrs"),
+        F.map_filter("e", lambda k, _: ~k.isin(*own)).alias("attrs"), props.alias("props"),
     ).where("ts is not null")
-    return events, traces.select("case_id", "ordinal", "attrs")
+    return events, rows.select("case_id", "ordinal", "attrs", "props")
 
 
 def escape(text: Column) -> Column:
@@ -91,19 +70,47 @@ def _tag(kind: str, key: Column, value: Column) -> Column:
     return F.concat(F.lit(f'<{kind} key="'), escape(key), F.lit('" value="'), escape(value), F.lit('"/>'))
 
 
+def _typed_tag(key: Column, value: Column, depth: int = 1) -> Column:
+    """A VARIANT value as an element of its kind; what lies deeper than ``depth`` lists or objects is written as JSON text."""
+    wrap = lambda name, inner: F.concat(F.lit(f'<{name} key="'), escape(key), F.lit('">'), inner, F.lit(f"</{name}>"))
+
+    def tag(v: Column, of: Column) -> Column:
+        said = F.when(of == "bool", F.lower(text(v))).otherwise(F.coalesce(text(v), F.lit("")))
+        name = F.when(of == "int", "<int").when(of == "float", "<float").when(of == "bool", "<boolean").otherwise("<string")
+        scalar = F.concat(name, F.lit(' key="'), escape(key), F.lit('" value="'), escape(said), F.lit('"/>'))
+        if not depth:
+            return scalar
+        each = F.transform(v.try_cast("array<variant>"), lambda x: _typed_tag(F.lit("item"), x, depth - 1))
+        own = let(v.try_cast("map<string,variant>"), lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: _typed_tag(k, F.element_at(m, k), depth - 1)))
+        values = F.concat(F.lit("<values>"), F.array_join(each, ""), F.lit("</values>"))
+        return F.when(of == "list", wrap("list", values)).when(of == "object", wrap("container", F.array_join(own, ""))).otherwise(scalar)
+
+    return let(value, lambda v: let(kind_of(v), lambda of: tag(v, of)))
+
+
+def _entries(df: DataFrame, without: tuple[str, ...]) -> Column:
+    """All attributes of a row as elements, in order of their names: typed where there are types, else by what the texts look like."""
+    if "props" in df.columns:
+        every = F.map_filter(members(F.col("props")), lambda k, _: ~k.isin(*without))
+        tags = let(every, lambda m: F.transform(F.array_sort(F.map_keys(m)), lambda k: _typed_tag(k, F.element_at(m, k))))
+    else:
+        kind = lambda v: F.when(v.isin("True", "False"), "boolean").when(v.rlike(r"^-?(0|[1-9]\d*)$"), "int").otherwise("string")
+        low = lambda v: F.when(v.isin("True", "False"), F.lower(v)).otherwise(v)
+        tag = lambda e: F.concat(F.lit("<"), kind(e["value"]), F.lit(' key="'), escape(e["key"]), F.lit('" value="'), escape(low(e["value"])), F.lit('"/>'))
+        tags = F.transform(F.filter(F.array_sort(F.map_entries("attrs")), lambda e: ~e["key"].isin(*without)), tag)
+    return F.coalesce(F.array_join(tags, ""), F.lit(""))
+
+
 def trace_rows(log: EventLog, value: str | None = None) -> DataFrame:
-    """Each case as one line of XES, in order of case; case attributes in order of their names."""
+    """Each case as one line of XES, in order of case; attributes in order of their names, typed ones with their types."""
     time = F.date_format(F.timestamp_seconds("ts_s"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     parts = [_tag("string", F.lit(NAME), F.col("activity")), _tag("date", F.lit(TIME), time), F.when(F.col("resource") != "", _tag("string", F.lit(RESOURCE), F.col("resource"))).otherwise("")]
     if value:
         parts.append(F.when(F.col("value_cents") != 0, _tag("float", F.lit(value), (F.col("value_cents") / 100).cast("string"))).otherwise(""))
-    lines = log.events.select("case_id", "pos", F.concat(F.lit("<event>"), *parts, F.lit("</event>")).alias("x"))
+    more = [_entries(log.events, (NAME, TIME, RESOURCE, value or VALUE))] if "props" in log.events.columns else []
+    lines = log.events.select("case_id", "pos", F.concat(F.lit("<event>"), *parts, *more, F.lit("</event>")).alias("x"))
     events = lines.groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "x")))["x"], "").alias("events"))
-    kind = lambda v: F.when(v.isin("True", "False"), "boolean").when(v.rlike(r"^-?(0|[1-9]\d*)$"), "int").otherwise("string")
-    low = lambda v: F.when(v.isin("True", "False"), F.lower(v)).otherwise(v)
-    tag = lambda e: F.concat(F.lit("<"), kind(e["value"]), F.lit(' key="'), escape(e["key"]), F.lit('" value="'), escape(low(e["value"])), F.lit('"/>'))
-    entries = F.filter(F.array_sort(F.map_entries("attrs")), lambda e: e["key"] != NAME)
-    cases = log.cases.select("case_id", F.array_join(F.transform(entries, tag), "").alias("head"))
+    cases = log.cases.select("case_id", _entries(log.cases, (NAME,)).alias("head"))
     name = _tag("string", F.lit(NAME), F.col("case_id"))
     return cases.join(events, "case_id").select("case_id", F.concat(F.lit("<trace>"), name, "head", "events", F.lit("</trace>")).alias("value"))
 
@@ -134,7 +141,8 @@ def _documents(head: list[str]):
 def write(log: EventLog, path: str, value: str | None = None, single: bool = False) -> None:
     """XES documents in the folder ``path``, one for each range of cases; ``single`` puts all traces into one.
 
-    Traces are rendered in parallel before they are dealt to ranges.  Event attributes and precisions aren't written.
+    Traces are rendered in parallel before they are dealt to ranges.  Event attributes are written where
+    they are typed (``props``); precisions aren't.
     """
     # A row without a trace, so that an empty log is a document too.
     rows = trace_rows(log, value).unionByName(log.events.sparkSession.range(1).select(F.lit("").alias("case_id"), F.lit(None).cast("string").alias("value")))
