@@ -13,7 +13,7 @@ from .operators import checks, dfg, filters, rules, variants
 from .operators.eventlog import EventLog
 from .policy import Policy
 from .session import session
-from .sources import csv, otlp, store, viz, xes
+from .sources import csv, otlp, store, tables, viz, xes
 
 
 def _show(df: DataFrame, limit: int = 1000) -> None:
@@ -76,6 +76,9 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--batch-spans", type=int, default=512)
     c.add_argument("--from-xes")
     c.add_argument("--max-cases", type=int)
+    c = command("tables")
+    c.add_argument("--from-xes", required=True)
+    c.add_argument("--out", required=True)
     c = command("otlp-verify")
     c.add_argument("--against", required=True)
     c = command("sample")
@@ -97,6 +100,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if args.sensitivity:
             _show(variants.order_sensitivity(raw, policy.activity_rank))
         return 0
+    if args.command == "tables":
+        print(json.dumps(tables.convert(spark, args.from_xes, args.out), indent=1, sort_keys=True))
+        return 0
     if args.command == "logs":
         _show(store.logs(spark, args.store))
         return 0
@@ -123,7 +129,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         got = rules.evaluate(log, policy, args.rule)
         _show(rules.report(got))
         if args.out:
-            rules.flat(got.violations, ["flow", "resource", "variance_eur"]).write.csv(args.out, header=True, mode="overwrite")
+            rules.flat(got.violations, None).write.csv(args.out, header=True, mode="overwrite")
     elif args.command == "tie-breaks":
         tied = log.tie_broken_cases().orderBy("case_id")
         tied.write.csv(args.out, header=True, mode="overwrite") if args.out else _show(tied)

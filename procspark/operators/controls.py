@@ -156,6 +156,31 @@ def duplicate_invoices(invoices: DataFrame, policy: Policy) -> DataFrame:
     return found.select(F.col("a").alias("invoice_id"), F.col("invoice_id").alias("duplicate_of"), "vendor_id")
 
 
+def first_duplicates(invoices: DataFrame, policy: Policy) -> DataFrame:
+    """``(invoice_id, vendor_id, duplicate_of)``: each invoice that nearly equals an earlier-numbered one, once, with the least such number.
+
+    Invoices of one vendor, value and day are one row first.  Values of a bin are all near each other, so a window over
+    days gives the least number in a bin without a join; neighbouring bins are joined by bins of days with an exact
+    check, and only the least number of each row goes on.
+    """
+    slack, days = round(policy.duplicate_invoice_value_tolerance_eur * 100), policy.duplicate_invoice_window_days
+    width = slack + 1
+    df = invoices.select("invoice_id", "vendor_id", "value_cents", F.unix_date("invoice_date").alias("day")).where("value_cents is not null and day is not null")
+    groups = df.groupBy("vendor_id", "value_cents", "day").agg(F.min("invoice_id").alias("least"))
+    groups = groups.withColumn("vb", F.floor(F.col("value_cents") / width)).withColumn("db", F.floor(F.col("day") / (days + 1)))
+    swept = F.min("least").over(W.partitionBy("vendor_id", "vb").orderBy("day").rangeBetween(-days, days))
+    inside = groups.select("vendor_id", "value_cents", "day", swept.alias("first"))
+
+    side = lambda xs: F.explode(F.array(*[F.lit(x) for x in xs]))
+    asks = groups.select("vendor_id", "value_cents", "day", "vb", "db", side((-1, 1)).alias("dv")).select("*", side((-1, 0, 1)).alias("dd"))
+    asks = asks.select("vendor_id", "value_cents", "day", (F.col("vb") + F.col("dv")).alias("vb"), (F.col("db") + F.col("dd")).alias("db"))
+    others = groups.select("vendor_id", "vb", "db", F.col("value_cents").alias("v"), F.col("day").alias("d"), "least")
+    near = (F.abs(F.col("v") - F.col("value_cents")) <= slack) & (F.abs(F.col("d") - F.col("day")) <= days)
+    beside = asks.join(others, ["vendor_id", "vb", "db"]).where(near).select("vendor_id", "value_cents", "day", F.col("least").alias("first"))
+    first = inside.unionByName(beside).groupBy("vendor_id", "value_cents", "day").agg(F.min("first").alias("duplicate_of"))
+    return df.join(first, ["vendor_id", "value_cents", "day"]).where("duplicate_of < invoice_id").select("invoice_id", "vendor_id", "duplicate_of")
+
+
 def duty_conflicts(attempts: DataFrame, history: DataFrame, policy: Policy) -> DataFrame:
     """Attempts (item_key, actor_id, activity) whose actor already did the other half of a pair on the item."""
     pairs = [(a, b) for p in policy.conflicting_pairs for a, b in (p, p[::-1])] if policy.duties_enforced else []

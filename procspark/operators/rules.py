@@ -218,8 +218,11 @@ def report(got: Evaluation) -> DataFrame:
     )
 
 
-def flat(violations: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """Violations with chosen details as columns, for files."""
-    return violations.select("rule_id", "case_id", "at_seq", "order_assumed", "summary", *(F.element_at("detail", F.lit(k)).alias(f"detail_{k}") for k in keys))
-
+def flat(violations: DataFrame, keys: Iterable[str] | None = None) -> DataFrame:
+    """Violations with details as columns, for files; without ``keys``, all that there are, in order of their names.
 
+    Names of details, which the rules set, are few; they come to the session.
+    """
+    if keys is None:
+        keys = [r.k for r in violations.select(F.explode(F.map_keys("detail")).alias("k")).distinct().orderBy("k").collect()]
+    return violations.select("rule_id", "case_id", "at_seq", "order_assumed", "summary", *(F.element_at("detail", F.lit(k)).alias(f"detail_{k}") for k in keys))

@@ -14,7 +14,7 @@ from ..operators.eventlog import EventLog
 from ..schema import FLOW
 from ..functions import typed
 from ..session import scratch_dir
-from ..sources import csv, otlp, xes
+from ..sources import csv, otlp, tables, xes
 from .views import (
     EVENTS_RAW, EVENTS_SQL, ITEMS_SQL, LINES_SQL, ORDERS_SQL, POLICY, RANKS, SPANS_SQL, TOOLS, events_log, events_raw, items, lines_log, messages,
     orders_log, runs, spans, table,
@@ -492,6 +492,17 @@ def duplicate_invoice(s, d):
     return controls.duplicate_invoices(inv, POLICY).distinct()
 
 
+@query(
+    """SELECT a.o_orderkey AS invoice_id, a.o_orderpriority AS vendor_id, min(b.o_orderkey) AS duplicate_of FROM orders a JOIN orders b ON a.o_orderpriority = b.o_orderpriority AND b.o_orderkey < a.o_orderkey
+WHERE abs(CAST(round_even(a.o_totalprice * 100, 0) AS BIGINT) - CAST(round_even(b.o_totalprice * 100, 0) AS BIGINT)) <= 5000 AND abs(date_diff('day', a.o_orderdate::DATE, b.o_orderdate::DATE)) <= 90 GROUP BY 1, 2"""
+)
+def first_duplicate_invoice(s, d):
+    """Priorities stand for vendors: five of them, so that each has very many invoices."""
+    o = table(s, d, "orders")
+    inv = o.select(F.col("o_orderkey").alias("invoice_id"), F.col("o_orderpriority").alias("vendor_id"), F.bround(F.col("o_totalprice") * 100).cast("bigint").alias("value_cents"), F.to_date("o_orderdate").alias("invoice_date"))
+    return controls.first_duplicates(inv, POLICY)
+
+
 @query("SELECT DISTINCT case_id AS item_key, resource AS actor_id FROM ev a WHERE activity = 'purchase' AND EXISTS (SELECT 1 FROM ev b WHERE b.case_id = a.case_id AND b.resource = a.resource AND b.activity IN ('view', 'click'))", EVENTS_SQL)
 def sod_history(s, d):
     e = events_log(s, d).events.select(F.col("case_id").alias("item_key"), F.col("resource").alias("actor_id"), "activity")
@@ -726,6 +737,17 @@ def otlp_typed(s, d):
     return _typed_rows(otlp.read(s, path).events)
 
 
+@query("SELECT ev.case_id, pos, activity, ts_s, resource, value_cents, tie_broken, ca.flow FROM ev JOIN ca ON ca.case_id = ev.case_id", EVENTS_SQL)
+def xes_tables(s, d):
+    """Events and case attributes of an XES file, after one job has made both tables of it."""
+    path = scratch_dir(s)
+    xes.write(events_log(s, d), f"{path}/xes", value=xes.VALUE)
+    tables.convert(s, f"{path}/xes", f"{path}/out")
+    log = tables.load(s, f"{path}/out")
+    flow = log.cases.select("case_id", F.element_at("attrs", F.lit(FLOW)).alias("flow"))
+    return log.events.select("case_id", "pos", "activity", "ts_s", "resource", "value_cents", "tie_broken").join(flow, "case_id")
+
+
 @query(_TYPED_SQL)
 def xes_typed(s, d):
     """Types and values of attributes of cases and events, after they were written as XES and read; both have the same."""
@@ -746,6 +768,31 @@ def attribute_types(s, d):
     return typed.types(log.events.select("case_id", "props").unionByName(more))
 
 
+_PLANTED = ("event missing", "event stands twice", "times differ", "sequence differs", "values differ", "ties differ", "case missing", "case attributes differ", "event not in the log", "resources differ")
+
+
+@query(
+    "SELECT case_id, problem FROM (SELECT case_id, CASE CAST(split_part(case_id, '_', 1) AS BIGINT) % 30 "
+    + " ".join(f"WHEN {i} THEN '{x if x != 'event missing' else 'case missing'}'" for i, x in enumerate(_PLANTED) if i)
+    + " WHEN 0 THEN CASE WHEN event_count = 1 THEN 'case missing' ELSE 'event missing' END END AS problem FROM ca) WHERE problem IS NOT NULL",
+    EVENTS_SQL,
+)
+def export_conservation(s, d):
+    """Faults planted in a third of all users' cases, each found and named, and no others."""
+    log = events_log(s, d)
+    plant = lambda df: df.withColumn("u", (F.split_part("case_id", F.lit("_"), F.lit(1)).cast("bigint") % 30).cast("int"))
+    e = plant(log.events)
+    at = lambda i: (F.col("u") == i) & (F.col("pos") == 0)
+    changed = e.where(~at(0) & (F.col("u") != 6)).withColumns({
+        "ts_s": F.when(at(2), F.col("ts_s") + 1).otherwise(F.col("ts_s")), "activity": F.when(at(3), "other").otherwise(F.col("activity")),
+        "value_cents": F.when(at(4), F.col("value_cents") + 1).otherwise(F.col("value_cents")), "tie_broken": F.when(at(5), ~F.col("tie_broken")).otherwise(F.col("tie_broken")),
+        "resource": F.when(at(9), "nobody").otherwise(F.col("resource")),
+    })
+    more = e.where(at(1)).unionByName(e.where(at(8)).withColumn("pos", F.lit(1_000_000)))
+    cases = plant(log.cases).withColumn("attrs", F.when(F.col("u") == 7, F.create_map(F.lit(FLOW), F.lit("another"))).otherwise(F.col("attrs")))
+    return otlp.conservation(log, changed.unionByName(more), cases.where("u <> 6"))
+
+
 @query("SELECT case_id, pos, activity, ts_s, resource, value_cents, tie_broken FROM ev", EVENTS_SQL)
 def store_roundtrip(s, d):
     from ..sources import store

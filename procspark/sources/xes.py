@@ -36,30 +36,37 @@ def read(spark: SparkSession, path: str, value: str = VALUE, keep: Column | None
     its number among all traces.  Values are cents, half to even; what isn't a number is 0.  Both tables have ``props``
     beside ``attrs``: whole numbers, fractions, truth values, lists and objects as what they were.
     """
-    from .csv import parse_time
-
-    rows = read_traces(spark, path)
-    unnamed = F.concat(F.lit("case-"), (F.col("ordinal") + 1).cast("string"))
-    rows = rows.withColumn("case_id", F.coalesce(F.nullif(F.element_at("attrs", F.lit(NAME)), F.lit("")), unnamed))
+    rows = with_case_ids(read_traces(spark, path))
     if keep is not None:
         rows = rows.where(keep)
     if max_cases is not None:
         rows = rows.orderBy("ordinal").limit(max_cases)
     each = rows.select("case_id", "ordinal", F.posexplode("events").alias("i", "x")).select("case_id", "ordinal", "i", F.parse_json("x").alias("v"))
-    each = each.withColumn("e", texts(F.col("v"), nested=False))
-    ts, precision = parse_time(F.element_at("e", F.lit(TIME)))
-    resource = F.coalesce(F.nullif(F.element_at("e", F.lit(RESOURCE)), F.lit("")), F.element_at("e", F.lit("User")), F.lit(""))
-    own = (NAME, TIME, RESOURCE, value)
-    props = F.parse_json(F.to_json(F.map_filter(members(F.col("v")), lambda k, _: ~k.isin(*own))))
-    events = each.select(
-        "case_id", F.coalesce(F.nullif(F.element_at("e", F.lit(NAME)), F.lit("")), F.lit("UNKNOWN")).alias("activity"), ts.alias("ts"),
-        (F.shiftleft("ordinal", 26) + F.col("i")).alias("arrival"), resource.alias("resource"),
-        F.coalesce(cents(F.element_at("e", F.lit(value)).try_cast("double")), F.lit(0)).alias("value_cents"), precision.alias("precision"),
-        F.map_filter("e", lambda k, _: ~k.isin(*own)).alias("attrs"), props.alias("props"),
-    ).where("ts is not null")
+    events = with_event_columns(each, value).where("ts is not null").drop("ordinal", "i", "v", "e")
     return events, rows.select("case_id", "ordinal", "attrs", "props")
 
 
+def with_case_ids(rows: DataFrame) -> DataFrame:
+    """Traces with the name that they have, or one by their number."""
+    unnamed = F.concat(F.lit("case-"), (F.col("ordinal") + 1).cast("string"))
+    return rows.withColumn("case_id", F.coalesce(F.nullif(F.element_at("attrs", F.lit(NAME)), F.lit("")), unnamed))
+
+
+def with_event_columns(each: DataFrame, value: str) -> DataFrame:
+    """Rows ``(ordinal, i, v)``, ``v`` the attributes of an event as VARIANT, with the columns of a raw event."""
+    from .csv import parse_time
+
+    own, said = (NAME, TIME, RESOURCE, value), lambda key: F.element_at("e", F.lit(key))
+    each = each.withColumn("e", texts(F.col("v"), nested=False))
+    ts, precision = parse_time(said(TIME))
+    return each.withColumns({
+        "activity": F.coalesce(F.nullif(said(NAME), F.lit("")), F.lit("UNKNOWN")), "ts": ts, "arrival": F.shiftleft("ordinal", 26) + F.col("i"),
+        "resource": F.coalesce(F.nullif(said(RESOURCE), F.lit("")), said("User"), F.lit("")),
+        "value_cents": F.coalesce(cents(said(value).try_cast("double")), F.lit(0)), "precision": precision,
+        "attrs": F.map_filter("e", lambda k, _: ~k.isin(*own)), "props": F.parse_json(F.to_json(F.map_filter(members(F.col("v")), lambda k, _: ~k.isin(*own)))),
+    })
+
+
 def escape(text: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(a), F.lit(b))

@@ -147,3 +147,72 @@ def test_repeated_attribute_and_mixed_types(spark, tmp_path):
     spans = otlp.read_spans(spark, str(tmp_path / "o.txt"))
     assert json.loads(spans.select(F.to_json(otlp.props_of(F.col("attributes"), "mb.case."))).first()[0]) == {"a": "2", "n": "NaN", "l": []}
     assert "attribute stands twice" in {r.problem for r in otlp.structural_problems(spans).collect()}
+
+
+def test_tables_in_one_job(spark, tmp_path):
+    """Both tables, counts and types come from one write; the source is scanned once beside the count of its splits."""
+    from procspark.sources import tables
+
+    (tmp_path / "a.xes").write_text(document("prefixed", 30).replace("<x:trace>", '<x:trace><x:int key="size" value="5"/>', 9))
+    facts = tables.convert(spark, str(tmp_path / "a.xes"), str(tmp_path / "out"))
+    want = by_element_tree(document("prefixed", 30))
+    assert facts["cases"] == len(want) and facts["events"] == sum(len(e) for _, e in want)
+    assert "size: BIGINT" in facts["case_schema"] and "n: BIGINT" in facts["event_schema"]
+    raw, cases = xes.read(spark, str(tmp_path / "a.xes"))
+    what = ["case_id", "pos", "activity", "ts_s", "attrs"]
+    one, two = tables.load(spark, str(tmp_path / "out")), EventLog.build(raw, None, cases)
+    assert sorted(map(repr, one.events.select(what).collect())) == sorted(map(repr, two.events.select(what).collect()))
+    assert sorted(map(repr, one.cases.select("case_id", "attrs").collect())) == sorted(map(repr, two.cases.select("case_id", "attrs").collect()))
+    table = tables.case_table(spark, str(tmp_path / "out"))
+    assert dict(table.dtypes)["size"] == "bigint" and table.where("size = 5").count() == 9
+    plan = tables.typed_rows(spark, str(tmp_path / "a.xes"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and plan.count("FileScan") == 1
+
+
+def test_verify_names_lost_doubled_and_changed(spark, tmp_path):
+    rows = [(f"c{i}", f"A{k}", 100 * i + k, k, f"u{k}", 100 + k) for i in range(8) for k in range(3)]
+    raw = spark.createDataFrame(rows, "case_id string, activity string, ts_s long, arrival long, resource string, value_cents long")
+    log = EventLog.build(raw, log_id="v")
+    otlp.write(log, str(tmp_path / "o"))
+    lines = [json.loads(x.value) for x in spark.read.text(str(tmp_path / "o")).collect()]
+    for r in lines:
+        spans = r["resourceSpans"][0]["scopeSpans"][0]["spans"]
+        of = lambda c, seq, spans=spans: next(s for s in spans if {"key": "mb.case_id", "value": {"stringValue": c}} in s["attributes"] and {"key": "mb.seq", "value": {"intValue": str(seq)}} in s["attributes"])
+        spans.remove(of("c0", 1))
+        spans.append(of("c1", 2))
+        a, b = of("c2", 0), of("c2", 1)
+        for s, name in ((a, "A1"), (b, "A0")):
+            s["name"] = name
+            next(x for x in s["attributes"] if x["key"] == "mb.activity")["value"] = {"stringValue": name}
+        for s in (x for x in [of("c3", 1)]):
+            s["startTimeUnixNano"] = s["endTimeUnixNano"] = "7000000000"
+        spans[:] = [s for s in spans if {"key": "mb.case_id", "value": {"stringValue": "c4"}} not in s["attributes"]]
+    (tmp_path / "bad.txt").write_text("\n".join(map(json.dumps, lines)))
+    got = {r.problem: r.n for r in otlp.verify(spark, str(tmp_path / "bad.txt"), log).collect()}
+    assert got == {"event missing": 1, "event stands twice": 1, "sequence differs": 1, "times differ": 1, "case missing": 1, "span id isn't its event's": 2}
+    events, _ = otlp._of_spans(otlp.read_spans(spark, str(tmp_path / "o")))
+    same = otlp.conserved_totals(log, events).first()
+    assert (same.log_events, same.log_cents, same.log_ties) == (same.export_events, same.export_cents, same.export_ties) == (24, 2424, 0)
+
+
+def test_first_duplicates(spark):
+    import datetime as dt
+    import random
+
+    from procspark.operators import controls
+    from procspark.policy import Policy
+
+    rng = random.Random(2)
+    policy = Policy(duplicate_invoice_window_days=10, duplicate_invoice_value_tolerance_eur=1)
+    day = dt.date(2024, 1, 1)
+    rows = [(i, f"v{i % 3}", rng.randrange(0, 6000), day + dt.timedelta(rng.randrange(0, 200))) for i in range(1500)]
+    rows += [(5000 + i, "hot", 777, day) for i in range(3000)] + [(9000, "v0", None, day), (9001, "v0", 5, None)]
+    df = spark.createDataFrame(rows, "invoice_id long, vendor_id string, value_cents long, invoice_date date").repartition(5)
+    want = {}
+    for i, v, c, d in rows[:1500]:
+        near = [j for j, w, e, f in rows[:1500] if w == v and j < i and abs(c - e) <= 100 and abs((d - f).days) <= 10]
+        if near:
+            want[i] = min(near)
+    want |= {5000 + i: 5000 for i in range(1, 3000)}
+    got = controls.first_duplicates(df, policy).collect()
+    assert {r.invoice_id: r.duplicate_of for r in got} == want and len(got) == len(want) > 3100
