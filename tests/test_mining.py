@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from procspark import cli
 from procspark.operators import checks, controls, dfg, filters, rules, spans, variants
-from procspark.operators.eventlog import EventLog, canonical, merge_case_attributes
+from procspark.operators.eventlog import EventLog, by_case, canonical, merge_case_attributes
 from procspark.policy import Policy
 from procspark.sources import csv, jsonl, otlp, store, viz, xes
 
@@ -317,6 +317,7 @@ def test_streams(spark, tmp_path):
     from procspark.operators.eventlog import raw_events
     from procspark.streaming import incremental
 
+    incremental.use_rocksdb(spark)
     raw = raw_events(raw_of(spark, CASES)).select([f.name for f in COLUMNS.fields])
     later = raw.limit(1).withColumns({"case_id": F.lit("late"), "ts_s": F.lit(2_000_000_000).cast("bigint")})
     for i, df in enumerate((raw, later, later.withColumn("ts_s", F.col("ts_s") + 10**6))):
@@ -333,6 +334,41 @@ def test_streams(spark, tmp_path):
     assert sum(counts.values()) == raw.count() + 2
 
 
+def test_edges_follow_late_events(spark, data, tmp_path):
+    """Shuffled and repeated files give the graph of a batch over all of them, at every step of the stream."""
+    from procspark.operators.eventlog import raw_events
+    from procspark.plans import views
+    from procspark.schema import RAW as COLUMNS
+    from procspark.streaming import incremental
+
+    incremental.use_rocksdb(spark)
+    raw = raw_events(views.events_raw(spark, data)).select([f.name for f in COLUMNS.fields]).where(F.xxhash64("case_id") % 4 == 0)
+    parts = raw.withColumn("part", F.pmod(F.xxhash64("arrival"), F.lit(3))).cache()
+    progress = incremental.Progress()
+    spark.streams.addListener(progress)
+    total = None
+    try:
+        for step in (2, 0, 1, 0):
+            more = parts.where(F.col("part") == step).drop("part")
+            more.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            total = more if total is None else total.unionByName(more)
+            changes = incremental.edge_changes(incremental.read_arriving(spark, str(tmp_path / "in")), views.RANKS, "1000 days")
+            q = changes.writeStream.format("parquet").option("path", str(tmp_path / "out")).queryName("edges").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            q.awaitTermination(240)
+            assert q.exception() is None
+            got = {(r.src, r.dst): r.n for r in incremental.live_edges(spark.read.parquet(str(tmp_path / "out"))).collect()}
+            batch = canonical(total, views.RANKS)
+            nxt = batch.withColumn("dst", F.lead("activity").over(by_case())).where("dst is not null").groupBy("activity", "dst").count()
+            assert got == {(r.activity, r.dst): r["count"] for r in nxt.collect()}
+        taken = spark.read.parquet(str(tmp_path / "out")).where("delta < 0").count()
+        assert taken > 0
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        assert sum(b["rows"] for b in progress.batches) == total.count() and not progress.failed
+    finally:
+        spark.streams.removeListener(progress)
+        parts.unpersist()
+
+
 def test_typed_helpers(spark):
     from procspark.functions import expr
 
