@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions.expr import activity_rank, share
 from .eventlog import EventLog, by_case, canonical
+from ..session import cut
 from .ranking import before, by_ranges
 
 #: Shares of cases for which the coverage curve counts variants.
@@ -67,15 +68,18 @@ def variant_table(log: EventLog, examples: int = 3) -> DataFrame:
     """Variants by rank: share, cumulative share, the first cases, and the upper median of durations.
 
     Variants are ranked by their count, and among equal counts by ranges of their first case; a common variant's cases
-    are cut to the first ones before they meet, and its median comes from counts.
+    are cut to the first ones before they meet, and its median comes from counts.  Equal sequences are told by 128 bits of hash.
     """
-    seq = sequences(log.events)
-    counts = seq.groupBy("variant").agg(F.count("*").alias("n"), F.min("case_id").alias("first_case"))
+    # Written once, with 128 bits of hash in place of the sequence: nothing is ordered again or joined by long arrays.
+    whole = cut(sequences(log.events).withColumn("key", F.struct(F.xxhash64("variant").alias("a"), F.xxhash64(F.lit(1), "variant").alias("b"))), "sequences")
+    seq = whole.select(F.col("key").alias("variant"), "case_id", "duration_s")
+    counts = cut(seq.groupBy("variant").agg(F.count("*").alias("n"), F.min("case_id").alias("first_case")), "counts")
     nth = F.row_number().over(W.partitionBy("variant").orderBy("case_id"))
     few = seq.select("variant", "case_id", nth.alias("i")).where(F.col("i") <= examples)
     few = few.groupBy("variant").agg(F.array_sort(F.collect_list("case_id")).alias("examples"))
     ranked = before(by_ranges(counts, "first_case"), ["n"], "_part", ["first_case"], {"k": F.lit(1)}).drop("_part").join(_levels(counts), "n")
-    table = ranked.join(few, "variant").join(medians(seq), "variant")
+    table = ranked.join(few, "variant").join(medians(seq), "variant").drop("variant")
+    table = table.join(whole.select(F.col("case_id").alias("first_case"), "variant"), "first_case")
     return table.select(
         (F.col("v0") + F.col("k") + 1).cast("int").alias("variant_rank"), "variant", "n", (F.col("n") / F.col("total")).alias("case_share"),
         ((F.col("c0") + (F.col("k") + 1) * F.col("n")) / F.col("total")).alias("cumulative_share"), "examples", "median_s",
