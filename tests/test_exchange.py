@@ -216,3 +216,22 @@ def test_first_duplicates(spark):
     want |= {5000 + i: 5000 for i in range(1, 3000)}
     got = controls.first_duplicates(df, policy).collect()
     assert {r.invoice_id: r.duplicate_of for r in got} == want and len(got) == len(want) > 3100
+
+
+def test_records_are_numbered_without_a_shuffle_of_texts(spark, tmp_path):
+    """Whatever the size of the files: the counts of splits are sent to the records, not the records to the counts."""
+    from procspark.sources.places import numbered
+
+    spark.range(300).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("value")).coalesce(1).write.text(str(tmp_path / "t"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        df = numbered(spark.read.text(str(tmp_path / "t")))
+        got = {r.value: r.ordinal for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {f"line {i}": i for i in range(300)}
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
