@@ -59,11 +59,15 @@ def disclosure(full: EventLog, sample: EventLog) -> DataFrame:
     return wide.select("statistic", "name", "in_log", share("in_log").alias("log_share"), "in_sample", share("in_sample").alias("sample_share"))
 
 
-def findings_by_run(span_rows: DataFrame, runs: DataFrame, tools: Mapping[str, str], policy: Policy, attributes: DataFrame | None = None) -> DataFrame:
-    """What the rules find in each run's own business events, for all runs in one pass: ``run_id`` beside a violation.
+def _of_key(name: str) -> Column:
+    return F.get_json_object("case_id", f"$.{name}")
+
+
+def log_of_runs(span_rows: DataFrame, runs: DataFrame, tools: Mapping[str, str], policy: Policy, attributes: DataFrame | None = None) -> EventLog:
+    """Business events of all runs as one log, in which a case is an item within a run.
 
-    A case is an item within a run, so every window and aggregate of the rules stays within the run.  ``attributes``
-    has attributes of items.  A rule that can't be answered for a log is judged over all runs together.
+    ``attributes`` (case_id, attrs) has attributes of items, such as their flow; without it, rules for some flows have
+    nothing in scope, which ``findings_scope`` shows.
     """
     raw = spans.layered(span_rows, runs, "business", tools).withColumn("run_id", F.col("attrs")["run_id"])
     key = F.to_json(F.struct("run_id", F.col("case_id").alias("item_key")))
@@ -74,9 +78,36 @@ def findings_by_run(span_rows: DataFrame, runs: DataFrame, tools: Mapping[str, s
     else:
         cases = cases.select("case_id", F.create_map().cast("map<string,string>").alias("attrs"))
     log = EventLog.build(raw.drop("case_id", "run_id").withColumnRenamed("own", "case_id"), policy.activity_rank, cases)
-    found = rules.evaluate(replace(log, log_id="runs"), policy).violations
-    part = lambda name: F.get_json_object("case_id", f"$.{name}")
-    return found.select(part("run_id").alias("run_id"), part("item_key").alias("case_id"), "rule_id", "at_seq", "order_assumed", "summary", "detail")
+    return replace(log, log_id="runs")
+
+
+def findings_by_run(span_rows: DataFrame, runs: DataFrame, tools: Mapping[str, str], policy: Policy, attributes: DataFrame | None = None) -> DataFrame:
+    """What the rules find in each run's own business events, for all runs in one pass: ``run_id`` beside a violation.
+
+    A case is an item within a run, so every window and aggregate of the rules stays within the run, and a rule that
+    can't be answered for one run is off in that run alone.
+    """
+    log = log_of_runs(span_rows, runs, tools, policy, attributes)
+    found = rules.evaluate(log, policy, part=_of_key("run_id")).violations
+    return found.select(
+        _of_key("run_id").alias("run_id"), _of_key("item_key").alias("case_id"), "rule_id", "at_seq", "order_assumed", "summary", "detail"
+    )
+
+
+def findings_scope(span_rows: DataFrame, runs: DataFrame, tools: Mapping[str, str], policy: Policy, attributes: DataFrame | None = None) -> DataFrame:
+    """``(run_id, rule_id, in_scope, violations, status)`` for each run with business events and each rule.
+
+    The status tells a rule that found nothing (``evaluated``) from one without any case to look at (``nothing in
+    scope``) and from one that the run's events can't answer (``not applicable``).
+    """
+    log = log_of_runs(span_rows, runs, tools, policy, attributes)
+    run = _of_key("run_id")
+    got = rules.evaluate(log, policy, part=run)
+    found = got.violations.groupBy(run.alias("part"), "rule_id").agg(F.count("*").alias("violations"))
+    off = got.not_applicable.select("part", "rule_id", F.lit(True).alias("off"))
+    df = rules.scoped(log, policy, run).join(found, ["part", "rule_id"], "left").join(off, ["part", "rule_id"], "left")
+    status = F.when(F.col("off"), "not applicable").when(F.col("in_scope") == 0, "nothing in scope").otherwise("evaluated")
+    return df.select(F.col("part").alias("run_id"), "rule_id", "in_scope", F.coalesce("violations", F.lit(0)).alias("violations"), status.alias("status"))
 
 
 def milliseconds(start: Column, end: Column) -> Column:

@@ -27,6 +27,8 @@ TITLES = {
     "CTRL-BLOCK": "a block is set before it is removed",
     "CTRL-DELETED": "a deleted item has no more financial events",
 }
+#: Rules that look only at cases of flows that need a receipt.
+_BY_FLOW = ("CTRL-GR", "CTRL-TOLERANCE")
 NOT_APPLICABLE = "the log holds one value for each case, so received and invoiced values can't be told apart"
 
 
@@ -154,7 +156,7 @@ RULES: dict[str, Rule] = {
 
 @dataclass(frozen=True)
 class Evaluation:
-    """``violations``, ``not_applicable(rule_id, first_case, reason)``, and what they were found in."""
+    """``violations``, ``not_applicable(rule_id, part, first_case, reason)``, and what they were found in."""
 
     violations: DataFrame
     not_applicable: DataFrame
@@ -164,18 +166,20 @@ class Evaluation:
     selected: tuple[str, ...]
 
 
-def evaluate(log: EventLog, policy: Policy, rule_ids: Iterable[str] | None = None) -> Evaluation:
+def evaluate(log: EventLog, policy: Policy, rule_ids: Iterable[str] | None = None, part: Column | None = None) -> Evaluation:
     """Run rules; an unknown one is an error.
 
     A rule is off from the first case (in order of id) that it can't be answered for; what it found in earlier cases
-    stays among the violations.
+    stays among the violations.  ``part``, an expression of ``case_id``, splits the log into parts that are judged one by
+    one, so that a rule that is off in one part stays on in the others.
     """
     selected = tuple(RULES) if rule_ids is None else tuple(rule_ids)
     if unknown := [r for r in selected if r not in RULES]:
         raise KeyError(f"no rule {unknown[0]!r}; there are {', '.join(RULES)}")
     facts = case_facts(log, policy)
-    off = facts.where(_comparable(policy) & ~F.col("distinct_values")).agg(F.min("case_id").alias("first_case"))
-    off = off.where("first_case is not null").select(F.lit("CTRL-TOLERANCE").alias("rule_id"), "first_case", F.lit(NOT_APPLICABLE).alias("reason"))
+    own = (F.lit("") if part is None else part).alias("part")
+    off = facts.where(_comparable(policy) & ~F.col("distinct_values")).groupBy(own).agg(F.min("case_id").alias("first_case"))
+    off = off.select(F.lit("CTRL-TOLERANCE").alias("rule_id"), "part", "first_case", F.lit(NOT_APPLICABLE).alias("reason"))
     found = None
     for rule_id in selected:
         one = RULES[rule_id](log, facts, policy)
@@ -184,12 +188,21 @@ def evaluate(log: EventLog, policy: Policy, rule_ids: Iterable[str] | None = Non
         found = _violations(facts.where("false"), "", F.lit(0), F.lit(False), F.lit(""), {})
     if "CTRL-TOLERANCE" not in selected:
         off = off.where("false")
-    # One row for each rule at most.
-    kept = found.join(F.broadcast(off.select("rule_id", "first_case")), "rule_id", "left")
-    kept = kept.where("first_case is null or case_id < first_case").drop("first_case")
+    # One row for each rule at most where the log is one part; parts may be many.
+    stops = off.select("rule_id", "part", "first_case")
+    kept = found.select("*", own).join(F.broadcast(stops) if part is None else stops, ["rule_id", "part"], "left")
+    kept = kept.where("first_case is null or case_id < first_case").drop("first_case", "part")
     return Evaluation(kept, off, log, facts, policy, selected)
 
 
+def scoped(log: EventLog, policy: Policy, part: Column) -> DataFrame:
+    """``(part, rule_id, in_scope)``: how many cases of each part each rule looks at."""
+    needs = flow_of(F.col("attrs"), FLOW).isin(list(policy.gr_required_flows))
+    sums = log.cases.groupBy(part.alias("part")).agg(F.count("*").alias("all_cases"), F.count_if(needs).alias("gr_cases"))
+    one = lambda r: F.struct(F.lit(r).alias("rule_id"), F.col("gr_cases" if r in _BY_FLOW else "all_cases").alias("in_scope"))
+    return sums.select("part", F.inline(F.array(*[one(r) for r in RULES])))
+
+
 def report(got: Evaluation) -> DataFrame:
     """A row for each rule of the registry: evaluated or why not, violations, cases, scope, rate, examples.
 
@@ -205,9 +218,9 @@ def report(got: Evaluation) -> DataFrame:
     scope = got.log.cases.select(flow_of(F.col("attrs"), FLOW).isin(list(got.policy.gr_required_flows)).alias("gr")).agg(
         F.count("*").alias("all_cases"), F.count_if("gr").alias("gr_cases")
     )
-    df = rules.join(sums, "rule_id", "left").join(got.not_applicable.select("rule_id", "reason"), "rule_id", "left").crossJoin(scope)
+    df = rules.join(sums, "rule_id", "left").join(got.not_applicable.select("rule_id", "reason").distinct(), "rule_id", "left").crossJoin(scope)
     ran = F.col("selected") & F.col("reason").isNull()
-    in_scope = F.when(F.col("rule_id").isin("CTRL-GR", "CTRL-TOLERANCE"), F.col("gr_cases")).otherwise(F.col("all_cases"))
+    in_scope = F.when(F.col("rule_id").isin(*_BY_FLOW), F.col("gr_cases")).otherwise(F.col("all_cases"))
     n = lambda c: F.when(ran, F.coalesce(c, F.lit(0)))
     return df.select(
         "rule_id", "title", ran.alias("evaluated"),

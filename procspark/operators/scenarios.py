@@ -49,6 +49,29 @@ def problems(scenarios: DataFrame, actors: DataFrame, items: DataFrame, allowed:
     return single.union(ids).union(again.select("id", F.lit("opening message is not unique")))
 
 
+def unknown_references(scenarios: DataFrame, known: Mapping[str, DataFrame]) -> DataFrame:
+    """``(id, problem)`` for references to what isn't there: ``known`` gives, for a column, a table of its values.
+
+    Flows, policies, requirements and damaged cases are such columns.  All of them are looked up in one join.
+    A null refers to nothing; an empty text is a reference.
+    """
+    if not known:
+        return scenarios.select("id", F.lit("").alias("problem")).where("false")
+    pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in known])
+    asked = scenarios.select("id", F.inline(pairs)).where("value is not null")
+    there = None
+    for c, values in known.items():
+        one = values.select(F.lit(c).alias("kind"), F.col(values.columns[0]).cast("string").alias("value"))
+        there = one if there is None else there.union(one)
+    return asked.join(there, ["kind", "value"], "left_anti").select("id", F.concat("kind", F.lit(" is not known")).alias("problem"))
+
+
+def misplaced(scenarios: DataFrame, damaged: str = "data_quality_case_id", group: str = "scenario_group", allowed: str = "challenge") -> DataFrame:
+    """``(id, problem)`` of scenarios over a damaged record that stand outside the group for such."""
+    out = F.col(damaged).isNotNull() & ~F.col(group).eqNullSafe(F.lit(allowed))
+    return scenarios.where(out).select("id", F.lit("a damaged record outside its group").alias("problem"))
+
+
 def pending(scenarios: DataFrame, results: DataFrame) -> DataFrame:
     """Scenarios without a completed result."""
     done = results.where("status = 'completed'").select(F.col("scenario_id").alias("id")).distinct()

@@ -129,6 +129,11 @@ def rework_by_activity(log: EventLog) -> DataFrame:
     return rework(log).groupBy("activity").agg(F.sum("repeats").alias("repeats"), F.count("*").alias("cases"))
 
 
+def top_rework(log: EventLog, k: int = 5) -> DataFrame:
+    """The ``k`` activities that are repeated most, by name where they tie; beside ``summary``."""
+    return rework_by_activity(log).orderBy(F.desc("repeats"), "activity").limit(k)
+
+
 def rework_ratio(log: EventLog) -> DataFrame:
     """Repeats as a share of all events, and the share of cases that have any."""
     per_case = log.events.groupBy("case_id", "activity").agg(F.count("*").alias("n")).groupBy("case_id").agg(

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, controls, dfg, reports, scenarios
+from ..operators import checks, controls, dfg, reports, scenarios, variants
 from ..operators import spans as sp
 from ..policy import Policy
 from ..schema import FLOW
 from ..sources import csv
-from .catalogue import _EV_PAIRS, _VARIANTS, SQL, query
+from .catalogue import _BLK, _DEL, _EV_PAIRS, _FACTS, _GR, _TOL, _VARIANTS, SQL, query
 from .views import EVENTS_RAW, EVENTS_SQL, ITEMS_SQL, POLICY, SPANS_SQL, TOOLS, events_log, events_raw, items, runs, spans, table
 
 # Logs
@@ -60,6 +60,21 @@ def table_cross_check(s, d):
     return csv.cross_check(ours, ours.where("activity not in ('error', 'view')"))
 
 
+@query(
+    """SELECT case_id, CASE WHEN a.n IS NULL THEN 'only theirs' WHEN b.n IS NULL THEN 'only ours' ELSE 'other number of rows' END AS problem, coalesce(a.n, 0) AS our_rows, coalesce(b.n, 0) AS their_rows
+FROM (SELECT case_id, count(*) AS n FROM er WHERE rnk <> 20 GROUP BY 1) a FULL JOIN (SELECT case_id, count(*) AS n FROM er WHERE activity <> 'error' AND rnk <> 10 GROUP BY 1) b USING (case_id) WHERE a.n IS DISTINCT FROM b.n""",
+    EVENTS_RAW,
+)
+def table_differences(s, d):
+    ours = events_raw(s, d)
+    return csv.differing_cases(ours.where("activity <> 'click'"), ours.where("activity not in ('error', 'view')"))
+
+
+@query("SELECT activity, CAST(sum(n - 1) AS BIGINT) AS repeats, count(*) AS cases FROM (SELECT case_id, activity, count(*) AS n FROM ev GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1 ORDER BY repeats DESC, activity LIMIT 3", EVENTS_SQL)
+def top_rework_activities(s, d):
+    return variants.top_rework(events_log(s, d), 3)
+
+
 # Spans
 
 
@@ -88,6 +103,50 @@ def findings_by_run(s, d):
     return reports.findings_by_run(spans(s, d), runs(s, d), TOOLS, _DUTIES).select("run_id", "case_id", "rule_id")
 
 
+#: Events as spans of agents: a run is a day, an item a user, so a case is a user's day; what the rules find in each run.
+_FOUND = f"""nr AS (SELECT split_part(case_id, '_', 2) AS run, min(split_part(case_id, '_', 1)) AS c FROM fa
+  WHERE flow IN ('flow0', 'flow1') AND receipt_cents IS NOT NULL AND invoice_cents IS NOT NULL AND NOT distinct_values GROUP BY 1),
+fo AS (SELECT split_part(case_id, '_', 2) AS run, split_part(case_id, '_', 1) AS item, rule_id, at_seq, order_assumed FROM ({_GR} UNION ALL {_TOL.replace("FROM fa, na", "FROM fa").replace(" AND (c IS NULL OR case_id < c)", "")}
+  UNION ALL SELECT case_id, CAST(min(pos) FILTER (activity = 'purchase') AS INTEGER), false, 'CTRL-SOD' FROM ev GROUP BY 1 HAVING bool_or(activity = 'purchase') AND bool_or(activity = 'view')
+  UNION ALL SELECT case_id, CAST(min(pos) FILTER (activity = 'purchase') AS INTEGER), false, 'CTRL-SOD' FROM ev GROUP BY 1 HAVING bool_or(activity = 'purchase') AND bool_or(activity = 'click')
+  UNION ALL {_BLK} UNION ALL {_DEL})),
+ff AS (SELECT fo.* FROM fo LEFT JOIN nr USING (run) WHERE rule_id <> 'CTRL-TOLERANCE' OR c IS NULL OR item < c)"""
+_DONE = {x: x for x in ("view", "click", "purchase", "error", "signup")}
+
+
+def _agents(s, d):
+    """Spans, runs and attributes of items, from events."""
+    e = events_raw(s, d)
+    item, day = F.substring_index("case_id", "_", 1), F.substring_index("case_id", "_", -1)
+    rows = e.select(
+        F.col("arrival").cast("string").alias("span_id"), day.alias("run_id"), F.lit("tool").alias("kind"), F.col("activity").alias("name"), F.col("arrival").alias("step"),
+        F.timestamp_seconds("ts_s").alias("started_at"), F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"), item.alias("item_key"), "value_cents",
+        F.lit('{"result":{}}').alias("attributes"), "case_attrs",
+    )
+    about = [F.lit(x).alias(x) for x in ("actor_id", "role", "model", "prompt_version", "scenario_id", "killswitch")]
+    flows = rows.groupBy(F.col("item_key").alias("case_id")).agg(F.min(F.col("case_attrs")[FLOW]).alias("flow"))
+    attributes = flows.select("case_id", F.create_map(F.lit(FLOW), "flow").alias("attrs"))
+    return rows, rows.select("run_id").distinct().select("run_id", *about), attributes
+
+
+@query("SELECT run AS run_id, item AS case_id, rule_id, at_seq, order_assumed FROM ff", EVENTS_SQL, _FACTS, _FOUND)
+def findings_of_all_rules(s, d):
+    rows, who, attributes = _agents(s, d)
+    return reports.findings_by_run(rows, who, _DONE, POLICY, attributes).drop("summary", "detail")
+
+
+@query(
+    """SELECT run_id, rule_id, in_scope, coalesce(n, 0) AS violations, CASE WHEN rule_id = 'CTRL-TOLERANCE' AND run_id IN (SELECT run FROM nr) THEN 'not applicable' WHEN in_scope = 0 THEN 'nothing in scope' ELSE 'evaluated' END AS status
+FROM (SELECT split_part(case_id, '_', 2) AS run_id, rule_id, count(*) FILTER (rule_id NOT IN ('CTRL-GR', 'CTRL-TOLERANCE') OR flow IN ('flow0', 'flow1')) AS in_scope
+  FROM ca, (VALUES ('CTRL-GR'), ('CTRL-TOLERANCE'), ('CTRL-SOD'), ('CTRL-BLOCK'), ('CTRL-DELETED')) r(rule_id) GROUP BY 1, 2)
+LEFT JOIN (SELECT run AS run_id, rule_id, count(*) AS n FROM ff GROUP BY 1, 2) USING (run_id, rule_id)""",
+    EVENTS_SQL, _FACTS, _FOUND,
+)
+def findings_scope(s, d):
+    rows, who, attributes = _agents(s, d)
+    return reports.findings_scope(rows, who, _DONE, POLICY, attributes)
+
+
 @query(
     """SELECT run_id AS trace_id, count(*) AS observations, round(CAST((max(t) + 30) * 1000 - min(t) * 1000 AS DOUBLE) / 1000, 2) AS seconds FROM sp GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 10""",
     SPANS_SQL,
@@ -253,6 +312,31 @@ def scenario_problems(s, d):
     return found.groupBy("id", "problem").agg(F.count("*").alias("n"))
 
 
+#: Orders as scenarios whose flow, policy and damaged case refer to priorities, customers and line items.
+_REFERENCES = """rf AS (SELECT o_orderkey AS id, o_orderpriority AS flow, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS policy, CASE WHEN o_orderkey % 5 = 0 THEN CAST(o_orderkey AS VARCHAR) END AS dq,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'challenge' END AS grp FROM orders)"""
+
+
+@query(
+    """SELECT id, 'flow is not known' AS problem FROM rf WHERE flow IS NOT NULL AND flow NOT IN (SELECT o_orderpriority FROM orders WHERE o_orderpriority > '2')
+UNION ALL SELECT id, 'applicable_policy is not known' FROM rf WHERE policy IS NOT NULL AND policy NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+UNION ALL SELECT id, 'data_quality_case_id is not known' FROM rf WHERE dq IS NOT NULL AND dq NOT IN (SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_returnflag = 'R')
+UNION ALL SELECT id, 'a damaged record outside its group' FROM rf WHERE dq IS NOT NULL AND grp IS NULL""",
+    _REFERENCES,
+)
+def scenario_references(s, d):
+    o, k = table(s, d, "orders"), F.col("o_orderkey")
+    rows = o.select(
+        k.alias("id"), F.col("o_orderpriority").alias("flow"), F.when(k % 3 > 0, F.col("o_custkey")).alias("applicable_policy"), F.when(k % 5 == 0, k).alias("data_quality_case_id"),
+        F.when(k % 2 == 0, "challenge").alias("scenario_group"),
+    )
+    known = {
+        "flow": o.where("o_orderpriority > '2'").select("o_orderpriority").distinct(), "applicable_policy": o.where("o_orderstatus = 'P'").select("o_custkey").distinct(),
+        "data_quality_case_id": table(s, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey").distinct(),
+    }
+    return scenarios.unknown_references(rows, known).union(scenarios.misplaced(rows))
+
+
 @query("SELECT id, count(*) AS n FROM sc WHERE id NOT IN (SELECT concat('sc', l_orderkey // 2) FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1", _SCENARIOS)
 def scenarios_pending(s, d):
     status = F.when(F.col("l_returnflag") == "R", "completed").otherwise("failed")

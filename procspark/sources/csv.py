@@ -15,19 +15,44 @@ from .places import numbered
 #: The canonical columns of an event file, and those of a three-column file.
 COLUMNS = {k: k for k in ("case_id", "activity", "timestamp", "resource", "value_cents", "precision", "attributes")}
 HELPDESK = {"case_id": "CaseID", "activity": "ActivityID", "timestamp": "CompleteTimestamp"}
-_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?([+-]\d{2}:?\d{2})?)?$"
+#: ISO dates (of the calendar or of weeks, with hyphens or without), then any one character and a time with its offset.
+_DATE = r"(?:(\d{4})-(\d\d)-(\d\d)|(\d{4})(\d\d)(\d\d)|(\d{4})-W(\d\d)(?:-(\d))?|(\d{4})W(\d\d)(\d)?)"
+_CLOCK = r"(?:(\d\d)(?::(\d\d)(?::(\d\d)(?:[.,](\d+))?)?)?|(\d\d)(\d\d)(?:(\d\d)(?:[.,](\d+))?)?)"
+_OFFSET = r"(?:([+-])(\d\d)(?::?(\d\d)(?::?(\d\d)(?:[.,]\d+)?)?)?)"
+#: The common form without an offset, which needs no taking apart.
+_PLAIN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
+_ISO = rf"^{_DATE}(?:.{_CLOCK}{_OFFSET}?)?$"
+
+
+def iso_time(text: Column) -> tuple[Column, Column]:
+    """Seconds since 1970 of the local time that an ISO text names, as a timestamp, and its offset in seconds; null if it isn't one."""
+    part = lambda *at: F.coalesce(*[F.nullif(F.regexp_extract(text, _ISO, i), F.lit("")) for i in at])
+    number = lambda *at: part(*at).cast("int")
+    zero = lambda *at: F.coalesce(part(*at), F.lit("00"))
+    year, week, day = number(7, 10), number(8, 11), F.coalesce(number(9, 12), F.lit(1))
+    first = F.date_trunc("week", F.concat(part(7, 10), F.lit("-01-04")).try_cast("date")).cast("date")
+    shifted = F.date_add(first, (week - 1) * 7 + day - 1)
+    # A week belongs to the year of its Thursday.
+    there = (week >= 1) & day.between(1, 7) & (F.year(F.date_add(first, (week - 1) * 7 + 3)) == year)
+    date = F.coalesce(F.concat_ws("-", part(1, 4), part(2, 5), part(3, 6)).try_cast("date"), F.when(there, shifted))
+    clock = F.concat(zero(13, 17), F.lit(":"), zero(14, 18), F.lit(":"), zero(15, 19), F.lit("."), F.substring(zero(16, 20), 1, 6))
+    local = F.when(text.rlike(_ISO), F.try_to_timestamp(F.concat(date.cast("string"), F.lit("T"), clock, F.lit("Z"))))
+    seconds = zero(22).cast("int") * 3600 + zero(23).cast("int") * 60 + zero(24).cast("int")
+    return local, F.when(part(21) == "-", -seconds).otherwise(seconds)
 
 
 def parse_time(text: Column, layouts: tuple[str, ...] = ()) -> tuple[Column, Column]:
-    """Time and precision of an ISO text: UTC unless it has an offset; a date, or midnight, has the precision of a day.
+    """Time and precision of an ISO text: UTC unless it has an offset; a date, or midnight where it was written, has the precision of a day.
 
-    ``layouts`` are further ones, tried in order; by default there are none.
+    Extended, basic and week forms are read.  ``layouts`` are further ones, tried in order; by default there are none.
     """
     clean = F.regexp_replace(F.trim(text), "Z$", "")
-    iso = F.when(clean.rlike(_ISO), F.try_to_timestamp(clean))
+    plain, (local, offset) = clean.rlike(_PLAIN), iso_time(clean)
+    local, offset = F.when(plain, F.try_to_timestamp(clean)).otherwise(local), F.when(plain, 0).otherwise(offset)
+    iso = F.timestamp_micros(F.unix_micros(local) - offset.cast("bigint") * 1_000_000)
     ts = F.coalesce(iso, *[F.try_to_timestamp(clean, F.lit(x)) for x in layouts])
-    midnight = (F.hour(ts) == 0) & (F.minute(ts) == 0) & (F.second(ts) == 0)
-    return ts, F.when(midnight, DAY).otherwise(SECOND)
+    day_seconds = F.pmod(F.unix_seconds(F.coalesce(local, ts)), F.lit(86400))
+    return ts, F.when((day_seconds == 0) | (F.length(clean) <= 10), DAY).otherwise(SECOND)
 
 
 def read_events(
@@ -135,6 +160,19 @@ def cross_check(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     )
 
 
+def differing_cases(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """``(case_id, problem, our_rows, their_rows)`` of each case that only one table has, or that differs in its rows.
+
+    Both tables are grouped before they meet, so a case is one row on each side.
+    """
+    one = ours.groupBy("case_id").agg(F.count("*").alias("a"))
+    two = theirs.groupBy("case_id").agg(F.count("*").alias("b"))
+    both = one.join(two, "case_id", "full_outer").where("not a <=> b")
+    problem = F.when(F.col("b").isNull(), "only ours").when(F.col("a").isNull(), "only theirs").otherwise("other number of rows")
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    return both.select("case_id", problem.alias("problem"), zero("a", "our_rows"), zero("b", "their_rows"))
+
+
 def case_column(columns: list[str]) -> str:
     """The column that holds the case, most specific name first."""
     low = {c.lower().strip(): c for c in columns}
