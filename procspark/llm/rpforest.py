@@ -19,8 +19,11 @@ from .components import components
 
 LEAST_COSINE = 0.98
 TREES = 8
-#: Vectors within this distance of a split, on unit vectors' projections, go to both sides.
-SPILL = 0.02
+#: Vectors near a split go to both sides: within so much of the length by which two vectors of the least cosine differ,
+#: as a random direction shows it.
+SPILL = 0.8
+#: Where splits are many, the spill is narrower, so that a tree makes about so many copies of a vector, whatever its depth.
+TREE_COPIES = 4.5
 #: Vectors of one label in a leaf, about.
 LEAF_ROWS = 64
 #: The splits of each dimension are set from so many vectors at most.
@@ -29,14 +32,28 @@ SAMPLE_ROWS = 16_384
 LEAST_SAMPLED = 3
 #: A leaf with more vectors is compared in pairs of blocks of about so many.
 BLOCK_ROWS = 1_024
+#: A vector is common if it is more than one row in so many, hence there are fewer common vectors than that.
+HOT = 1_000
+SALTS = 64
 SEED = 7
 
 
+def spill(dimensions: int, depth: int) -> float:
+    """How far from a split a unit vector may be projected and still go to both sides.
+
+    A difference of length r shows as r / sqrt(dimensions) on a random direction, and so does a unit vector as
+    1 / sqrt(dimensions): a spill of s / sqrt(dimensions) sends about 0.8 * s of all vectors to both sides of a split.
+    """
+    differ = np.sqrt(2 * (1 - LEAST_COSINE))
+    return float(min(SPILL * differ, np.log(TREE_COPIES) / max(1, depth) / 0.8) / np.sqrt(dimensions))
+
+
 class Tree:
     """Random directions, one for each level, and a threshold for each node; below the levels that the sample can set, nodes share those of their ancestor."""
 
     def __init__(self, directions: np.ndarray, thresholds: list[np.ndarray], known: int):
         self.directions, self.thresholds, self.known = directions, thresholds, known
+        self.spill = spill(directions.shape[1], len(thresholds))
 
     @classmethod
     def grow(cls, sample: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
@@ -64,7 +81,7 @@ class Tree:
         for level, (direction, cut) in enumerate(zip(self.directions, self.thresholds, strict=True)):
             off = (x @ direction)[row] - cut[node >> max(0, level - self.known)]
             deep = depth[row] > level
-            left, right = ~deep | (off <= SPILL), deep & (off > -SPILL)
+            left, right = ~deep | (off <= self.spill), deep & (off > -self.spill)
             node = np.concatenate([np.where(deep[left], node[left] * 2, node[left]), node[right] * 2 + 1])
             row = np.concatenate([row[left], row[right]])
         return row, node
@@ -82,6 +99,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def earlier(rows: np.ndarray, leaf: np.ndarray) -> pa.ListArray:
+    """For each place of a vector, the leaves of the same vector before it; both arrays come in order of row and leaf."""
+    starts = np.flatnonzero(np.diff(rows, prepend=-1))
+    start = np.repeat(starts, np.diff(starts, append=len(rows)))
+    n = np.arange(len(rows)) - start
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = np.arange(ends[-1]) - np.repeat(ends[:-1], n) + np.repeat(start, n)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(leaf[at]))
+
+
 def _route(trees: list[Tree], kind: str):
     def route(batch: pa.RecordBatch) -> dict[str, object]:
         x, depth = unit(_matrix(batch.column(2), kind)), np.asarray(batch.column(4))
@@ -91,11 +118,10 @@ def _route(trees: list[Tree], kind: str):
         rows = np.concatenate([r for r, _ in found])
         leaf = np.concatenate([node + (k << 40) for k, (_, node) in enumerate(found)])
         order = np.lexsort((leaf, rows))
-        counts = np.bincount(rows, minlength=len(x))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(leaf[order]))
+        rows, leaf = rows[order], leaf[order]
         at = pa.array(rows)
         own = {n: batch.column(i).take(at) for i, n in enumerate(("label", "least", "v", "copies"))}
-        return {"leaf": pa.array(leaf)} | own | {"leaves": lists.take(at)}
+        return {"leaf": pa.array(leaf)} | own | {"leaves": earlier(rows, leaf)}
 
     return route
 
@@ -109,7 +135,7 @@ def _pack(kind: str):
 
 
 def met_before(lists: pa.ListArray, leaf: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether rows ``a`` and rows ``b`` share a leaf that comes before ``leaf``."""
+    """Whether rows ``a`` and rows ``b`` share a leaf that comes before ``leaf``; lists may hold earlier leaves alone."""
     row = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
     each = np.asarray(lists.flatten())
     row, each = row[each < leaf], each[each < leaf]
@@ -204,7 +230,7 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     routed = []
     if flat := sorted(w for w, depth in depths.items() if not depth):
         leaf = width.cast("bigint")
-        whole = distinct.where(width.isin(flat)).select(leaf.alias("leaf"), "label", "least", "v", "copies", F.array(leaf).alias("leaves"))
+        whole = distinct.where(width.isin(flat)).select(leaf.alias("leaf"), "label", "least", "v", "copies", F.array().cast("array<bigint>").alias("leaves"))
         routed.append(whole)
     for w, depth in sorted(depths.items()):
         if not depth:
@@ -230,9 +256,15 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     whole = whole.join(member.withColumnRenamed("node", "least"), "least", "left").withColumn("component", F.coalesce("component", "least"))
     roots = whole.groupBy("component").agg(F.min("vec").alias("root"))
     whole = whole.join(roots, "component").select(
-        "label", "v", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("root").alias("component_id")
+        "label", "v", "copies", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("root").alias("component_id")
     )
-    linked = packed.join(whole, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    # Rows of common vectors, of which there are HOT at most, are dealt to SALTS tasks.
+    total = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first().n
+    common = F.col("copies") * HOT > total
+    hot = F.broadcast(distinct.where(common).select("label", "v", F.lit(True).alias("hot")))
+    salted = packed.join(hot, ["label", "v"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    spread = whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(common, SALTS - 1).otherwise(0))))
+    linked = salted.join(spread, ["label", "v", "salt"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~(usable("e") & F.col("label").isNotNull())).select(
         "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")
     )

@@ -667,6 +667,42 @@ def test_rpforest_recall_at_full_depth():
     assert met.mean() >= 0.99
 
 
+@pytest.mark.parametrize("dimensions", [64, 384, 768])
+@pytest.mark.parametrize("depth", [8, 12, 20])
+def test_rpforest_copies_and_recall(dimensions, depth):
+    """Copies of a vector are bounded in every dimension and depth, and pairs of exactly the least cosine meet."""
+    rng = np.random.default_rng(dimensions)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    sample, one, off = (unit(rng.standard_normal((n, dimensions))) for n in (4096, 500, 500))
+    off = unit(off - (off * one).sum(axis=1, keepdims=True) * one)
+    other = one * rpforest.LEAST_COSINE + off * np.sqrt(1 - rpforest.LEAST_COSINE**2)
+    met, copies = np.zeros(500, bool), 0
+    for tree in [rpforest.Tree.grow(sample, depth, rng) for _ in range(rpforest.TREES)]:
+        (a, la), (b, lb) = tree.leaves(one), tree.leaves(other)
+        copies += len(a) / 500
+        met[np.intersect1d(a << 40 | la, b << 40 | lb) >> 40] = True
+    assert copies <= 40 and met.mean() >= 0.98
+
+
+def test_rpforest_common_vectors(spark, monkeypatch):
+    """Rows of a vector that makes up much of the table are dealt to many tasks, and their numbers stay whole."""
+    monkeypatch.setattr(rpforest, "HOT", 4)
+    rng = np.random.default_rng(2)
+    common, alone = rng.standard_normal(8).tolist(), rng.standard_normal((20, 8)).tolist()
+    rows_ = [(i, common, 1) for i in range(100)] + [(100 + i, v, 1) for i, v in enumerate(alone)] + [(None, common, 1), (None, common, None), (500, common, 2)]
+    out = rpforest.near_vectors(spark.createDataFrame(rows_, "vec_id long, embedding array<float>, label int")).collect()
+    got = sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, r.component_id, r.kept) for r in out)
+    want = [(i, 100, 0, i == 0) for i in range(100)] + [(i, 0, i, True) for i in (*range(100, 120), 500)]
+    assert [g for g in got if g[0] >= 0] == want
+    assert sorted(g[1:] for g in got if g[0] < 0 and g[2] is not None) == [(100, 0, False)] and sum(g[0] < 0 for g in got) == 2
+
+
+def test_rpforest_earlier_leaves():
+    rows_, leaf = np.array([0, 0, 0, 2, 5, 5]), np.array([3, 4, 9, 1, 7, 8])
+    assert rpforest.earlier(rows_, leaf).to_pylist() == [[], [3], [3, 4], [], [], [7]]
+    assert rpforest.earlier(rows_[:0], leaf[:0]).to_pylist() == []
+
+
 RUN = re.compile("[A-Za-z\u00C0-\u00FF]+")
 
 
