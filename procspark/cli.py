@@ -1,4 +1,4 @@
-"""Commands over a store: ingest, logs, summary, dfg, variants, rules, tie-breaks, otlp, otlp-verify, compare."""
+"""Commands over a store: logs (ingest, logs, summary, dfg, variants, rules, tie-breaks, otlp, otlp-verify, compare) and agents' runs (trace-*)."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import checks, dfg, filters, rules, variants
+from .operators import checks, dfg, filters, reports, reviews, rules, spans, variants
 from .operators.eventlog import EventLog
 from .policy import Policy
+from .schema import MESSAGES, RUNS, SPANS
 from .session import session
-from .sources import csv, otlp, store, tables, viz, xes
+from .sources import csv, jsonl, otlp, store, tables, viz, xes
 
 
 def _show(df: DataFrame, limit: int = 1000) -> None:
@@ -87,9 +88,53 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--as-log", required=True)
     c = command("compare")
     c.add_argument("other")
+    for name in ("trace-list", "trace-show", "trace-export", "trace-patterns"):
+        c = command(name, False)
+        c.add_argument("--agents", required=True, help="a folder with runs.jsonl, spans.jsonl and messages.jsonl")
+        c.add_argument("--write", action="append", default=[], metavar="TOOL=ACTIVITY", help="a tool that writes, and its activity")
+        if name == "trace-list":
+            c.add_argument("--sort", choices=["arrival", "retries", "multi-item", "refusals", "violations"], default="retries")
+            c.add_argument("--limit", type=int, default=30)
+        elif name == "trace-show":
+            c.add_argument("run", help="the beginning of a run's id")
+        elif name == "trace-export":
+            c.add_argument("--out", required=True)
+        else:
+            c.add_argument("--patterns", required=True)
+    c = command("trace-annotate", False)
+    c.add_argument("run")
+    c.add_argument("note")
+    c.add_argument("--author", default="human")
+    c.add_argument("--pattern")
     return p
 
 
+def _traces(spark: SparkSession, args: argparse.Namespace, policy: Policy) -> int:
+    """Commands on agents' runs; notes are kept in the store."""
+    notes = f"{args.store}/notes"
+    if args.command == "trace-annotate":
+        print(reviews.annotate(spark, notes, args.run, args.note, args.author, args.pattern))
+        return 0
+    runs, rows, said = (jsonl.read(spark, f"{args.agents}/{n}.jsonl", kind) for n, kind in (("runs", RUNS), ("spans", SPANS), ("messages", MESSAGES)))
+    tools = dict(w.split("=", 1) for w in args.write)
+    got = reviews.records(runs, rows, said, list(tools), reports.findings_by_run(rows, runs, tools, policy))
+    if args.command == "trace-list":
+        top = spans.review(got.withColumn("flags", reviews.flags()), args.sort)
+        _show(top.select("run_id", "scenario_id", "role", "tool_calls", "flags", "rules"), args.limit)
+    elif args.command == "trace-show":
+        one = got.where(F.col("run_id").startswith(args.run)).orderBy("run_id").limit(1).collect()
+        if not one:
+            print(f"no run begins with {args.run!r}", file=sys.stderr)
+            return 1
+        print(json.dumps(one[0].asDict(recursive=True), default=str, indent=1))
+        _show(reviews.read_notes(spark, notes).where(F.col("run_id") == one[0].run_id).orderBy("noted_at", "note_id"))
+    elif args.command == "trace-export":
+        jsonl.write(got, args.out)
+    else:
+        _show(reviews.pattern_report(got, reviews.read_notes(spark, notes), reviews.load_patterns(args.patterns)).orderBy("pattern"))
+    return 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = spark or session()
@@ -103,6 +148,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "tables":
         print(json.dumps(tables.convert(spark, args.from_xes, args.out), indent=1, sort_keys=True))
         return 0
+    if args.command.startswith("trace-"):
+        return _traces(spark, args, policy)
     if args.command == "logs":
         _show(store.logs(spark, args.store))
         return 0

@@ -222,3 +222,8 @@ def receipt_ladder(df: DataFrame, policy: Policy) -> DataFrame:
         .otherwise("recorded")
     )
     return df.withColumn("outcome", ladder)
+
+
+def with_context(items: DataFrame, orders: DataFrame, order_key: str, vendors: DataFrame, vendor_key: str) -> DataFrame:
+    """Items with their order and vendor: an item without its order is left out, one without its vendor has nulls."""
+    return items.join(orders, order_key).join(vendors, vendor_key, "left")

@@ -142,3 +142,8 @@ def next_number(rows: DataFrame, key: str, number: str, keys: DataFrame) -> Data
     """The number that each key gives next; 0 for a key without rows."""
     most = rows.groupBy(key).agg(F.max(number).alias("most"))
     return keys.select(key).distinct().join(most, key, "left").select(key, (F.coalesce("most", F.lit(-1)) + 1).alias("next"))
+
+
+def most_common(rows: DataFrame, name: Column, k: int) -> DataFrame:
+    """The ``k`` most frequent names, ties by name; each task keeps its own ``k`` rows only.  Null and empty names count as such."""
+    return rows.groupBy(name.alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(k)

@@ -803,4 +803,4 @@ def store_roundtrip(s, d):
 
 
 # More queries register themselves; they need the decorator above.
-from . import reports  # noqa: E402, F401
+from . import reports, reviews  # noqa: E402, F401

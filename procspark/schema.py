@@ -32,3 +32,8 @@ CASES = T.StructType(
 SECOND, DAY = "second", "day"
 #: The case attribute that says which matching flow a case follows.
 FLOW = "Item Category"
+
+#: Agents' runs, their spans and their messages, as JSON lines have them.
+RUNS = "run_id string, scenario_id string, actor_id string, role string, model string, prompt_version string, killswitch string, started_at timestamp"
+SPANS = "span_id string, run_id string, kind string, name string, step long, started_at timestamp, ok boolean, error string, item_key string, activity string, value_cents long, attributes string"
+MESSAGES = "run_id string, message_id long, role string, content string"

@@ -11,10 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from ..functions.expr import resource_kind
 from ..operators.eventlog import EventLog
+from ..operators.names import dictionary
 from ..operators.ranking import before, by_ranges
 from ..operators.variants import variant_counts
 
@@ -24,12 +24,6 @@ OBJECTS = T.StructType([T.StructField(n, T.StringType()) for n in ("log_id", "ob
 EVENT_OBJECTS = T.StructType([T.StructField("log_id", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("object_id", T.StringType())])
 
 
-def _first_seen(events: DataFrame, column: str, name: str) -> DataFrame:
-    """Names with numbers in the order in which they are first seen; the window runs over names."""
-    got = events.groupBy(F.col(column).alias("name")).agg(F.min("seq").alias("first"), F.count("*").alias("n"))
-    return got.select((F.row_number().over(W.orderBy("first")) - 1).alias(name), "name", "n")
-
-
 def save(log: EventLog, path: str) -> None:
     """Write a log; another one with its id is replaced, by its row in ``logs``, once all tables are written.
 
@@ -45,8 +39,8 @@ def save(log: EventLog, path: str) -> None:
     # One row each.
     about_log = sums.crossJoin(log.cases.agg(F.count("*").alias("case_count"))).select(*about, "event_count", "case_count", "tie_broken")
     tables = {
-        "activities": _first_seen(events, "activity", "activity_id"),
-        "resources": _first_seen(events, "resource", "resource_id").withColumn("kind", resource_kind(F.col("name"))),
+        "activities": dictionary(events, "activity", "seq", "activity_id"),
+        "resources": dictionary(events, "resource", "seq", "resource_id").withColumn("kind", resource_kind(F.col("name"))),
         "cases": cases,
         "events": events.repartitionByRange("case_id").sortWithinPartitions("case_id", "pos"),
         "variants": variants,
