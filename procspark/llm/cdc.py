@@ -1,6 +1,6 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over the last 16 bytes; a text is cut where the hash is the least of those around it.  So a cut
+A gear hash rolls over the last 8 bytes; a text is cut where the hash is the least of those around it.  So a cut
 depends on the bytes near it only, and an insertion changes the chunks around it and no others.  Windows of neighbouring
 chunks are compared by digest, so what repeats stands together in one earlier document.
 """
@@ -18,11 +18,11 @@ from .common import Scratch, map_rows, texts
 from .repeats import NULLS, document_rows, place, position_of, repeats, scatter, settle, sliding, tag_of
 
 #: A cut's gear hash is below the ones of so many bytes before and not above those behind: chunks have more bytes, twice as many on average.
-RADIUS = 16
+RADIUS = 8
 #: A longer chunk, which only dull bytes have, is cut anyway.
 MOST = 256
 #: Bytes that the gear hash rolls over.
-REACH = 16
+REACH = 8
 #: Repeats are removed where so many bytes of chunks follow each other in one earlier document too; short common phrases stay.
 RUN_BYTES = 96
 #: The gear table, one number for each byte, from a fixed generator.

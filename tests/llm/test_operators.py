@@ -397,9 +397,9 @@ def test_feistel(n):
 
 
 def slow_cuts(text):
-    """Chunk ends by the definition: a gear hash below those of 16 bytes before it, not above those of 16 behind."""
-    h = [sum(int(cdc.GEAR[text[i - j]]) << j for j in range(min(16, i + 1))) & 0xFFFFFFFF for i in range(len(text))]
-    ends = [i + 1 for i in range(len(h)) if all(h[i] < x for x in h[max(0, i - 16) : i]) and all(h[i] <= x for x in h[i + 1 : i + 17])]
+    """Chunk ends by the definition: a gear hash of 8 bytes below those of 8 bytes before it, not above those of 8 behind."""
+    h = [sum(int(cdc.GEAR[text[i - j]]) << j for j in range(min(8, i + 1))) & 0xFFFFFFFF for i in range(len(text))]
+    ends = [i + 1 for i in range(len(h)) if all(h[i] < x for x in h[max(0, i - 8) : i]) and all(h[i] <= x for x in h[i + 1 : i + 9])]
     out = [0]
     for end in [*ends, len(text)]:
         while end - out[-1] > 256:
@@ -439,7 +439,7 @@ def test_op7(spark, data, docs):
 
 
 def test_op7_catches_passages(spark):
-    """Passages of 50 words and more that are planted at any place are caught for the most part; other texts stay whole."""
+    """Passages of 50 words and more that are planted at any place are caught by nine tenths of their bytes; other texts stay whole."""
     rng = np.random.default_rng(9)
     words = lambda n: " ".join(bytes(rng.integers(97, 123, k, dtype=np.uint8)).decode() for k in rng.integers(3, 10, n))
     passages = [words(n) for n in rng.integers(51, 120, 60)]
@@ -448,7 +448,11 @@ def test_op7_catches_passages(spark):
     texts |= {200 + i: words(200) for i in range(60)}
     got = rows(cdc.digest(cdc.dedup_chunks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))))
     share = np.array([got[100 + i]["n_removed"] / len(p) for i, p in enumerate(passages)])
-    assert (share >= 0.5).mean() >= 0.95 and share.mean() > 0.75
+    size = np.array([len(p) for p in passages])
+    assert share.min() >= 0.75 and share.mean() > 0.9
+    # Of the bytes of passages of 300 to 500 bytes.
+    middle = (size >= 300) & (size <= 500)
+    assert middle.sum() >= 10 and (share * size)[middle].sum() >= 0.9 * size[middle].sum()
     assert not any(got[d]["n_removed"] for d in texts if not 100 <= d < 200)
 
 
@@ -500,7 +504,7 @@ def test_gear_cuts_resist_shifts():
     assert len(pieces(text) & pieces(b"inserted" + text)) > 0.95 * len(pieces(text))
     assert [0, *cdc.cuts(text)] == slow_cuts(text)
     sizes = np.diff([0, *cdc.cuts(text)])
-    assert sizes[1:-1].min() > cdc.RADIUS and 30 < sizes.mean() < 40
+    assert sizes[1:-1].min() > cdc.RADIUS and 15 < sizes.mean() < 20
 
 
 def test_op8(spark, data):
