@@ -119,11 +119,18 @@ def _second_pass(batch: pa.RecordBatch) -> dict[str, object]:
     # Blocks are compared among those with the same first digit, so both hashes must agree.
     sure, _ = settle(block ^ gram, doc)
     return {
-        "doc": pa.array(doc), "at": pa.array(at), "size": pa.array((ends - low).astype(np.int32)), "lead": pa.array((where - low).astype(np.int32)),
-        "gram": pa.array(scatter(gram, sure, at, doc)), "block": pa.array(block), "sure": pa.array(sure),
+        "doc": pa.array(doc), "at": pa.array(at), "extent": pa.array(ends - low << 6 | where - low << 1 | sure),
+        "gram": pa.array(scatter(gram, sure, at, doc)), "block": pa.array(block),
     }
 
 
+def _unpack(rows: DataFrame) -> DataFrame:
+    """A block's size, its anchor's place in it, which is below 32, and whether it is settled, from the one long that is shuffled."""
+    low = F.col("extent")
+    parts = {"size": F.shiftright(low, 6).cast("int"), "lead": F.shiftright(low, 1).bitwiseAND(F.lit(31)).cast("int"), "sure": low.bitwiseAND(F.lit(1)) == 1}
+    return rows.withColumns(parts).drop("extent")
+
+
 def _third_pass(batch: pa.RecordBatch) -> dict[str, object]:
     docs, tags = np.asarray(batch.column(0)), np.asarray(batch.column(1))
     found = Anchors(texts(batch.column(2)))
@@ -159,9 +166,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     grams = repeats(map_rows(rows, _first_pass, schema, _BLOCK), ("key",), ("doc", "at"), "shared")
     anchors = scratch.cut(grams, "anchors")
 
-    schema = "doc bigint, at bigint, size int, lead int, gram bigint, block bigint, sure boolean"
+    schema = "doc bigint, at bigint, extent bigint, gram bigint, block bigint"
     blocks = map_rows(_with_positions(rows, anchors), _second_pass, schema, _BLOCK)
-    blocks = scratch.cut(repeats(blocks, ("gram", "block"), ("doc", "at", "size", "lead", "gram"), "mark"), "blocks")
+    blocks = scratch.cut(repeats(blocks, ("gram", "block"), ("doc", "at", "size", "lead", "gram"), "mark", _unpack), "blocks")
     scratch.drop(anchors)
 
     # Blocks of first documents that share an anchor's digit with another block, yet have other bytes around it.

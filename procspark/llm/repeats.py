@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,13 +125,16 @@ class _Stream:
                 yield out.filter(pa.array(keep))
 
 
-def repeats(rows: DataFrame, keys: tuple[str, ...], keep: tuple[str, ...], mode: str = "later") -> DataFrame:
+def repeats(
+    rows: DataFrame, keys: tuple[str, ...], keep: tuple[str, ...], mode: str = "later", unpack: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """Columns ``keep`` of the rows that a mode of ``_Stream`` passes on.
 
     ``rows`` has the keys, ``doc`` and ``sure``.  One shuffle by the first key and a sort that can spill; a group
-    passes through its task as a stream, however large it is.
+    passes through its task as a stream, however large it is.  ``unpack`` makes columns that needn't be shuffled.
     """
     ordered = rows.repartition(keys[0]).sortWithinPartitions(*keys, "doc")
+    ordered = unpack(ordered) if unpack else ordered
     schema = ordered.select(*keep).schema
     if mode == "mark":
         schema = T.StructType([*schema.fields, T.StructField("again", T.BooleanType())])
