@@ -53,6 +53,22 @@ def texts(props: Column, nested: bool = True) -> Column:
     return F.transform_values(kept, lambda _, v: text(v))
 
 
+def said(props: Column, key: str) -> Column:
+    """A scalar attribute as ``texts`` has it, null for lists and objects; most are texts, which are read as they are."""
+    if not key or "'" in key or '"' in key:  # Such a key can't stand in a path.
+        return F.element_at(texts(props, nested=False), F.lit(key))
+    at = lambda sql: F.call_function("try_variant_get", props, F.lit(f"$['{key}']"), F.lit(sql))
+    taken = let(at("variant"), lambda v: F.when(~kind(v).isin("list", "object"), text(v)))
+
+    def read(plain: Column) -> Column:
+        first = F.substring(plain, 1, 1)
+        # 2.0 reads 2 here, as the whole number does.
+        number = first.isin(*"-0123456789") & ~plain.contains(":")
+        return F.when(first.isin("{", "[") | plain.isin("true", "false", "Infinity", "NaN") | number, taken).otherwise(plain)
+
+    return let(at("string"), read)
+
+
 def get(props: Column, key: str, kind_: str = "string") -> Column:
     """An attribute as a type, null where it isn't one."""
     quoted = key.replace("'", "\\'")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import sorted_json
+from ..functions.typed import let
 from ..operators.eventlog import EventLog
 from ..schema import DAY, SECOND
 from .places import numbered
@@ -22,6 +23,8 @@ _OFFSET = r"(?:([+-])(\d\d)(?::?(\d\d)(?::?(\d\d)(?:[.,]\d+)?)?)?)"
 #: The common form without an offset, which needs no taking apart.
 _PLAIN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
 _ISO = rf"^{_DATE}(?:.{_CLOCK}{_OFFSET}?)?$"
+#: The common form with an offset of hours and minutes, its last six characters.
+_ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?[+-]\d{2}:\d{2}$"
 
 
 def iso_time(text: Column) -> tuple[Column, Column]:
@@ -46,13 +49,23 @@ def parse_time(text: Column, layouts: tuple[str, ...] = ()) -> tuple[Column, Col
 
     Extended, basic and week forms are read.  ``layouts`` are further ones, tried in order; by default there are none.
     """
-    clean = F.regexp_replace(F.trim(text), "Z$", "")
-    plain, (local, offset) = clean.rlike(_PLAIN), iso_time(clean)
-    local, offset = F.when(plain, F.try_to_timestamp(clean)).otherwise(local), F.when(plain, 0).otherwise(offset)
-    iso = F.timestamp_micros(F.unix_micros(local) - offset.cast("bigint") * 1_000_000)
-    ts = F.coalesce(iso, *[F.try_to_timestamp(clean, F.lit(x)) for x in layouts])
-    day_seconds = F.pmod(F.unix_seconds(F.coalesce(local, ts)), F.lit(86400))
-    return ts, F.when((day_seconds == 0) | (F.length(clean) <= 10), DAY).otherwise(SECOND)
+    def read(clean: Column) -> Column:
+        plain, zoned, at, (local, offset) = clean.rlike(_PLAIN), clean.rlike(_ZONED), F.length(clean), iso_time(clean)
+        ahead = F.substring(clean, at - 4, F.lit(2)).cast("int") * 3600 + F.substring(clean, at - 1, F.lit(2)).cast("int") * 60
+        ahead = F.when(F.substring(clean, at - 5, F.lit(1)) == "-", -ahead).otherwise(ahead)
+        local = F.when(plain, F.try_to_timestamp(clean)).when(zoned, F.try_to_timestamp(F.substring(clean, F.lit(1), at - 6))).otherwise(local)
+        offset = F.when(plain, 0).when(zoned, ahead).otherwise(offset)
+        return let(F.struct(local.alias("local"), offset.alias("offset")), lambda x: placed(clean, x["local"], x["offset"]))
+
+    def placed(clean: Column, local: Column, offset: Column) -> Column:
+        iso = F.timestamp_micros(F.unix_micros(local) - offset.cast("bigint") * 1_000_000)
+        ts = F.coalesce(iso, *[F.try_to_timestamp(clean, F.lit(x)) for x in layouts])
+        day_seconds = F.pmod(F.unix_seconds(F.coalesce(local, ts)), F.lit(86400))
+        return F.struct(ts.alias("ts"), F.when((day_seconds == 0) | (F.length(clean) <= 10), DAY).otherwise(SECOND).alias("precision"))
+
+    # Bound once: the text stands in the expression some fifty times, and would be taken from its row for each.
+    both = let(F.regexp_replace(F.trim(text), "Z$", ""), read)
+    return both["ts"], both["precision"]
 
 
 def read_events(

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.expr import cents
 from ..functions.typed import kind as kind_of
 from ..functions.typed import let, members, text, texts
+from ..functions.typed import said as typed_text
 from ..operators.eventlog import EventLog
+from ..session import cut
 from . import traces
 
 #: The keys with a meaning of their own.
@@ -36,13 +38,18 @@ def read(spark: SparkSession, path: str, value: str = VALUE, keep: Column | None
     its number among all traces.  Values are cents, half to even; what isn't a number is 0.  Both tables have ``props``
     beside ``attrs``: whole numbers, fractions, truth values, lists and objects as what they were.
     """
-    rows = with_case_ids(read_traces(spark, path))
+    return tables_of(read_traces(spark, path), value, keep, max_cases)
+
+
+def tables_of(found: DataFrame, value: str = VALUE, keep: Column | None = None, max_cases: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``read`` for traces that were read; where both tables are used, a ``cut`` of the traces saves parsing the files twice."""
+    rows = with_case_ids(found)
     if keep is not None:
         rows = rows.where(keep)
     if max_cases is not None:
         rows = rows.orderBy("ordinal").limit(max_cases)
     each = rows.select("case_id", "ordinal", F.posexplode("events").alias("i", "x")).select("case_id", "ordinal", "i", F.parse_json("x").alias("v"))
-    events = with_event_columns(each, value).where("ts is not null").drop("ordinal", "i", "v", "e")
+    events = with_event_columns(each, value).where("ts is not null").drop("ordinal", "i", "v")
     return events, rows.select("case_id", "ordinal", "attrs", "props")
 
 
@@ -56,14 +63,14 @@ def with_event_columns(each: DataFrame, value: str) -> DataFrame:
     """Rows ``(ordinal, i, v)``, ``v`` the attributes of an event as VARIANT, with the columns of a raw event."""
     from .csv import parse_time
 
-    own, said = (NAME, TIME, RESOURCE, value), lambda key: F.element_at("e", F.lit(key))
-    each = each.withColumn("e", texts(F.col("v"), nested=False))
+    own, said = (NAME, TIME, RESOURCE, value), lambda key: typed_text(F.col("v"), key)
+    others = F.map_filter(members(F.col("v")), lambda k, _: ~k.isin(*own))
     ts, precision = parse_time(said(TIME))
     return each.withColumns({
         "activity": F.coalesce(F.nullif(said(NAME), F.lit("")), F.lit("UNKNOWN")), "ts": ts, "arrival": F.shiftleft("ordinal", 26) + F.col("i"),
         "resource": F.coalesce(F.nullif(said(RESOURCE), F.lit("")), said("User"), F.lit("")),
         "value_cents": F.coalesce(cents(said(value).try_cast("double")), F.lit(0)), "precision": precision,
-        "attrs": F.map_filter("e", lambda k, _: ~k.isin(*own)), "props": F.parse_json(F.to_json(F.map_filter(members(F.col("v")), lambda k, _: ~k.isin(*own)))),
+        "attrs": F.transform_values(F.map_filter(others, lambda _, v: ~kind_of(v).isin("list", "object")), lambda _, v: text(v)), "props": F.parse_json(F.to_json(others)),
     })
 
 
@@ -153,6 +160,7 @@ def write(log: EventLog, path: str, value: str | None = None, single: bool = Fal
     """
     # A row without a trace, so that an empty log is a document too.
     rows = trace_rows(log, value).unionByName(log.events.sparkSession.range(1).select(F.lit("").alias("case_id"), F.lit(None).cast("string").alias("value")))
-    rows = rows.repartition(1) if single else rows.repartitionByRange("case_id")
+    # Ranges are set from a sample, for which all rows would be rendered once more.
+    rows = rows.repartition(1) if single else cut(rows, "rendered").repartitionByRange("case_id")
     rows = rows.sortWithinPartitions("case_id").select("value")
     rows.mapInArrow(_documents(_head(log)), "value string").write.mode("overwrite").text(path)
