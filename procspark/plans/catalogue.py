@@ -13,7 +13,7 @@ from ..operators import spans as sp
 from ..operators.eventlog import EventLog
 from ..schema import FLOW
 from ..functions import typed
-from ..session import scratch_dir
+from ..session import cut, scratch_dir
 from ..sources import csv, otlp, tables, xes
 from .views import (
     EVENTS_RAW, EVENTS_SQL, ITEMS_SQL, LINES_SQL, ORDERS_SQL, POLICY, RANKS, SPANS_SQL, TOOLS, events_log, events_raw, items, lines_log, messages,
@@ -753,7 +753,7 @@ def xes_typed(s, d):
     """Types and values of attributes of cases and events, after they were written as XES and read; both have the same."""
     path = scratch_dir(s)
     xes.write(_typed_log(s, d), path)
-    events, cases = xes.read(s, path)
+    events, cases = xes.tables_of(cut(xes.read_traces(s, path), "traces"))
     names = F.col("key") != xes.NAME
     return _typed_rows(events).intersect(_typed_rows(cases).where(names))
 
