@@ -17,6 +17,7 @@ from ..operators.eventlog import EventLog
 from ..operators.names import dictionary
 from ..operators.ranking import before, by_ranges
 from ..operators.variants import variant_counts
+from ..session import cut
 
 TABLES = ("logs", "activities", "resources", "cases", "events", "variants")
 #: Object-centric tables: declared, and empty until a source provides objects.
@@ -30,11 +31,12 @@ def save(log: EventLog, path: str) -> None:
     Events keep their place in the case and in the log, and their tie flags, so that loading needs no order of its own.
     """
     spark = log.events.sparkSession
-    events = log.numbered()
+    # Six tables and a sample for ranges read the numbered events, whose order and numbers are worked out once.
+    events = cut(log.numbered(), "numbered")
     sums = events.agg(F.count("*").alias("event_count"), F.coalesce(F.sum(F.col("tie_broken").cast("bigint")), F.lit(0)).alias("tie_broken"))
     about = [F.lit(getattr(log, k)).alias(k) for k in ("source", "license", "attribution", "doi")]
     cases = log.cases.join(events.select("case_id", "case_index").distinct(), "case_id")
-    counts = by_ranges(variant_counts(log.events), "first_case")
+    counts = by_ranges(variant_counts(events), "first_case")
     variants = before(counts, [], "_part", ["first_case"], {"k": F.lit(1)}).select((F.col("k") + 1).alias("variant_seq"), "variant", "n", "first_case")
     # One row each.
     about_log = sums.crossJoin(log.cases.agg(F.count("*").alias("case_count"))).select(*about, "event_count", "case_count", "tie_broken")
