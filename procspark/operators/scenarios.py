@@ -27,26 +27,29 @@ def problems(scenarios: DataFrame, actors: DataFrame, items: DataFrame, allowed:
     """``(id, problem)`` of each scenario: missing fields, unknown values, references that the world hasn't got, repeats.
 
     ``scenarios`` has id, opening_message, actor_id, role, item_key, item_state, turn_count, followups and the columns
-    that ``allowed`` names; ``actors`` has actor_id and role, ``items`` item_key.
+    that ``allowed`` names; ``actors`` has actor_id and role, ``items`` item_key.  References are looked up in narrow
+    joins of their own, without the rows that have none.
     """
-    world = actors.select("actor_id", F.col("role").alias("_role"))
-    known = items.select("item_key", F.lit(True).alias("_there")).distinct()
-    df = scenarios.join(world, "actor_id", "left").join(known, "item_key", "left")
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    tests = {
+
+    def named(df: DataFrame, tests: dict[str, Column]) -> DataFrame:
+        found = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in tests.items()]))
+        return df.select("id", F.explode(found).alias("problem"))
+
+    alone = named(scenarios, {
         **{f"missing {c}": empty(c) for c in ("id", "opening_message", "actor_id", "role")},
-        "actor is not in the world": ~empty("actor_id") & F.col("_role").isNull(), "role is not the actor's": F.col("_role") != F.col("role"),
-        "item does not exist": F.col("item_key").isNotNull() & F.col("_there").isNull(),
         "state without an item": F.col("item_key").isNull() & (F.col("item_state") != "none"),
         "turn count is not 1 and the followups": F.col("turn_count") != 1 + F.coalesce(F.size("followups"), F.lit(0)),
         **{f"unknown {c}": F.col(c).isNotNull() & ~F.col(c).isin(list(values)) for c, values in allowed.items()},
-    }
-    found = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in tests.items()]))
-    single = df.select("id", F.explode(found).alias("problem"))
+    })
+    # Null references, which may be many, would all meet in one task of a join, and find nothing there.
+    played = scenarios.where("actor_id is not null").select("id", "actor_id", "role").join(actors.select("actor_id", F.col("role").alias("_role")), "actor_id", "left")
+    acted = named(played, {"actor is not in the world": ~empty("actor_id") & F.col("_role").isNull(), "role is not the actor's": F.col("_role") != F.col("role")})
+    lost = scenarios.where("item_key is not null").select("id", "item_key").join(items.select("item_key"), "item_key", "left_anti")
     ids = repeated_keys(scenarios.where(~empty("id")), "id").select("id", F.lit("id is not unique").alias("problem"))
     said = repeated_texts(scenarios, "opening_message").select("text")
     again = scenarios.select("id", F.lower(F.trim("opening_message")).alias("text")).join(said, "text", "left_semi")
-    return single.union(ids).union(again.select("id", F.lit("opening message is not unique")))
+    return alone.union(acted).union(lost.select("id", F.lit("item does not exist"))).union(ids).union(again.select("id", F.lit("opening message is not unique")))
 
 
 def unknown_references(scenarios: DataFrame, known: Mapping[str, DataFrame]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from procspark.functions import typed
+from procspark.operators import scenarios
 from procspark.operators.eventlog import EventLog
 from procspark.sources import csv, otlp, store, xes
 
@@ -72,3 +73,24 @@ def test_a_store_numbers_events_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(EventLog, "numbered", numbered)
     store.save(_log(spark), str(tmp_path / "x"))
     assert seen.value == 80
+
+
+def test_scenarios_without_references_are_not_joined(spark, monkeypatch):
+    """Null keys would all meet in one task."""
+    kind, joined = type(spark.range(1)), []
+    said = kind.join
+
+    def join(self, other, on=None, how=None):
+        joined.append((on, self.where(f"{on} is null").count(), len(self.columns)))
+        return said(self, other, on, how)
+
+    rows = [("1", "hello", "c1", "buyer", None, "none", 1, []), ("2", "hi", "c1", "clerk", 7, "open", 1, None), ("2", "Hi ", "c2", "buyer", 8, "open", 2, ["x"]), (None, "", None, "", None, "open", 1, ["x"]), ("5", "x", "", "buyer", None, "none", 1, [])]
+    table = spark.createDataFrame(rows, "id string, opening_message string, actor_id string, role string, item_key bigint, item_state string, turn_count int, followups array<string>")
+    monkeypatch.setattr(kind, "join", join)
+    got = scenarios.problems(table, spark.createDataFrame([("c1", "buyer")], "actor_id string, role string"), spark.createDataFrame([(7,), (7,)], "item_key bigint"), {"role": ("buyer",)})
+    assert sorted((r.id or "", r.problem) for r in got.collect()) == [
+        ("", "missing actor_id"), ("", "missing id"), ("", "missing opening_message"), ("", "missing role"), ("", "state without an item"), ("", "turn count is not 1 and the followups"), ("", "unknown role"),
+        ("2", "actor is not in the world"), ("2", "id is not unique"), ("2", "item does not exist"), ("2", "opening message is not unique"), ("2", "opening message is not unique"), ("2", "role is not the actor's"), ("2", "unknown role"),
+        ("5", "missing actor_id"),
+    ]
+    assert {on for on, _, _ in joined} == {"actor_id", "item_key", "text"} and not any(nulls for _, nulls, _ in joined) and max(n for _, _, n in joined) == 3
