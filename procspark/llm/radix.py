@@ -139,10 +139,12 @@ def _third_pass(batch: pa.RecordBatch) -> dict[str, object]:
     n = high - low + 1
     first = np.cumsum(n) - n
     start = np.repeat(low - first, n) + np.arange(n.sum())
-    owner, gram = np.repeat(owner, n), np.repeat(found.gram[where].view(np.int64), n)
+    owner, digit = np.repeat(owner, n), np.repeat(found.gram[where].view(np.int64), n)
     window = rolling(found.data, WINDOW, 0xC2B2AE3D27D4EB4F)[start].view(np.int64)
     doc, at = docs[owner], place(tags[owner], start - found.starts[owner])
-    sure, _ = settle(window ^ gram, doc)
+    sure, _ = settle(window ^ digit, doc)
+    # 32 bits of the anchor's hash beside 64 of the window's: these rows are most of what the disk must hold at once.
+    gram = (digit >> 32).astype(np.int32)
     return {"doc": pa.array(doc), "at": pa.array(at), "window": pa.array(scatter(window, sure, at, doc)), "gram": pa.array(gram), "sure": pa.array(sure)}
 
 
@@ -174,7 +176,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     # Blocks of first documents that share an anchor's digit with another block, yet have other bytes around it.
     firsts = blocks.where("not again").select("doc", (F.col("at") + F.col("lead")).alias("at"), "gram", F.lit(False).alias("sure"))
     mixed = scratch.cut(repeats(firsts, ("gram",), ("doc", "at"), "shared"), "mixed")
-    schema = "doc bigint, at bigint, window bigint, gram bigint, sure boolean"
+    schema = "doc bigint, at bigint, window bigint, gram int, sure boolean"
     each = map_rows(_with_positions(rows, mixed), _third_pass, schema, _BLOCK)
     # Windows are dealt by their own digit, as many of them may share a common anchor.
     single = scratch.cut(repeats(each, ("window", "gram"), ("doc", "at")).withColumn("size", F.lit(WINDOW)), "windows")

@@ -11,6 +11,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -898,3 +899,12 @@ def test_op11_sketch(spark, data):
         assert (bound >= true).all() and (bound == true).mean() > 0.99
     rare = {(r.lang, r.term) for r in divergence.term_counts(d).collect()}
     assert len(rare) < 1.05 * sum(n >= 10 for n in df.values())
+
+
+def test_shared_keys_in_any_order_of_documents():
+    """A key of two documents is shared whichever comes first, also where a batch ends between them."""
+    from procspark.llm.repeats import _Stream
+
+    batch = lambda *rows: pa.RecordBatch.from_pylist([dict(zip(("doc", "at", "key", "sure"), (*r, False), strict=True)) for r in rows])
+    got = _Stream(("key",), ("doc", "at"), "shared")([batch((3, 0, 5), (1, 1, 5), (4, 2, 6), (4, 3, 6), (9, 4, 7)), batch((2, 5, 7), (8, 6, 8))])
+    assert sorted((r["doc"], r["at"]) for b in got for r in b.to_pylist()) == [(1, 1), (2, 5), (3, 0), (9, 4)]
