@@ -180,19 +180,20 @@ def evaluate(log: EventLog, policy: Policy, rule_ids: Iterable[str] | None = Non
     own = (F.lit("") if part is None else part).alias("part")
     off = facts.where(_comparable(policy) & ~F.col("distinct_values")).groupBy(own).agg(F.min("case_id").alias("first_case"))
     off = off.select(F.lit("CTRL-TOLERANCE").alias("rule_id"), "part", "first_case", F.lit(NOT_APPLICABLE).alias("reason"))
+    if "CTRL-TOLERANCE" not in selected:
+        off = off.where("false")
     found = None
     for rule_id in selected:
         one = RULES[rule_id](log, facts, policy)
+        if rule_id == "CTRL-TOLERANCE":
+            # The other rules never stop.  One row at most where the log is one part; parts may be many.
+            stops = off.select("part", "first_case")
+            one = one.select("*", own).join(F.broadcast(stops) if part is None else stops, "part", "left")
+            one = one.where("first_case is null or case_id < first_case").drop("first_case", "part")
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = _violations(facts.where("false"), "", F.lit(0), F.lit(False), F.lit(""), {})
-    if "CTRL-TOLERANCE" not in selected:
-        off = off.where("false")
-    # One row for each rule at most where the log is one part; parts may be many.
-    stops = off.select("rule_id", "part", "first_case")
-    kept = found.select("*", own).join(F.broadcast(stops) if part is None else stops, ["rule_id", "part"], "left")
-    kept = kept.where("first_case is null or case_id < first_case").drop("first_case", "part")
-    return Evaluation(kept, off, log, facts, policy, selected)
+    return Evaluation(found, off, log, facts, policy, selected)
 
 
 def scoped(log: EventLog, policy: Policy, part: Column) -> DataFrame:

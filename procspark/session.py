@@ -35,3 +35,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(table: DataFrame, key: str, rows: int = 1 << 18) -> DataFrame:
+    """A written table dealt by a key to so many tasks that each has about ``rows``, whatever its size; counting needs its files' footers only."""
+    return table.repartition(max(1, -(-table.count() // rows)), key)
