@@ -27,6 +27,8 @@ _TOKEN = re.compile(r"<!--|<!\[CDATA\[|<\?|<(/?)(?:[^\s<>/:]+:)?trace(?=[\s/>]|\
 _CLOSED_BY = {"<!--": "-->", "<![CDATA[": "]]>", "<?": "?>"}
 _TAG_END = re.compile(r"""[^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*>""")
 _ENCODING = re.compile(r"""<\?xml[^>]*encoding\s*=\s*["']([^"']+)""")
+#: ``json.dumps`` with options makes an encoder for each call.
+_json = json.JSONEncoder(ensure_ascii=False).encode
 _KINDS = {"string", "date", "int", "float", "boolean", "id"}
 UNKNOWN, OUTSIDE, INSIDE = "unknown", "outside", "inside"
 
@@ -201,7 +203,7 @@ def parse(text: str) -> tuple[str, list[str]]:
         parser.Parse(text, True)
     except expat.ExpatError as e:
         raise ValueError(f"can't read a trace ({e}): {text[:200]}") from e
-    return json.dumps(found.attributes, ensure_ascii=False), [json.dumps(x, ensure_ascii=False) for x in found.events]
+    return _json(found.attributes), [_json(x) for x in found.events]
 
 
 _TRACE = "ordinal bigint, attributes string, events array<string>"

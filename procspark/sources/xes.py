@@ -49,7 +49,9 @@ def tables_of(found: DataFrame, value: str = VALUE, keep: Column | None = None,
     if max_cases is not None:
         rows = rows.orderBy("ordinal").limit(max_cases)
     each = rows.select("case_id", "ordinal", F.posexplode("events").alias("i", "x")).select("case_id", "ordinal", "i", F.parse_json("x").alias("v"))
-    events = with_event_columns(each, value).where("ts is not null").drop("ordinal", "i", "v")
+    # Not a filter, which Spark would move before the columns are made, so that events were parsed and times read for both.
+    timed = each.select("*", F.explode(F.array_compact(F.array(_time(F.col("v"))[0]))).alias("ts"))
+    events = with_event_columns(timed, value).drop("ordinal", "i", "v")
     return events, rows.select("case_id", "ordinal", "attrs", "props")
 
 
@@ -59,15 +61,19 @@ def with_case_ids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("case_id", F.coalesce(F.nullif(F.element_at("attrs", F.lit(NAME)), F.lit("")), unnamed))
 
 
-def with_event_columns(each: DataFrame, value: str) -> DataFrame:
-    """Rows ``(ordinal, i, v)``, ``v`` the attributes of an event as VARIANT, with the columns of a raw event."""
+def _time(v: Column) -> tuple[Column, Column]:
     from .csv import parse_time
 
+    return parse_time(typed_text(v, TIME))
+
+
+def with_event_columns(each: DataFrame, value: str) -> DataFrame:
+    """Rows ``(ordinal, i, v)``, ``v`` the attributes of an event as VARIANT, with the columns of a raw event; a ``ts`` that is there is kept."""
     own, said = (NAME, TIME, RESOURCE, value), lambda key: typed_text(F.col("v"), key)
     others = F.map_filter(members(F.col("v")), lambda k, _: ~k.isin(*own))
-    ts, precision = parse_time(said(TIME))
+    ts, precision = _time(F.col("v"))
     return each.withColumns({
-        "activity": F.coalesce(F.nullif(said(NAME), F.lit("")), F.lit("UNKNOWN")), "ts": ts, "arrival": F.shiftleft("ordinal", 26) + F.col("i"),
+        "activity": F.coalesce(F.nullif(said(NAME), F.lit("")), F.lit("UNKNOWN")), "ts": F.col("ts") if "ts" in each.columns else ts, "arrival": F.shiftleft("ordinal", 26) + F.col("i"),
         "resource": F.coalesce(F.nullif(said(RESOURCE), F.lit("")), said("User"), F.lit("")),
         "value_cents": F.coalesce(cents(said(value).try_cast("double")), F.lit(0)), "precision": precision,
         "attrs": F.transform_values(F.map_filter(others, lambda _, v: ~kind_of(v).isin("list", "object")), lambda _, v: text(v)), "props": F.parse_json(F.to_json(others)),

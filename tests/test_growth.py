@@ -121,3 +121,13 @@ def test_rows_of_a_task_stay_as_many_as_tables_grow(spark):
     for n, tasks in ((0, 1), (100, 1), (1000, 10), (4000, 40)):
         got = dealt(spark.range(n), "id", 100)
         assert got.rdd.getNumPartitions() == tasks and got.count() == n
+
+
+def test_events_of_traces_are_parsed_once(spark):
+    """A filter on times would be moved before the columns are made, and parse events for itself."""
+    rows = spark.createDataFrame([(0, {}, ['{"concept:name":"a","time:timestamp":"2024-02-29T10:00:00+00:00"}', '{"concept:name":"b"}'])], "ordinal bigint, attrs map<string,string>, events array<string>")
+    events, _ = xes.tables_of(rows.withColumn("props", F.parse_json(F.lit("{}"))))
+    picked = events.select("activity", "ts", "value_cents")
+    plan = picked._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.activity, str(r.ts), r.value_cents) for r in picked.collect()] == [("a", "2024-02-29 10:00:00", 0)]
+    assert plan.count("parse_json") + plan.count("parseJson") == 1
