@@ -12,12 +12,12 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     """Each node's neighbours are linked to its least neighbour: larger ones, or the smaller ones and itself.
 
     The least neighbour comes from an aggregate and goes back by a join, so the neighbours of a node never meet in
-    one row or task.
+    one row or task.  Repeated links take next to nothing in files, by whose size Spark would broadcast them.
     """
     swapped = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     sides = edges.unionByName(swapped) if larger else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = sides.join(least, "a")
+    joined = sides.join(least.hint("merge"), "a")
     if larger:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -127,11 +127,15 @@ def _keys(near: bool):
 
 
 def near_fingerprints(fps: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of distinct fingerprints ``fp`` that differ in ``MAX_BITS`` bits at most; a pair may repeat."""
+    """Pairs ``a < b`` of distinct fingerprints ``fp`` that differ in ``MAX_BITS`` bits at most; a pair may repeat.
+
+    Spark sizes both sides as if a fingerprint had one key; it has 8 on one side and about 43 on the other, so neither side is
+    broadcast by that size.
+    """
     one = map_rows(fps, _keys(False), "key bigint, fp bigint", 1 << 16).select("key", F.col("fp").alias("a"))
     other = map_rows(fps, _keys(True), "key bigint, fp bigint", 1 << 16).select("key", F.col("fp").alias("b"))
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    return one.join(other.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & close).select("a", "b")
+    return one.join(other.withColumnRenamed("key", "k").hint("merge"), (F.col("key") == F.col("k")) & close).select("a", "b")
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,9 +144,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = scratch.cut(fingerprints(docs), "fingerprints")
     distinct = scratch.cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     member = components(near_fingerprints(distinct.select("fp")), scratch)
-    least = distinct.join(member.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = distinct.join(member.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     roots = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows, scratch.cut(least.join(roots, "component").select("fp", "component", "component_id"), "classes")
+    return rows, scratch.cut(least.join(roots.hint("merge"), "component").select("fp", "component", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -154,7 +158,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fingerprints become one before the join, so large groups of copies cost one key set.  Other columns aren't read.
     """
     rows, known = _classes(docs)
-    return rows.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(known.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from procspark.llm import cdc, decontam, divergence, licenses, lines, mixing, quality, queries, radix, rpforest, simhash, spelling, tokens, toxicity
 from procspark.llm.common import read
+from procspark.llm.components import _stars
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -207,6 +208,19 @@ def test_golay_keys_meet_at_every_three_bits():
     assert len(two) / 3000 < 50
 
 
+def test_op3_broadcasts_no_keys(spark, tmp_path):
+    """Small files stand for many keys and links, so their sizes mustn't decide how they are joined."""
+    ids = spark.range(500)
+    ids.select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps.parquet"))
+    ids.select(F.col("id").alias("a"), (F.col("id") % 9).alias("b")).write.parquet(str(tmp_path / "links.parquet"))
+    fps, links = read(spark, str(tmp_path), "fps"), read(spark, str(tmp_path), "links")
+    docs = ids.select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d "), F.col("id") % 50).alias("text"))
+    for made in (simhash.near_fingerprints(fps), _stars(links, True), _stars(links, False), simhash.near_duplicates(docs)):
+        made.collect()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def slow_hits(docs, items):
     """Words, hit words and hit items of each text, by looking up every window."""
     by = defaultdict(set)
