@@ -168,7 +168,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ids, the text with the least hash stays, once.
     """
     rows, known = _classes(docs)
-    chosen = rows.join(known, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = rows.join(known.hint("merge"), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Texts count once each before the least is taken, and only sums go over the network.
     chosen = chosen.groupBy("component", "component_id").agg(F.min(F.coalesce("h", F.lit(0))).alias("least_h"))
     chosen = chosen.select(F.col("component_id").alias("least_id"), "least_h")
@@ -179,6 +179,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own_id = F.col(by["doc_id"]).cast("bigint")
     spread = lambda c: F.coalesce(c, F.lit(0))
     there = (spread(own_id) == spread(F.col("least_id"))) & (F.col("h") == F.col("least_h")) & own_id.eqNullSafe(F.col("least_id"))
-    left = wide.join(chosen, there, "left_semi").withColumn("id", own_id)
+    left = wide.join(chosen.hint("merge"), there, "left_semi").withColumn("id", own_id)
     nth = F.row_number().over(W.partitionBy("id", "h").orderBy(F.lit(0)))
     return left.withColumn("nth", nth).where("nth = 1").drop("nth", "id", "h").toDF(*names.values())

@@ -221,6 +221,17 @@ def test_op3_broadcasts_no_keys(spark, tmp_path):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_pipeline_keeps_one_without_broadcasts(spark):
+    """Classes grow with the corpus, so they aren't sent to all tasks either."""
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d "), F.col("id") % 50).alias("text"))
+    kept = simhash.keep_one(docs)
+    mine = {i: slow_fingerprint(f"a b c d {i}") for i in range(50)}
+    links = [(a, b) for a, b in combinations(mine, 2) if (mine[a] ^ mine[b]).bit_count() <= 3]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(classes(mine, links).values()))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def slow_hits(docs, items):
     """Words, hit words and hit items of each text, by looking up every window."""
     by = defaultdict(set)
