@@ -733,7 +733,7 @@ def _typed_rows(df: DataFrame) -> DataFrame:
 def otlp_typed(s, d):
     """Types and values of attributes of events, after they were written as spans and read."""
     path = scratch_dir(s)
-    otlp.write(_typed_log(s, d), path)
+    otlp.write(_typed_log(s, d), path, compress=True)
     return _typed_rows(otlp.read(s, path).events)
 
 

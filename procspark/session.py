@@ -2,9 +2,16 @@
 
 import re
 import uuid
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that ends shuffle files with the query that made them; for writes, after which nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting of the bytes that a task reads of a shuffle, where it may choose.
+TASK_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
 
 def session(app: str = "procspark", **conf: str) -> SparkSession:
     """UTC is mandatory (all event times are UTC); adaptive execution splits skewed joins and sizes partitions."""
@@ -37,6 +44,19 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Other settings of the session for the queries that run inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    try:
+        for key, value in values.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def dealt(table: DataFrame, key: str, rows: int = 1 << 18) -> DataFrame:
     """A written table dealt by a key to so many tasks that each has about ``rows``, whatever its size; counting needs its files' footers only."""
     return table.repartition(max(1, -(-table.count() // rows)), key)

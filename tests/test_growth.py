@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from procspark.functions import typed
 from procspark.operators import reports, scenarios
 from procspark.operators.eventlog import EventLog
+from procspark.plans import catalogue
 from procspark.policy import Policy
-from procspark.session import dealt
+from procspark.session import CLEANUP, TASK_BYTES, dealt
 from procspark.sources import csv, otlp, store, xes
 
 
@@ -70,6 +74,34 @@ def test_spans_are_rendered_once(spark, tmp_path, monkeypatch):
     assert seen.value == 40
 
 
+def test_spans_are_not_shuffled_as_text(spark, data):
+    """Spans are many times larger than events; what a Python function rendered would be dealt again by a join or a group."""
+    log = catalogue._typed_log(spark, data)
+    plan = otlp.case_spans(log, otlp.Header.of(log))._jdf.queryExecution().executedPlan().toString()
+    assert -1 < plan.rindex("ArrowEvalPython") < plan.index("Exchange")
+
+
+def test_an_export_leaves_nothing_but_itself(spark, data, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalogue, "scratch_dir", lambda _: str(tmp_path / "o"))
+    folder, before = Path(spark.conf.get("spark.checkpoint.dir")), (spark.conf.get(CLEANUP, None), spark.conf.get(TASK_BYTES, None))
+    there = set(folder.rglob("*"))
+    assert catalogue.otlp_typed(spark, data).count() > 0
+    assert set(folder.rglob("*")) == there and (spark.conf.get(CLEANUP, None), spark.conf.get(TASK_BYTES, None)) == before
+    assert {p.suffix for p in (tmp_path / "o").glob("part-*")} == {".gz"}
+
+
+def test_events_stand_in_order_in_a_trace(spark, tmp_path):
+    rows = [("c", f"a{i}", i, {"x": str(i), "y": "True"}) for i in range(30, 0, -1)]
+    log = EventLog.build(spark.createDataFrame(rows, "case_id string, activity string, ts_s bigint, attrs map<string,string>").repartition(5))
+    back = EventLog.build(log.events.withColumn("props", F.parse_json(F.concat(F.lit('{"l":[1,{"a":'), "pos", F.lit("}]}")))))
+    for one, key, value in ((log, "x", [{"stringValue": str(i)} for i in range(1, 31)]), (back, "l", [str(i) for i in range(30)])):
+        otlp.write(one, str(tmp_path / key))
+        spans = json.loads(spark.read.text(str(tmp_path / key)).first().value)["resourceSpans"][0]["scopeSpans"][0]["spans"]
+        said = [next(a["value"] for a in s["attributes"] if a["key"] == f"mb.event.{key}") for s in spans[1:]]
+        assert [s["name"] for s in spans[1:]] == [f"a{i}" for i in range(1, 31)] and "parentSpanId" not in spans[0]
+        assert value == (said if key == "x" else [v["arrayValue"]["values"][1]["kvlistValue"]["values"][0]["value"]["intValue"] for v in said])
+
+
 def test_a_store_numbers_events_once(spark, tmp_path, monkeypatch):
     seen, numbered = _counted(spark, EventLog.numbered, "string", "activity")
     monkeypatch.setattr(EventLog, "numbered", numbered)
